@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup
+from sparkloom.llm import exact_dedup, licenses, mixing, order_minhash, packing, sharding, sstable
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, licenses, mixing, sstable, order_minhash, sharding, packing)
 
 
 def queries() -> dict:
