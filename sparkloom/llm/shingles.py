@@ -70,36 +70,46 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and each text's first index among them (plus the end)."""
+def words_in(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of all words in order, and each text's first index among them (plus the end).
+
+    space says of each byte whether it separates words.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, _U), none, none, np.zeros(len(offsets), np.int64)
     text_start = np.zeros(n + 1, bool)
     text_start[offsets] = True
-    space = np.ones(n + 1, bool)
-    space[:n] = _SPACE[data]
-    begin = ~space
-    begin[1:] &= space[:-1] | text_start[1:]
-    end = ~space[:-1]
-    end &= space[1:] | text_start[1:]
+    gap = np.ones(n + 1, bool)
+    gap[:n] = space[data]
+    begin = ~gap
+    begin[1:] &= gap[:-1] | text_start[1:]
+    end = ~gap[:-1]
+    end &= gap[1:] | text_start[1:]
     first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
     up, down = powers(n)
     total = np.zeros(n + 1, _U)
     np.cumsum(_BYTE_LOWER[data] * up, out=total[1:])
-    return mix((total[last] - total[first]) * down[first]), np.searchsorted(first, offsets)
+    return mix((total[last] - total[first]) * down[first]), first, last, np.searchsorted(first, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and each text's first index among them (plus the end)."""
+    hashes, _, _, at = words_in(data, offsets)
+    return hashes, at
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, the sorted distinct shingle hashes of each text) for runs of texts."""
-    steps = stream(k + 1, 7) | _U(1)
+    steps, length = stream(k, 7) | _U(1), stream(k + 1, 10)
     for i, _, data, offsets in text_slices(column):
         words, at = word_hashes(data, offsets)
         n = len(words)
         full = np.zeros(max(0, n - k + 1), _U)
         for j in range(k if len(full) else 0):
             full += words[j : j + len(full)] * steps[j]
-        full = mix(full + steps[k] * _U(k))
+        full = mix(full + length[k])
         sets = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= k:
@@ -111,7 +121,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarra
                     own = own[keep]
             elif b > a:
                 m = b - a
-                own = mix(np.array([(words[a:b] * steps[:m]).sum(dtype=_U)], _U) + steps[k] * _U(m))
+                own = mix((words[a:b] * steps[:m]).sum(dtype=_U, keepdims=True) + length[m])
             else:
                 own = np.zeros(0, _U)
             sets.append(own)
