@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, licenses, mixing, order_minhash, packing, sharding, sstable
+from sparkloom.llm import exact_dedup, licenses, mixing, ngram_join, order_minhash, packing, sharding, sstable, toxicity
 
-MODULES = (exact_dedup, licenses, mixing, sstable, order_minhash, sharding, packing)
+MODULES = (ngram_join, exact_dedup, licenses, mixing, sstable, toxicity, order_minhash, sharding, packing)
 
 
 def queries() -> dict:
