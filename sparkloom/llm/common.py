@@ -48,6 +48,15 @@ def durable(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast; a table above that is joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def sized(written: DataFrame) -> DataFrame:
+    """A table of narrow rows that durable() has written, to be broadcast if it is small (counting it reads footers only)."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what the operators wrote to the shared folder; earlier results can't be read afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkloom-scratch")
