@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from sparkloom.plans import relational
+from sparkloom.streaming import events
 
-MODULES = (relational,)
+MODULES = (relational, events)
 
 
 def queries() -> dict[str, Callable]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -38,3 +41,9 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = (
 def sink_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> None:
     """Saves df as a table bucketed and sorted by keys, so that later joins and aggregates on them need no shuffle."""
     df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names, or in a temporary one where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or tempfile.mkdtemp(prefix='sparkloom-')).rstrip('/')}/sparkloom-tables/{uuid.uuid4().hex}-{name}"
