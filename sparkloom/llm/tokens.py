@@ -4,18 +4,23 @@ The vocabulary drops white space and never joins across it, so the ids of a
 text are those of its words one after another.  Each distinct lower-cased word
 is encoded by the library once per worker; an ASCII letter followed by closing
 ASCII punctuation (no apostrophe) is a sure cut, so such words are put together
-from the two parts.  Texts that hold ``<|``, with which special tokens begin,
-are encoded whole.  WORDS bounds the memory of the table, not the result.
+from the two parts.  Words of letters alone end in just one token that closes a
+word, so many of them are encoded as one text and cut at those.  Texts that hold
+``<|``, with which special tokens begin, are encoded whole.  WORDS bounds the
+memory of the table, not the result.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+from unicodedata import is_normalized
+
 import numpy as np
 import pyarrow as pa
 
 from sparkloom.llm.shingles import text_slices
 
-WORDS = 600_000
+WORDS = 900_000
 _CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = frozenset(range(97, 123))
 _ENCODERS: dict[str, Encoder] = {}
@@ -27,40 +32,64 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.narrow = self.library.get_vocab_size() <= 1 << 16
+        self.closes = np.zeros(self.library.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
         self.n, self.used = 0, 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.size, self.then = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.pool = np.zeros(1 << 18, np.uint32)
 
-    def add(self, ids) -> int:
-        """Puts ids into the pool; gives their number there."""
-        if self.n == len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+    def add(self, at: np.ndarray | int, size: np.ndarray | int, then: np.ndarray | int, n: int) -> range:
+        """n entries: their ids' place in the pool and number, and the entry that follows them (-1: none)."""
+        while self.n + n > len(self.at):
+            self.at, self.size, self.then = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.then))
+        own = slice(self.n, self.n + n)
+        self.at[own], self.size[own], self.then[own] = at, size, then
+        self.n += n
+        return range(self.n - n, self.n)
+
+    def put(self, ids, sizes) -> range:
+        """Puts ids into the pool, as entries of these sizes."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.at[self.n], self.size[self.n] = self.used, len(ids)
-        self.n, self.used = self.n + 1, self.used + len(ids)
-        return self.n - 1
-
-    def ids(self, number: int) -> np.ndarray:
-        return self.pool[self.at[number] : self.at[number] + self.size[number]]
+        sizes = np.asarray(sizes, np.int64)
+        self.used += len(ids)
+        return self.add(self.used - len(ids) + np.cumsum(sizes) - sizes, sizes, -1, len(sizes))
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes words that aren't known yet."""
-        known, parts = self.words, {}
+        known, todo, joined = self.words, set(), []
         for w in words:
             core = w.rstrip(_CLOSING)
-            parts[w] = (core, w[len(core) :]) if core and len(core) < len(w) and core[-1] in _LETTERS else (w, b"")
-        todo = [w for w in {x for pair in parts.values() for x in pair if x} if w not in known]
-        for w, e in zip(todo, self.library.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
-            known[w] = self.add(e.ids)
-        for w, (core, closing) in parts.items():
-            if closing:
-                known[w] = self.add(np.concatenate([self.ids(known[core]), self.ids(known[closing])]))
+            if core and len(core) < len(w) and core[-1] in _LETTERS:
+                joined.append((w, core, closing := w[len(core) :]))
+                todo.add(core)
+                todo.add(closing)
+            else:
+                todo.add(w)
+        todo = [w for w in todo if w not in known]
+        texts = [w.decode() for w in todo]
+        plain = [t.isalpha() and (t.isascii() or t.lower().isalpha() and is_normalized("NFC", t)) for t in texts]
+        other = [k for k, p in enumerate(plain) if not p]
+        plain = [k for k, p in enumerate(plain) if p]
+        for i in range(0, len(plain), 512):
+            some = plain[i : i + 512]
+            ids = np.array(self.library.encode_batch_fast([" ".join([texts[k] for k in some])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                known.update(zip([todo[k] for k in some], self.put(ids, np.diff(ends, prepend=0)), strict=True))
+            else:
+                other += some
+        found = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)]
+        known.update(zip([todo[k] for k in other], self.put([x for ids in found for x in ids], [len(ids) for ids in found]), strict=True))
+        if joined:
+            core = np.array([known[c] for _, c, _ in joined])
+            then = np.array([known[c] for _, _, c in joined])
+            known.update(zip([w for w, _, _ in joined], self.add(self.at[core], self.size[core], then, len(core)), strict=True))
 
     def encode(self, column: pa.Array, end_id: int):
         """(first row, ids, offsets) for runs of texts; each text's ids end with end_id."""
@@ -68,7 +97,7 @@ class Encoder:
             if len(self.words) > WORDS:
                 self.clear()
             raw, known = data.tobytes(), self.words
-            end = self.add([end_id])
+            end = self.put([end_id], [1])[0]
             words: list[bytes] = []
             counts, special = [], {}
             cuts = offsets.tolist()
@@ -81,20 +110,28 @@ class Encoder:
                     own = text.lower().split()
                 words += own
                 counts.append(len(own))
-            new = set(words).difference(known)
+            numbers = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+            missing = np.flatnonzero(numbers < 0).tolist()
+            new = {words[k] for k in missing}
             new.discard(b"<|")
             if new:
                 self.learn(new)
-            numbers = np.fromiter(map(known.get, words, [0] * len(words)), np.int64, len(words)) if special else np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                for k in missing:
+                    numbers[k] = known.get(words[k], -1)
             for k, text in special.items():
-                numbers[k] = self.add(self.library.encode(text, add_special_tokens=False).ids)
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                numbers[k] = self.put(ids, [len(ids)])[0]
             ends = np.cumsum(counts)
             numbers = np.insert(numbers, ends, end)
+            then = self.then[numbers]
+            two = np.flatnonzero(then >= 0)
+            size = self.size[numbers]
+            upto = np.cumsum(size + np.where(then >= 0, self.size[then], 0))
+            numbers = np.insert(numbers, two + 1, then[two])
             size = self.size[numbers]
-            total = np.zeros(len(size) + 1, np.int64)
-            np.cumsum(size, out=total[1:])
-            flat = self.pool[np.repeat(self.at[numbers] - total[:-1], size) + np.arange(total[-1])]
-            yield i, flat, np.concatenate([[0], total[ends + np.arange(1, len(ends) + 1)]])
+            total = np.cumsum(size)
+            flat = self.pool[np.repeat(self.at[numbers] - (total - size), size) + np.arange(total[-1])]
+            yield i, flat, np.concatenate([[0], upto[ends + np.arange(len(ends))]])
 
 
 def encoder(path: str | None = None) -> Encoder:
