@@ -48,6 +48,19 @@ def durable(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system, before the worker waits for its next group."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 #: Rows of a few numbers that may be broadcast; a table above that is joined by a shuffle.
 BROADCAST_ROWS = 300_000
 

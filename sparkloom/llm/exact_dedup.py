@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LAST, documents, durable, id_key, id_text, partitions
+from sparkloom.llm.common import LAST, documents, durable, id_key, id_text, partitions, sized
 
 SAMPLES_PER_RANGE = 24
 PREFIX = 48
@@ -109,6 +109,22 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay; same columns."""
+    found = dedup_groups(docs, id_col, text_col)
+    # only rows that go are joined: by broadcast while there are few, else by a shuffle
+    gone = durable(found.filter("not kept").select(F.col("id").alias("__gone"), F.col("text_sha256").alias("__sha"), F.col("keep_id").eqNullSafe(F.col("id")).alias("__again")), "gone")
+    own = (F.col(id_col).cast("bigint").eqNullSafe(F.col("__gone"))) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("__sha"))
+    gone = sized(gone)
+    out = docs.join(gone.filter("not __again"), own, "left_anti")
+    # rows that repeat an id and a text: one of them stays
+    again = gone.filter("__again").select("__gone", "__sha").distinct()
+    if again.limit(1).count():
+        once = out.join(again, own, "left_semi").dropDuplicates([id_col, text_col])
+        out = out.join(again, own, "left_anti").union(once)
+    return out
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 

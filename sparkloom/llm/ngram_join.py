@@ -12,12 +12,13 @@
    Frequent shingles are dealt out over several partitions.
 3. Candidate pairs pass the length, index-prefix and positional filters, are
    made distinct, and are verified once: a suffix filter bounds the overlap by
-   comparing the sizes of the parts between pivots, then the sets are merged.
+   the sizes of BINS parts of the sets, then the sets themselves are merged.
 4. Only reachability is asked for, so a list's members aren't all paired: in
-   each of STARS rounds every list proposes one centre and pairs the members of
-   other components with it.  What is still apart after that is compared in
-   full: small components pair by pair, large ones in blocks of BLOCK sets, so
-   no link is lost and a group of near copies gives no square of rows.
+   each of STARS rounds every list proposes one centre, and every document tries
+   the one that most of its lists propose.  What has no common label after that
+   is compared in full: small groups pair by pair, large ones in blocks of BLOCK
+   documents, so no link is lost and a group of near copies gives no square of
+   rows.
 
 Defined cases: null text is empty; empty sets have no links, each its own
 component; a document's id may be null (it can link others, and its component
@@ -34,18 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LAST, documents, durable, id_text, partitions
-from sparkloom.llm.components import components
+from sparkloom.llm.common import LAST, documents, durable, id_text, partitions, sized
+from sparkloom.llm.components import components, partly
 from sparkloom.llm.shingles import shingle_sets, signature
 
 COUNTERS = 1 << 20
 SLICES = 64
 FREQUENT = 20_000
-STARS, BLOCK, SMALL = 3, 128, 64
+STARS, BLOCK, SMALL = 2, 128, 64
 #: Ids that stand for classes without any id lie above this; real ids must be below.
 NO_ID = LAST - (1 << 40)
-#: At most so many ids (8 bytes each) are broadcast; beyond that the join is shuffled.
-BROADCAST_IDS = 500_000
+#: Parts of the hash range whose sizes bound an overlap.
+BINS = 256
+_BIN = np.uint64(64 - (BINS.bit_length() - 1))
 _SHIFT = np.uint64(64 - (COUNTERS.bit_length() - 1))
 _U = np.uint64
 
@@ -102,7 +104,7 @@ def rarity(seen: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+def postings(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray, frequent: int = FREQUENT) -> DataFrame:
     """(h, salt, c, n, pos) for each prefix shingle of each class, at least once."""
     sent = rows.sparkSession.sparkContext.broadcast(counts)
 
@@ -126,7 +128,7 @@ def postings(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray) ->
                     ps.append(np.arange(p, dtype=np.int32))
                 if hs:
                     h, f, c = np.concatenate(hs).view(np.int64), np.concatenate(fs), np.concatenate(cs)
-                    salt = np.where(f > FREQUENT, 1 + (c.view(_U) % np.maximum(1, f // FREQUENT).astype(_U)).astype(np.int32), 0).astype(np.int32)
+                    salt = np.where(f > frequent, 1 + (c.view(_U) % np.maximum(1, f // frequent).astype(_U)).astype(np.int32), 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(c), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ps))], ["h", "salt", "c", "n", "pos"])
 
     return rows.mapInArrow(run, "h bigint, salt int, c bigint, n int, pos int")
@@ -140,6 +142,8 @@ def shared(posted: DataFrame, num: int, den: int) -> DataFrame:
         held = None  # the last posting and whether the one before it fits
         held_fits = False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [batch.column(x).to_numpy() for x in names]
             fits = np.zeros(len(cols[0]) + (held is not None), bool)
             if held is not None:
@@ -166,24 +170,33 @@ def shared(posted: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "h bigint, salt int, c bigint, n int, pos int")
 
 
+def may_reach(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The suffix filter for rows of part sizes: no more than the smaller size of each part can be shared."""
+    n, m = a.sum(-1, dtype=np.int64), b.sum(-1, dtype=np.int64)
+    return np.minimum(a, b).sum(-1, dtype=np.int64) * (num + den) >= num * (n + m)
+
+
 def overlap_reaches(a: np.ndarray, b: np.ndarray, least: int) -> bool:
-    """Whether sorted sets share at least ``least`` values; the suffix filter comes first."""
+    """Whether sorted sets share at least ``least`` values."""
     if least > min(len(a), len(b)):
         return False
-    may_differ = len(a) + len(b) - 2 * least
-    if len(b) >= 16:
-        pivots = b[len(b) * np.arange(1, 8) // 8]
-        x = np.diff(np.searchsorted(a, pivots), prepend=0, append=len(a))
-        y = np.diff(len(b) * np.arange(1, 8) // 8, prepend=0, append=len(b))
-        if np.abs(x - y).sum() > may_differ:
-            return False
     both = np.concatenate([a, b])
     both.sort()
     return int((both[1:] == both[:-1]).sum()) >= least
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of part sizes as a matrix."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint16).reshape(-1, BINS)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (x, y) with ``linked``."""
+    """The linked ones (u, v) of pairs (x, y): those that pass the suffix filter are compared in full."""
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select([0, 1]).filter(pa.array(may_reach(_rows(batch.column(2)), _rows(batch.column(3)), num, den)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,52 +204,69 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
                 out.append(overlap_reaches(a, b, needed(len(a), len(b), num, den)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["x", "y", "linked"])
+            yield batch.select([0, 1]).filter(pa.array(out, pa.bool_())).rename_columns(["u", "v"])
 
-    own = sets.select("rep", "grams")
-    full = pairs.join(own.toDF("x", "of_x"), "x").join(own.toDF("y", "of_y"), "y").select("x", "y", "of_x", "of_y")
-    return full.mapInArrow(run, "x bigint, y bigint, linked boolean")
+    for column, step, schema in (("bins", filtered, "x bigint, y bigint"), ("grams", run, "u bigint, v bigint")):
+        own = sets.select("rep", column)
+        full = pairs.join(own.toDF("x", "of_x"), "x").join(own.toDF("y", "of_y"), "y").select("x", "y", "of_x", "of_y")
+        pairs = full.mapInArrow(step, schema)
+    return pairs
 
 
 def blockwise(requests: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) between the documents x of requests (hub, x) and members of the component hub.
+    """Links (u, v) between the documents x of requests (hub, x) and members of the label hub.
 
-    Both sides are cut into blocks of about BLOCK sets; a document is compared
-    with a block's members only until one link to the component is found.
+    Both sides are cut into blocks of about BLOCK documents.  First blocks of
+    part sizes are compared, which leaves requests that pass the suffix filter
+    with a member; only those meet in blocks of sets, each until one link to the
+    hub is found.
     """
 
-    def blocks(docs: DataFrame, name: str) -> DataFrame:
+    def blocks(docs: DataFrame, name: str, column: str) -> DataFrame:
         sizes = docs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         cut = docs.join(sizes, "hub").withColumn(name, F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        return cut.join(sets, "rep").groupBy("hub", name).agg(F.collect_list(F.struct("rep", "grams")).alias(f"{name}_sets"))
+        return cut.join(sets.select("rep", F.col(column).alias("own")), "rep").groupBy("hub", name).agg(F.collect_list(F.struct("rep", "own")).alias(f"{name}_rows"))
 
-    hubs = requests.select("hub").distinct()
-    own = durable(blocks(members.join(hubs, "hub"), "m"), "member-blocks")
-    asked = durable(blocks(requests.withColumnRenamed("x", "rep"), "a"), "asking-blocks")
-    numbers = asked.select("hub", "a").join(own.select("hub", "m"), "hub")
-    rows = numbers.join(asked, ["hub", "a"]).join(own, ["hub", "m"]).select("a_sets", "m_sets")
+    def compared(requests: DataFrame, column: str, step, schema: str) -> DataFrame:
+        own = durable(blocks(members.join(requests.select("hub").distinct(), "hub"), "m", column), "member-blocks")
+        asked = durable(blocks(requests.withColumnRenamed("x", "rep"), "a", column), "asking-blocks")
+        numbers = asked.select("hub", "a").join(own.select("hub", "m"), "hub")
+        rows = numbers.join(asked, ["hub", "a"]).join(own, ["hub", "m"]).select("hub", "a_rows", "m_rows")
+        return rows.mapInArrow(step, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, found = [], []
+            for hub, asking, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = np.frombuffer(b"".join(r["own"] for r in mine), np.uint16).reshape(-1, BINS)
+                for r in asking:
+                    if may_reach(np.frombuffer(r["own"], np.uint16)[None, :], b, num, den).any():
+                        hubs.append(hub)
+                        found.append(r["rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(found, pa.int64())], ["hub", "x"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
-            for asking, mine in zip(batch.column(0), batch.column(1), strict=True):
-                mine = sorted(((r["rep"], np.frombuffer(r["grams"], _U)) for r in mine.as_py()), key=lambda r: len(r[1]))
+            for asking, mine in zip(batch.column(1), batch.column(2), strict=True):
+                mine = sorted(((r["rep"], np.frombuffer(r["own"], _U)) for r in mine.as_py()), key=lambda r: len(r[1]))
                 for r in asking.as_py():
-                    a = np.frombuffer(r["grams"], _U)
+                    a = np.frombuffer(r["own"], _U)
                     for rep, b in mine:
                         if len(b) * den >= len(a) * num and len(a) * den >= len(b) * num and overlap_reaches(a, b, needed(len(a), len(b), num, den)):
                             links.append((r["rep"], rep))
                             break
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    left = durable(compared(requests, "bins", fit, "hub bigint, x bigint").distinct(), "requests-left")
+    return compared(left, "grams", link, "u bigint, v bigint")
 
 
 def _fitting(num: int, den: int, n: str, m: str) -> str:
     return f"{n} * {den} >= {m} * {num} and {m} * {den} >= {n} * {num}"
 
 
-def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs; linked when Jaccard >= threshold (a fraction)."""
     num, den = threshold
     rows = id_text(docs, id_col, text_col)
@@ -246,14 +276,12 @@ def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_
     docs_seen = seen.filter("slice is null").select("id", "n", "c", "d", key.alias("key"))
     classes = docs_seen.filter("n > 0").groupBy("c", "d").agg(F.min("key").alias("rep"), F.first("n").alias("n"))
     classes = durable(classes, "classes")
-    lists = durable(shared(postings(rows, k, num, den, counts), num, den), "postings")
     indexing = f"n + 1 - cast(ceil({2 * num} * cast(n as bigint) / {num + den}) as int)"
-    lists = lists.join(classes.select("c", "n", "rep"), ["c", "n"]).select("h", "rep", F.col("n").cast("bigint").alias("n"), "pos", F.expr(f"pos < {indexing}").alias("indexed"))
-    lists = durable(lists, "lists")
+    lists = shared(postings(rows, k, num, den, counts, frequent), num, den).join(sized(classes.select("c", "n", "rep")), ["c", "n"])
+    lists = durable(lists.select("h", "rep", F.col("n").cast("bigint").alias("n"), "pos", F.expr(f"pos < {indexing}").alias("indexed")), "lists")
 
-    wanted = durable(lists.select("rep").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    some = rows.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("rep"), "left_semi").union(rows.filter("id is null"))
+    wanted = sized(durable(lists.select("rep").distinct(), "wanted"))
+    some = rows.join(wanted, F.col("id") == F.col("rep"), "left_semi").union(rows.filter("id is null"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had = set()
@@ -266,65 +294,63 @@ def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_
                     rep = LAST - int(np.frombuffer(sig, np.int64)[0]) % (1 << 40) if rep is None else rep
                     if len(own) and (rep, sig) not in had:
                         had.add((rep, sig))
-                        out.append((rep, own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], ["rep", "grams"])
+                        out.append((rep, np.bincount((own >> _BIN).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes(), own.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in out], pa.int64()), *(pa.array([r[j] for r in out], pa.binary()) for j in (1, 2))], ["rep", "bins", "grams"])
 
-    sets = durable(some.mapInArrow(grams, "rep bigint, grams binary"), "sets")
+    sets = durable(some.mapInArrow(grams, "rep bigint, bins binary, grams binary"), "sets")
 
     labels, tried, links = None, None, None
     for star in range(STARS):
         marked = _marked(lists, labels)
-        # the first round ties lists to their smallest document, the next to the largest component, each time another member
-        prefer = F.col("rep") if labels is None else F.xxhash64("rep", F.lit(star))
-        centre = marked.groupBy("h").agg(F.min(F.struct((-F.col("size")).alias("by"), prefer.alias("then"), "rep", "n", "pos", "indexed", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        # the first round ties lists to their smallest document, the next ones to others
+        first = F.col("rep") if labels is None else F.xxhash64("rep", F.lit(star))
+        centre = marked.groupBy("h").agg(F.min(F.struct(first.alias("by"), "rep", "n", "pos", "indexed", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         centre = centre.filter("low < high").select("h", "hub")
         pairs = marked.join(centre, "h").filter("label <> hub.label").filter(_fitting(num, den, "n", "hub.n"))
         pairs = pairs.filter("case when n < hub.n then indexed when n > hub.n then hub.indexed else indexed or hub.indexed end")
         pairs = pairs.filter(f"least(pos, hub.pos) + 1 + least(n - 1 - pos, hub.n - 1 - hub.pos) >= ceil({num} * (n + hub.n) / {num + den})")
-        pairs = pairs.select(F.least("rep", "hub.rep").alias("x"), F.greatest("rep", "hub.rep").alias("y")).distinct()
+        # each document tries the centre that most of its lists propose
+        pairs = pairs.groupBy("rep", F.col("hub.rep").alias("of")).agg(F.count(F.lit(1)).alias("lists"))
         if tried is not None:
-            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
-        new = durable(verified(pairs, sets, num, den), "verified")
-        tried = new if tried is None else tried.union(new)
-        found = new.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        if not found.limit(1).count():
-            break
+            pairs = pairs.withColumns({"x": F.least("rep", "of"), "y": F.greatest("rep", "of")}).join(tried, ["x", "y"], "left_anti")
+        pairs = pairs.groupBy("rep").agg(F.max(F.struct("lists", F.col("of"))).alias("best")).select("rep", "best.of")
+        pairs = durable(pairs.select(F.least("rep", "of").alias("x"), F.greatest("rep", "of").alias("y")).distinct(), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = durable(verified(pairs, sets, num, den), "links")
         links = found if links is None else links.union(found)
-        labels = _relabelled(labels, found)
-
-    rest = _rest(lists, labels, tried, sets, num, den)
-    if rest.limit(1).count():
-        labels = _relabelled(labels, rest)
-    out = docs_seen.join(classes.select("c", "d", "rep"), ["c", "d"], "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        component = F.coalesce("label", "rep", "id")
-    else:
-        component = F.coalesce("rep", "id")
+        labels = partly(links)
+
+    links = links.union(_rest(lists, labels, tried, sets, num, den))
+    out = durable(docs_seen.join(classes.select("c", "d", "rep"), ["c", "d"], "left").select("id", "n", "rep"), "placed")
+    # ids that stand for several sets tie them together
+    again = out.filter("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u < v").select("id", "u")
+    links = links.union(out.join(again, "id").filter("rep <> u").select("u", F.col("rep").alias("v")))
+    out = out.join(sized(components(links)).toDF("rep", "label"), "rep", "left")
+    component = F.coalesce("label", "rep", "id")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(component)
     return out.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"))
 
 
-def _marked(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """lists with each document's component and the component's size."""
-    if labels is None:
-        return lists.withColumn("label", F.col("rep")).withColumn("size", F.lit(1).cast("bigint"))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    known = labels.join(sizes, "label").select(F.col("node").alias("rep"), "label", "size")
-    both = lists.join(known, "rep", "left")
-    return both.withColumns({"label": F.coalesce("label", "rep"), "size": F.coalesce("size", F.lit(1).cast("bigint"))})
+def apply(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, and all without an id."""
+    found = groups(docs, k, threshold, id_col, text_col)
+    gone = sized(durable(found.filter("id is not null and id <> component_id").select(F.col("id").alias("__gone")).distinct(), "near-copies"))
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
 
 
-def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
-    edges = found.select("u", "v")
-    if labels is not None:
-        edges = edges.union(labels.select("node", "label"))
-    return durable(components(edges), "labels")
+def _marked(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists with each document's label."""
+    if labels is None:
+        return lists.withColumn("label", F.col("rep"))
+    return lists.join(sized(labels).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
 def _rest(lists: DataFrame, labels: DataFrame | None, tried: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components that share a list and haven't been compared in full."""
-    marked = durable(_marked(lists, labels), "marked")
+    """Links between labels that share a list and haven't been compared in full."""
+    marked = _marked(lists, labels)
+    members = durable(marked.select("label", "rep").distinct(), "members")
+    sizes = sized(durable(members.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes"))
+    marked = marked.join(sizes, "label")
     parts = marked.groupBy("h", "label", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("indexed").alias("indexed"))
     several = parts.groupBy("h").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("h")
     parts = durable(parts.join(several, "h", "left_semi"), "parts")
@@ -333,12 +359,10 @@ def _rest(lists: DataFrame, labels: DataFrame | None, tried: DataFrame, sets: Da
     both = a.join(b, "h").filter("a_size > b_size or (a_size = b_size and a_label < b_label)").filter("a_indexed or b_indexed")
     both = both.filter(f"a_high * {den} >= b_low * {num} and b_high * {den} >= a_low * {num}")
     both = durable(both.select("a_label", "b_label", "a_size", "b_size").distinct(), "label-pairs")
-    members = marked.select("label", "rep").distinct()
-    members = durable(members, "members")
     small = both.filter(f"a_size * b_size <= {SMALL}")
     pairs = small.join(members.toDF("a_label", "p"), "a_label").join(members.toDF("b_label", "q"), "b_label")
-    pairs = pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    found = verified(pairs, sets, num, den).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    pairs = pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).join(tried, ["x", "y"], "left_anti")
+    found = verified(durable(pairs.distinct(), "pairs"), sets, num, den)
     large = both.filter(f"a_size * b_size > {SMALL}").select(F.col("a_label").alias("hub"), F.col("b_label").alias("label"))
     if large.limit(1).count():
         requests = durable(large.join(members, "label").select("hub", F.col("rep").alias("x")).distinct(), "requests")

@@ -90,9 +90,8 @@ def test_groups_of_near_copies(spark, monkeypatch):
         rows.append((1000 - i, " ".join(chain)))
     monkeypatch.setattr(ngram_join, "SMALL", 2)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 20)
     monkeypatch.setattr(ngram_join, "STARS", 1)
-    got = Counter(tuple(x) for x in ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, (85, 100)).collect())
+    got = Counter(tuple(x) for x in ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, (85, 100), frequent=20).collect())
     assert got == brute_groups(rows, 4, 85, 100)
 
 
@@ -136,12 +135,13 @@ def test_suffixes(odd, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
-def test_suffixes_of_shared_passages(spark):
+@pytest.mark.parametrize("hot", [1, 256])
+def test_suffixes_of_shared_passages(spark, hot):
     r = np.random.default_rng(2)
     text = lambda n: "".join(r.choice(list("ab c"), n))
     shared = [text(n) for n in (49, 50, 51, 80, 300)]
     rows = [(int(i), text(int(r.integers(0, 200))) + shared[i % 5] + text(int(r.integers(0, 99))) + shared[(i * 7) % 5] * (i % 3)) for i in r.permutation(60)]
-    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect())
     assert got == brute_cut(rows)
 
 
