@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, licenses, mixing, ngram_join, order_minhash, packing, sharding, sstable, toxicity
+import corpus_pipeline
+from sparkloom.llm import exact_dedup, licenses, mixing, ngram_join, order_minhash, packing, sharding, sstable, suffix_dedup, toxicity
 
-MODULES = (ngram_join, exact_dedup, licenses, mixing, sstable, toxicity, order_minhash, sharding, packing)
+MODULES = (ngram_join, exact_dedup, licenses, mixing, suffix_dedup, sstable, toxicity, order_minhash, sharding, packing)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
+    out = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
