@@ -42,7 +42,7 @@ from sparkloom.llm.shingles import shingle_sets, signature
 COUNTERS = 1 << 20
 SLICES = 64
 FREQUENT = 20_000
-STARS, BLOCK, SMALL = 2, 128, 64
+STARS, BLOCK, SMALL = 3, 128, 64
 #: Ids that stand for classes without any id lie above this; real ids must be below.
 NO_ID = LAST - (1 << 40)
 #: Parts of the hash range whose sizes bound an overlap.
@@ -214,12 +214,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def blockwise(requests: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) between the documents x of requests (hub, x) and members of the label hub.
+    """Links (u, v) between the documents x of requests (hub, label, x) and members of the label hub.
 
     Both sides are cut into blocks of about BLOCK documents.  First blocks of
     part sizes are compared, which leaves requests that pass the suffix filter
-    with a member; only those meet in blocks of sets, each until one link to the
-    hub is found.
+    with a member.  Each of them is compared with the most likely member; if a
+    document of a label is linked, the label is done with that hub.  Only what is
+    left meets in blocks of sets, each document until one link is found.
     """
 
     def blocks(docs: DataFrame, name: str, column: str) -> DataFrame:
@@ -236,14 +237,21 @@ def blockwise(requests: DataFrame, members: DataFrame, sets: DataFrame, num: int
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hubs, found = [], []
+            found = []
             for hub, asking, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = np.frombuffer(b"".join(r["own"] for r in mine), np.uint16).reshape(-1, BINS)
+                m = b.sum(1, dtype=np.int64)
                 for r in asking:
-                    if may_reach(np.frombuffer(r["own"], np.uint16)[None, :], b, num, den).any():
-                        hubs.append(hub)
-                        found.append(r["rep"])
-            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(found, pa.int64())], ["hub", "x"])
+                    a = np.frombuffer(r["own"], np.uint16)[None, :]
+                    n = int(a.sum(dtype=np.int64))
+                    most = np.minimum(a, b).sum(1, dtype=np.int64)
+                    fit = most * (num + den) >= num * (n + m)
+                    if fit.any():
+                        # the largest bound on the similarity, in whole steps so that it sorts as a number
+                        bound = np.where(fit, most * 1_000_000 // (n + m - most), -1)
+                        best = int(bound.argmax())
+                        found.append((hub, r["rep"], int(bound[best]), mine[best]["rep"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(4)], ["hub", "x", "bound", "m"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +266,13 @@ def blockwise(requests: DataFrame, members: DataFrame, sets: DataFrame, num: int
                             break
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["u", "v"])
 
-    left = durable(compared(requests, "bins", fit, "hub bigint, x bigint").distinct(), "requests-left")
-    return compared(left, "grams", link, "u bigint, v bigint")
+    asked = compared(requests.select("hub", "x"), "bins", fit, "hub bigint, x bigint, bound bigint, m bigint")
+    best = asked.groupBy("hub", "x").agg(F.max(F.struct("bound", "m")).getField("m").alias("m"))
+    best = durable(best.join(requests, ["hub", "x"]), "likely")
+    linked = durable(verified(best.select("x", F.col("m").alias("y")).distinct(), sets, num, den), "likely-links")
+    done = best.join(linked.select(F.col("u").alias("x"), F.col("v").alias("m")), ["x", "m"]).select("hub", "label").distinct()
+    left = durable(best.join(done, ["hub", "label"], "left_anti").select("hub", "x").distinct(), "requests-left")
+    return linked.union(compared(left, "grams", link, "u bigint, v bigint"))
 
 
 def _fitting(num: int, den: int, n: str, m: str) -> str:
@@ -365,7 +378,7 @@ def _rest(lists: DataFrame, labels: DataFrame | None, tried: DataFrame, sets: Da
     found = verified(durable(pairs.distinct(), "pairs"), sets, num, den)
     large = both.filter(f"a_size * b_size > {SMALL}").select(F.col("a_label").alias("hub"), F.col("b_label").alias("label"))
     if large.limit(1).count():
-        requests = durable(large.join(members, "label").select("hub", F.col("rep").alias("x")).distinct(), "requests")
+        requests = durable(large.join(members, "label").select("hub", "label", F.col("rep").alias("x")).distinct(), "requests")
         found = found.union(blockwise(requests, members.toDF("hub", "rep"), sets, num, den))
     return durable(found, "rest")
 
