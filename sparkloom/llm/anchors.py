@@ -39,7 +39,7 @@ class Anchors:
         text = np.repeat(np.arange(len(sizes)), counts)
         start = np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(text))
         if not len(start):
-            self.text = self.place = self.low = self.high = np.zeros(0, np.int64)
+            self.text = self.place = self.low = self.high = np.zeros(0, np.int32)
             self.key = np.zeros(0, _U)
             return
         own = gram_hashes(data)
@@ -56,9 +56,9 @@ class Anchors:
         fresh[1:] = (picked[1:] != picked[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(start)) - 1
-        self.text, self.place = text[first], picked[first]
-        self.low, self.high = self.place - start[last], self.place - start[first]
-        self.key = own[self.place]
+        self.text, self.place = text[first].astype(np.int32), picked[first].astype(np.int32)
+        self.low, self.high = ((picked[first] - start[x]).astype(np.int32) for x in (last, first))
+        self.key = own[picked[first]]
 
     def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of chosen anchors, the SPAN bytes from the place on and the LEFT bytes before it, backwards; zero outside the windows."""
@@ -72,11 +72,12 @@ class Anchors:
 
 def as_words(rows: np.ndarray) -> list[np.ndarray]:
     """Rows of bytes as big-endian 64-bit words, so that comparing words compares bytes."""
-    n, width = rows.shape
-    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    wide[:, :width] = rows
-    words = wide.view(">u8").astype(_U)
-    return [np.ascontiguousarray(words[:, j]) for j in range(words.shape[1])]
+    words = []
+    for j in range(0, rows.shape[1], 8):
+        wide = np.zeros((len(rows), 8), np.uint8)
+        wide[:, : rows.shape[1] - j] = rows[:, j : j + 8]
+        words.append(wide.view(">u8").ravel().astype(_U))
+    return words
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
@@ -106,8 +107,8 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
 def common_prefix(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Bytes that each row in order shares with the one before it (0 for the first)."""
     out = np.zeros(len(order), np.int64)
-    for a in range(1, len(order), 1 << 16):
-        own = rows[order[a - 1 : a + (1 << 16)]]
+    for a in range(1, len(order), 1 << 14):
+        own = rows[order[a - 1 : a + (1 << 14)]]
         differ = own[1:] != own[:-1]
         out[a : a + len(differ)] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
     return out
@@ -127,17 +128,17 @@ def least_ids(right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.nda
     runs = []
     for rows in (right, left):
         order = multikey_order(as_words(rows))
-        runs.append((order, common_prefix(rows, order)))
+        runs.append((order.astype(np.int32), common_prefix(rows, order).astype(np.uint8)))
     for o in range(LEFT + 1):
         some = np.flatnonzero((low <= o) & (o <= high))
         if len(some) < 2:
             continue
         pair = []
         for (order, same), least in zip(runs, (SPAN - o, o), strict=True):
-            of = np.empty(n, np.int64)
-            of[order] = np.cumsum(same < least) if least else 0
+            of = np.empty(n, np.int32)
+            of[order] = np.cumsum(same < least, dtype=np.int32) if least else 0
             pair.append(of[some])
-        key = pair[0] * (n + 1) + pair[1]
+        key = pair[0].astype(np.int64) * (n + 1) + pair[1]
         order = np.argsort(key, kind="stable")
         fresh = np.ones(len(order), bool)
         fresh[1:] = key[order[1:]] != key[order[:-1]]

@@ -14,6 +14,10 @@ with a smaller id.  Equal strings of SPAN bytes have equal anchors (see
    suffixes by multikey sorting, finds common prefixes of neighbours, and answers
    with one bit for each window.  Splitters are cut to K bytes, so suffixes that
    could share a window never lie on both sides of a boundary.
+   At the edges of a passage in very many documents, suffixes agree in their
+   first bytes but not in all.  So that they don't gather in one bucket, windows
+   at hashes that more than ``hot`` parts have are sent one by one: those of equal
+   content once for each part, dealt out by a 128-bit hash.
 3. Parts mark the windows' bytes and cut them out.
 
 The three steps read the same shuffled documents; texts move once.
@@ -33,16 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.anchors import LEFT, SPAN, Anchors, K, as_words, least_ids
-from sparkloom.llm.common import LAST, documents, id_text, partitions
+from sparkloom.llm.anchors import LEFT, SPAN, Anchors, K, as_words, gram_hashes, least_ids
+from sparkloom.llm.common import LAST, documents, id_text, partitions, tidy
 from sparkloom.llm.shingles import mix, text_slices
 
-SAMPLE = 64
+SAMPLE, HOT = 64, 256
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 _HASHES = "bucket int, part int, n int, hashes binary, several binary"
 _ANSWERS = "part int, kind int, bucket int, answer binary"
-_SUFFIXES = "bucket int, part int, n int, rows binary"
+_SUFFIXES = "bucket int, part int, kind int, n int, rows binary"
 RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
@@ -52,8 +56,9 @@ class Part:
     def __init__(self, docs: pa.Table):
         self.ids = docs.column("id").combine_chunks().fill_null(LAST).to_numpy()
         self.slices = []
-        for i, j, data, offsets in text_slices(docs.column("text").combine_chunks()):
+        for i, j, data, offsets in text_slices(docs.column("text").combine_chunks(), 1 << 18):
             self.slices.append((i, j, Anchors(data, offsets)))
+        tidy()
         join = lambda name, kind: np.concatenate([getattr(a, name) for _, _, a in self.slices] or [np.zeros(0, kind)])
         self.key = join("key", _U)
         self.doc = np.concatenate([i + a.text for i, _, a in self.slices] or [np.zeros(0, np.int64)])
@@ -71,10 +76,12 @@ class Part:
     def share(self, answers: list[tuple[int, bytes]], buckets: int) -> None:
         """Keeps the anchors of hashes that more documents have, and groups those that agree in all bytes."""
         at = np.searchsorted(bucket_of(self.keys, buckets), np.arange(buckets + 1))
-        common = np.zeros(len(self.keys), bool)
+        common, hot = np.zeros((2, len(self.keys)), bool)
         for bucket, answer in answers:
             n = at[bucket + 1] - at[bucket]
-            common[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8), count=n).astype(bool)
+            common[at[bucket] : at[bucket + 1]], hot[at[bucket] : at[bucket + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8), count=2 * n).astype(bool).reshape(2, n)
+        self.spread(hot)
+        common &= ~hot
         right, left, low, high, ids, of = [], [], [], [], [], []
         for s, (i, _, a) in enumerate(self.slices):
             some = np.flatnonzero(common[np.searchsorted(self.keys, a.key)]) if len(a.key) else np.zeros(0, np.int64)
@@ -103,6 +110,32 @@ class Part:
         self.first_id = ids[self.first]
         self.group, self.own_id = group, ids
 
+    def spread(self, hot: np.ndarray) -> None:
+        """The windows at anchors of hot hashes: slice, start and id, the group of equal ones, and each group's hashes and smallest id."""
+        at, ids, first, second = [], [], [], []
+        for s, (i, _, a) in enumerate(self.slices):
+            some = np.flatnonzero(hot[np.searchsorted(self.keys, a.key)]) if len(a.key) else np.zeros(0, np.int64)
+            if not len(some):
+                continue
+            n = a.high[some] - a.low[some] + 1
+            start = np.repeat(a.place[some] - a.high[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            half = SPAN // 2
+            parts = gram_hashes(a.data, half)
+            at.append(np.stack([np.full(len(start), s), start], 1))
+            ids.append(np.repeat(self.ids[i + a.text[some]], n))
+            first.append(gram_hashes(a.data, SPAN)[start])
+            second.append(mix(parts[start] * _U(0xD1342543DE82EF95) + parts[start + half]))
+        self.w_at = np.concatenate(at or [np.zeros((0, 2), np.int64)])
+        self.w_id = np.concatenate(ids or [np.zeros(0, np.int64)])
+        first, second = (np.concatenate(x or [np.zeros(0, _U)]) for x in (first, second))
+        order = np.lexsort((self.w_id, second, first))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        self.w_group = np.empty(len(order), np.int64)
+        self.w_group[order] = np.cumsum(fresh) - 1
+        lead = order[fresh]
+        self.w_first, self.w_second, self.w_first_id = first[lead], second[lead], self.w_id[lead]
+
     def dealt(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The groups in the order in which they are sent, and their buckets."""
         lead = np.ascontiguousarray(self.right[self.first][:, :K]).view(f"S{K}").ravel()
@@ -134,12 +167,31 @@ def sampled_splitters(rows: DataFrame, buckets: int) -> np.ndarray:
     return np.unique(np.array([bytes(found[len(found) * j // buckets]) for j in range(1, buckets)] if found else [], f"S{K}"))
 
 
-def _several_documents(table: pa.Table) -> pa.Table:
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """All bytes of a binary column one after another, without a copy if it is one chunk."""
+    parts = []
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        parts.append(np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]])
+    return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint8)])
+
+
+def _tidied(f):
+    """f, after which the worker gives back what it doesn't use."""
+
+    def g(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        tidy()
+        return out
+
+    return (lambda table: g(table)) if f.__code__.co_argcount == 1 else (lambda table, answers: g(table, answers))
+
+
+def _several_documents(table: pa.Table, hot: int) -> pa.Table:
     """Step 1's bucket: one bit for each hash of each part."""
     counts = table.column("n").to_pylist()
     own = np.zeros((sum(counts), 8), np.uint8)
-    blobs = b"".join(table.column("hashes").to_pylist())
-    own[:, :5] = np.frombuffer(blobs, np.uint8).reshape(-1, 5)
+    own[:, :5] = _bytes(table.column("hashes")).reshape(-1, 5)
     key = own.view("<u8").ravel()
     several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(table.column("several").to_pylist(), counts, strict=True)]).astype(bool)
     order = np.argsort(key, kind="stable")
@@ -148,25 +200,45 @@ def _several_documents(table: pa.Table) -> pa.Table:
     run = np.cumsum(fresh) - 1
     size = np.bincount(run)
     common = (size > 1) | (np.bincount(run, several[order]) > 0)
-    out = np.empty(len(key), bool)
-    out[order] = common[run]
-    parts = np.split(out, np.cumsum(counts)[:-1])
-    return pa.table({"part": table.column("part"), "kind": pa.array([0] * len(counts), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+    out = np.empty((2, len(key)), bool)
+    out[:, order] = common[run], (size > hot)[run]
+    parts = np.split(out, np.cumsum(counts)[:-1], axis=1)
+    return _answered(table, 0, [np.packbits(p).tobytes() for p in parts])
 
 
 _ROW = SPAN + LEFT + 2 + 8
 
 
+def _answered(table: pa.Table, kind: int, parts: list[bytes]) -> pa.Table:
+    return pa.table({"part": table.column("part"), "kind": pa.array([kind] * len(parts), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(parts, pa.binary())})
+
+
+def _equal_windows(table: pa.Table) -> pa.Table:
+    """Step 2's bucket of windows one by one: a bit for each, whether one of a smaller id is equal."""
+    counts = table.column("n").to_pylist()
+    rows = _bytes(table.column("rows")).view("<u8").reshape(-1, 3)
+    ids = rows[:, 2].astype(np.int64)
+    order = np.lexsort((ids, rows[:, 1], rows[:, 0]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (rows[order[1:], :2] != rows[order[:-1], :2]).any(1)
+    least = ids[order[fresh]]
+    out = np.empty(len(order), bool)
+    out[order] = ids[order] > least[np.cumsum(fresh) - 1]
+    return _answered(table, 2, [np.packbits(p).tobytes() for p in np.split(out, np.cumsum(counts)[:-1])])
+
+
 def _sorted_suffixes(table: pa.Table) -> pa.Table:
     """Step 2's bucket: sorts its suffixes; 32 bits for each row of each part, one for each window."""
+    if table.column("kind")[0].as_py() == 2:
+        return _equal_windows(table)
     counts = table.column("n").to_pylist()
-    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, _ROW)
+    rows = _bytes(table.column("rows")).reshape(-1, _ROW)
     right, left = np.ascontiguousarray(rows[:, :SPAN]), np.ascontiguousarray(rows[:, SPAN : SPAN + LEFT])
     low, high = rows[:, SPAN + LEFT].astype(np.int64), rows[:, SPAN + LEFT + 1].astype(np.int64)
     ids = np.ascontiguousarray(rows[:, SPAN + LEFT + 2 :]).view("<i8").ravel()
     masks = least_ids(right, left, low, high, ids)
     parts = np.split(masks, np.cumsum(counts)[:-1])
-    return pa.table({"part": table.column("part"), "kind": pa.array([1] * len(counts), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())})
+    return _answered(table, 1, [p.astype("<u4").tobytes() for p in parts])
 
 
 def _by_kind(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
@@ -174,7 +246,7 @@ def _by_kind(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
     return sorted((b, a) for k, b, a in found if k == kind)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document (RESULT); kept is what is left of its bytes, null unless with_kept."""
     rows = id_text(docs, id_col, text_col)
     buckets = partitions(docs.sparkSession)
@@ -200,30 +272,28 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             }
         )
 
-    common = moved.groupBy("part").applyInArrow(hashes, _HASHES).groupBy("bucket").applyInArrow(_several_documents, _ANSWERS)
+    common = moved.groupBy("part").applyInArrow(_tidied(hashes), _HASHES).groupBy("bucket").applyInArrow(_tidied(lambda table: _several_documents(table, hot)), _ANSWERS)
 
     def suffixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("rows", pa.binary()))})
+            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("rows", pa.binary()))})
         part = Part(table)
         part.share(_by_kind(answers, 0), buckets)
         order, bucket = part.dealt(splitters)
         chosen = part.first[order]
         out = np.concatenate([part.right[chosen], part.left[chosen], part.low[chosen, None].astype(np.uint8), part.high[chosen, None].astype(np.uint8), np.ascontiguousarray(part.first_id[order]).view(np.uint8).reshape(-1, 8)], axis=1)
-        found, start = np.unique(bucket, return_index=True)
-        spans = list(zip(start, np.append(start[1:], len(bucket))[: len(start)], strict=True))
-        number = table.column("part")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array(found, pa.int32()),
-                "part": pa.array([number] * len(found), pa.int32()),
-                "n": pa.array([b - a for a, b in spans], pa.int32()),
-                "rows": pa.array([out[a:b].tobytes() for a, b in spans], pa.binary()),
-            }
-        )
-
-    sent = moved.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(suffixes, _SUFFIXES)
-    marked = sent.groupBy("bucket").applyInArrow(_sorted_suffixes, _ANSWERS)
+        windows = np.stack([part.w_first, part.w_second, part.w_first_id.view(_U)], 1).astype("<u8")
+        number, sent = table.column("part")[0].as_py(), {n: [] for n in ("bucket", "part", "kind", "n", "rows")}
+        # buckets of windows come after those of suffixes
+        for kind, rows, of in ((1, out, bucket), (2, windows, buckets + bucket_of(part.w_first, buckets))):
+            found, start = np.unique(of, return_index=True)
+            for x, a, b in zip(found.tolist(), start, np.append(start[1:], len(of))[: len(start)], strict=True):
+                for name, value in zip(sent, (x, number, kind, b - a, rows[a:b].tobytes()), strict=True):
+                    sent[name].append(value)
+        return pa.table({n: pa.array(v, pa.binary() if n == "rows" else pa.int32()) for n, v in sent.items()})
+
+    sent = moved.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(_tidied(suffixes), _SUFFIXES)
+    marked = sent.groupBy("bucket").applyInArrow(_tidied(_sorted_suffixes), _ANSWERS)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = [(x.split()[0], x.split()[1]) for x in RESULT.split(", ")]
@@ -239,6 +309,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # what agrees in all bytes with a smaller id of the same part goes whole
         whole = ((np.uint64(1) << (part.high + 1).astype(_U)) - (np.uint64(1) << part.low.astype(_U))).astype(np.uint32)
         own = np.where(part.own_id > part.first_id[part.group], whole, masks[part.group])
+        bits = [np.unpackbits(np.frombuffer(a, np.uint8)) for _, a in _by_kind(answers, 2)]
+        w_bucket = bucket_of(part.w_first, buckets)
+        sizes = np.diff(np.flatnonzero(np.diff(w_bucket, prepend=-1, append=buckets)))
+        smaller = np.concatenate([b[:n] for b, n in zip(bits, sizes, strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
+        w_gone = (part.w_id > part.w_first_id[part.w_group]) | smaller[part.w_group]
+        w_slices = np.searchsorted(part.w_at[:, 0], np.arange(len(part.slices) + 1))
         out = {n: [] for n, _ in names}
         # bounds of the slices' anchors in part.of
         at = np.searchsorted(part.of[:, 0], np.arange(len(part.slices) + 1))
@@ -249,6 +325,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             places, bits = part.of[at[s] : at[s + 1], 1], own[at[s] : at[s + 1]]
             for o in range(LEFT + 1):
                 begins[places[(bits >> np.uint32(o) & np.uint32(1)).astype(bool)] - o] = 1
+            mine = slice(w_slices[s], w_slices[s + 1])
+            begins[part.w_at[mine, 1][w_gone[mine]]] = 1
             upto = np.concatenate([[0], np.cumsum(begins[:n])])
             gone = upto[1:] > upto[np.maximum(np.arange(n) - SPAN + 1, 0)]
             edge = gone.copy()
@@ -270,7 +348,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({n: out[n] if n == "id" else pa.array(out[n], kinds[k]) for n, k in names})
 
     both = common.union(marked)
-    return moved.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(cut, RESULT)
+    return moved.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(_tidied(cut), RESULT)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
