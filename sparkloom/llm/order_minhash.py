@@ -1,8 +1,8 @@
 """Order MinHash fingerprints of whole texts.
 
 A text's k-mers are its runs of K code points, each numbered by its occurrence
-in the text.  For each of SKETCHES orders (multiplicative hashes of the
-numbered k-mer), the TUPLE smallest are taken, put back into text order, and
+in the text.  For each of SKETCHES orders (32-bit multiplicative hashes of the
+numbered k-mer, ties by place), the TUPLE smallest are taken, put back into text order, and
 their k-mers hashed together.  Two fingerprints are alike by the share of equal
 parts; as the order within a tuple counts, moving text lowers it as edits do.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from sparkloom.llm.shingles import mix, powers, stream
 
 K, SKETCHES, TUPLE = 10, 64, 2
 _U = np.uint64
-_WIDTH = 8
 
 
 def kmers(points: np.ndarray, k: int = K) -> np.ndarray:
@@ -63,6 +63,13 @@ def numbered(own: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _seeds(sketches: int, tuple_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each order's multiplier, each place's multiplier in a tuple, and each order's own number."""
+    orders = stream(sketches, 8) | _U(1)
+    return orders.astype(np.uint32), stream(tuple_size, 9) | _U(1), orders
+
+
 def sketch(text: str, k: int = K, sketches: int = SKETCHES, tuple_size: int = TUPLE) -> np.ndarray:
     """32-bit parts of the fingerprint; none for an empty text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -70,26 +77,28 @@ def sketch(text: str, k: int = K, sketches: int = SKETCHES, tuple_size: int = TU
         return np.zeros(0, np.uint32)
     own = kmers(points, k)
     n = len(own)
-    base = mix(own + numbered(own).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-    orders = stream(sketches, 8) | _U(1)
+    base = (mix(own + numbered(own).astype(_U) * _U(0xC2B2AE3D27D4EB4F)) >> _U(32)).astype(np.uint32)
     size = min(tuple_size, n)
+    orders, places, salts = _seeds(sketches, tuple_size)
     best = np.empty((sketches, size), np.int64)
     step = max(1, (1 << 18) // n)
+    # few values are below the limit, and nearly always enough
+    limit = np.uint32(min(2.0**32 - 1, 6.0 * size / n * 2.0**32))
     for a in range(0, sketches, step):
         values = base[None, :] * orders[a : a + step, None]
-        limit = min(float(1 << 64) - 2048, 6.0 * size / n * 2.0**64)
-        row, col = np.nonzero(values < _U(limit))
+        at = np.flatnonzero(values.ravel() < limit)
+        row = at // n
         enough = np.bincount(row, minlength=len(values)) >= size
-        order = np.lexsort((values[row, col], row))
-        row, col = row[order], col[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = (place < size) & enough[row]
+        # by row, then value, then place in the text
+        order = np.argsort(row.astype(_U) << _U(32) | values.ravel()[at], kind="stable")
+        row, col = row[order], (at - row * n)[order]
+        keep = (np.arange(len(row)) - np.searchsorted(row, row) < size) & enough[row]
         best[a : a + len(values)][enough] = col[keep].reshape(-1, size)
         for r in np.flatnonzero(~enough):
-            best[a + r] = np.argpartition(values[r], size - 1)[:size] if size < n else np.arange(n)
+            best[a + r] = np.argsort(values[r], kind="stable")[:size]
     best.sort(axis=1)
-    parts = (own[best] * (stream(size, 9) | _U(1))).sum(axis=1, dtype=_U)
-    return (mix(parts + orders) >> _U(32)).astype(np.uint32)
+    parts = (own[best] * places[:size]).sum(axis=1, dtype=_U)
+    return (mix(parts + salts) >> _U(32)).astype(np.uint32)
 
 
 def as_text(parts: np.ndarray) -> str:
@@ -156,7 +165,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if last is not None:
             yield made([(last[0], 0, None, None, None, None, None)], 2, [last[1]])
 
-    found = durable(ordered.mapInArrow(walk, f"{RESULT}, part bigint, kind int, text string"), "fingerprints")
+    found = durable(ordered.mapInArrow(walk, f"{RESULT}, part bigint, kind int, text string"), "fingerprints", "zstd")
     # one first and one last text for each partition; the last one is followed by the very first
     ends = found.filter("kind > 0")
     heads = ends.filter("kind = 1").select("part", F.col("text").alias("after"))

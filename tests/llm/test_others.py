@@ -99,13 +99,13 @@ def brute_sketch(text):
     for x in own.tolist():
         base.append((x + seen[x] * 0xC2B2AE3D27D4EB4F) % 2**64)
         seen[x] += 1
-    base = order_minhash.mix(np.array(base, np.uint64)).tolist()
+    base = [x >> 32 for x in order_minhash.mix(np.array(base, np.uint64)).tolist()]
     orders = (order_minhash.stream(order_minhash.SKETCHES, 8) | np.uint64(1)).tolist()
     size = min(order_minhash.TUPLE, len(base))
     steps = (order_minhash.stream(size, 9) | np.uint64(1)).tolist()
     out = []
     for a in orders:
-        first = sorted(sorted(range(len(base)), key=lambda i: base[i] * a % 2**64)[:size])
+        first = sorted(sorted(range(len(base)), key=lambda i: (base[i] * a % 2**32, i))[:size])
         total = sum(int(own[i]) * s for i, s in zip(first, steps, strict=True)) % 2**64
         out.append(int(order_minhash.mix(np.array([(total + a) % 2**64], np.uint64))[0] >> np.uint64(32)))
     return out
