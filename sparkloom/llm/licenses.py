@@ -10,6 +10,14 @@ reach the threshold t:
 * words: at most m of a template's bigrams may be missing, so a unit must hold
   one of a few words whose bigrams are more than m.
 
+Notices inside longer lines, or wrapped over several, are found by windows: runs
+of words of a template's admissible sizes that begin and end with one of its
+bigrams (others score less than a part of theirs does).  Lines and paragraphs
+that match are searched by themselves, for other names than their own; what lies
+between them is searched as one run of words.  Of overlapping windows the best
+counts (then the longest, then the unit's own name, then the first).  Texts without any of the
+bigrams of which a match needs one are left out.
+
 Defined cases: null and empty text match nothing (dice 0.0); a unit of fewer
 than two words has no bigrams; of equal scores the first name in order wins;
 null ids and repeated rows are scanned like others; an empty table gives an
@@ -19,6 +27,8 @@ empty result.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,14 +93,22 @@ def telling_words(bigrams: set[str], threshold: float) -> set[str]:
     return chosen
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and, per row: n_words, license (best match or null), dice (its score, 0.0 without match), n_units (units that match), licenses (their best names, sorted and joined by commas)."""
+def telling_bigrams(bigrams: set[str], threshold: float) -> set[str]:
+    """Bigrams of which every window that reaches the threshold holds at least one: one more than may be missing, long ones first."""
+    may_miss = int(len(bigrams) - threshold / (2 - threshold) * len(bigrams) + 1e-9)
+    return set(sorted(bigrams, key=lambda b: (-len(b), b))[: may_miss + 1])
+
+
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), windows: bool = False) -> DataFrame:
+    """Units, and with ``windows`` also windows of words, against the templates.  The columns ``keep`` and, per row: n_words, license (best match or null), dice (its score, 0.0 without match), n_units (units and windows that match), licenses (their best names, sorted and joined by commas)."""
     sets = [(name, sorted(bigrams_of(t))) for name, t in templates]
     telling = sorted(set().union(*(telling_words(set(b), threshold) for _, b in sets)))
+    needed = sorted(set().union(*(telling_bigrams(set(b), threshold) for _, b in sets)))
     known = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(b).alias("grams"), *(F.lit(x).alias(k) for k, x in zip(("low", "high"), size_bounds(len(b), threshold), strict=True))) for n, b in sets))
 
     def best_of(found: Column) -> Column:
         better = lambda a, b: (b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["name"] < a["name"]))
+        found = F.transform(found, lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name")))
         return F.reduce(found, F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("name")), lambda a, b: F.when(better(a, b), b).otherwise(a))
 
     def clean(c: Column) -> Column:
@@ -110,6 +128,71 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
         return best_of(F.filter(F.transform(known, score), lambda s: s["dice"] >= threshold))
 
+    def name_of(unit: Column, found: Column) -> Column:
+        return F.get(F.filter(found, lambda x: x["unit"] == unit), F.lit(0))["name"]
+
+    def segments(norm: Column, whole: Column, found: Column) -> Column:
+        """Runs of words to search: (text, key, names), the names being those of the matching units around it."""
+
+        def lines(paragraph: Column) -> Column:
+            own = clean(paragraph)
+
+            def item(line: Column) -> Column:
+                text = F.trim(line)
+                mine, around = name_of(text, found), name_of(own, found)
+                key = F.when(mine.isNotNull(), text).when(around.isNotNull(), own).otherwise(F.lit(""))
+                return F.struct(text.alias("text"), key.alias("key"), F.array_compact(F.array(mine, around, name_of(whole, found))).alias("names"))
+
+            return F.transform(F.split(paragraph, "\n"), item)
+
+        def joined(done: Column, x: Column) -> Column:
+            last = F.get(done, F.size(done) - 1)
+            more = F.struct(F.concat_ws(" ", last["text"], x["text"]).alias("text"), x["key"].alias("key"), x["names"].alias("names"))
+            return F.when(last["key"] == x["key"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(x)))
+
+        items = F.filter(F.flatten(F.transform(F.split(norm, "\n *(?:\n *)+"), lines)), lambda x: x["text"] != "")
+        return F.reduce(items, F.lit(None).cast("array<struct<text:string,key:string,names:array<string>>>"), lambda done, x: F.when(done.isNull(), F.array(x)).otherwise(joined(done, x)))
+
+    def reaching(own: Column, t: Column, names: Column) -> Column:
+        """The windows that reach the threshold, as structs that sort by score, length, and whether the name is another than the unit's."""
+        size = F.size(t["grams"])
+        hits = F.transform(own, lambda g: F.array_contains(t["grams"], g))
+
+        def of_start(i: Column) -> Column:
+            some, hit = F.slice(own, i + 1, t["high"]), F.slice(hits, i + 1, t["high"])
+
+            def step(a: Column, k: Column) -> Column:
+                fresh = (F.array_position(some, F.get(some, k)) == k + 1).cast("int")
+                n, both = a["n"] + fresh, a["both"] + F.when(F.get(hit, k), fresh).otherwise(0)
+                dice = F.lit(2.0) * both / (n + size)
+                one = F.struct((-dice).alias("minus"), (-1 - k).alias("less"), (~F.array_contains(names, t["name"])).alias("other"), t["name"].alias("name"), i.alias("start"))
+                return F.struct(n.alias("n"), both.alias("both"), F.when(F.get(hit, k) & (dice >= threshold), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+            none = F.lit([]).cast("array<struct<minus:double,less:int,other:boolean,name:string,start:int>>")
+            start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), none.alias("out"))
+            enough = F.size(F.filter(hit, lambda x: x)) >= t["low"]
+            return F.when(enough, F.reduce(F.sequence(F.lit(0), F.size(some) - 1), start, step)["out"]).otherwise(none)
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(hits, i))
+        return F.flatten(F.transform(starts, of_start))
+
+    def best_windows(segment: Column) -> Column:
+        """(dice, name, unit) of a segment's best windows that don't overlap."""
+
+        def of_words(words: Column) -> Column:
+            return of_grams(words, F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda g: g.isNotNull()))
+
+        def of_grams(words: Column, own: Column) -> Column:
+            likely = F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], own)) >= F.greatest(t["low"], F.lit(1)))
+            found = F.array_sort(F.flatten(F.transform(likely, lambda t: reaching(own, t, segment["names"]))))
+            apart = lambda a, b: (a["start"] - a["less"] <= b["start"] - 1) | (b["start"] - b["less"] <= a["start"] - 1)  # noqa: E731  windows of words
+            chosen = F.reduce(found, F.slice(found, 1, 0), lambda done, x: F.when(F.exists(done, lambda y: ~apart(x, y)), done).otherwise(F.concat(done, F.array(x))))
+            chosen = F.filter(chosen, lambda x: x["other"])
+            return F.transform(chosen, lambda x: F.struct((-x["minus"]).alias("dice"), x["name"].alias("name"), F.array_join(F.slice(words, x["start"] + 1, 1 - x["less"]), " ").alias("unit")))
+
+        # a list of one, so that the words are cut once
+        return F.flatten(F.transform(F.array(F.split(segment["text"], " ")), of_words))
+
     rows = docs.select(*keep, F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER), "[^a-z0-9\n]+", " ").alias("__norm"))
     rows = rows.withColumn("__whole", clean(F.col("__norm")))
     units = F.array_distinct(F.concat(F.array("__whole"), F.transform(F.split("__norm", "\n *(?:\n *)+"), clean), F.transform(F.split("__norm", "\n"), lambda line: F.trim(line))))
@@ -117,9 +200,14 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         *keep,
         F.when(F.col("__whole") == "", 0).otherwise(F.length("__whole") - F.length(F.replace(F.col("__whole"), F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n_words"),
         F.filter(units, lambda u: F.arrays_overlap(F.split(u, " "), F.lit(telling))).alias("__units"),
+        *([F.when(reduce(or_, (F.contains("__whole", F.lit(b)) for b in needed)), F.struct("__norm", "__whole")).alias("__search")] if windows else []),
     )
     rows = rows.withColumn("__grams", F.transform("__units", grams))
-    rows = rows.withColumn("__found", F.filter(F.transform("__grams", scores), lambda s: s["dice"] > 0))
+    rows = rows.withColumn("__found", F.filter(F.zip_with(F.transform("__grams", scores), "__units", lambda s, u: F.struct(s["dice"].alias("dice"), s["name"].alias("name"), u.alias("unit"))), lambda s: s["dice"] > 0))
+    if windows:
+        search, found = F.col("__search"), F.col("__found")
+        inner = F.flatten(F.transform(segments(search["__norm"], search["__whole"], found), best_windows))
+        rows = rows.withColumn("__found", F.when(search.isNotNull(), F.array_distinct(F.concat(found, F.coalesce(inner, F.slice(found, 1, 0))))).otherwise(found))
     rows = rows.withColumn("__best", best_of(F.col("__found")))
     return rows.select(
         *keep,
@@ -132,7 +220,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir), windows=True)
 
 
 def _oracle() -> str:

@@ -42,6 +42,53 @@ def test_licences(spark, odd, empty):
     assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(empty).count() == 0
 
 
+def brute_windows(text):
+    """Names and scores of the best windows of a text without matching lines, all windows of admissible sizes scored."""
+    words, found = licenses.words_of(text), []
+    for name, template in licenses.TEMPLATES:
+        grams = licenses.bigrams_of(template)
+        for i in range(len(words)):
+            for j in range(i + 2, min(len(words), i + 1 + licenses.size_bounds(len(grams), licenses.THRESHOLD)[1]) + 1):
+                own = {f"{a} {b}" for a, b in zip(words[i:j], words[i + 1 : j], strict=False)}
+                dice = 2 * len(own & grams) / (len(own) + len(grams))
+                if dice >= licenses.THRESHOLD:
+                    found.append((-dice, i - j, name, i, j))
+    chosen = []
+    for x in sorted(found):
+        if all(x[4] <= y[3] or y[4] <= x[3] for y in chosen):
+            chosen.append(x)
+    best = min(((d, n) for d, _, n, _, _ in chosen), default=(0, None))
+    return best[1], -best[0], ",".join(sorted({x[2] for x in chosen})), len({(x[2], " ".join(words[x[3] : x[4]])) for x in chosen})
+
+
+def test_notices_inside_lines(spark):
+    inside = "several words that stand before it in one long line of the file, {} And here are some that follow it, so that the line holds much more than that."
+    texts = ["Copyright (c) 2020 Jane Doe. Licensed under the MIT License.", "Released under the MIT License. See LICENSE for details.", "All code here is licensed under the Apache License, Version 2.0."]
+    texts += [inside.format(t) for _, t in licenses.TEMPLATES]
+    texts += ["one line\nmore of it " + t.replace(" ", "\n", 2) + " and so on\nlast of all the lines of this paragraph" for _, t in licenses.TEMPLATES if t.count(" ") > 2]
+    texts += [inside.format("it is released under the MIT License. Licensed under CC BY 4.0. Licensed under the Apache License, Version 2.0.")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.dice, r.licenses, r.n_units) for r in licenses.scan(df, windows=True).collect()}
+    # lines that match by themselves are for the other tests
+    inner = [i for i, t in enumerate(texts) if brute_scan(t)[0] is None]
+    assert len(inner) > len(texts) / 2 and inner[:3] == [0, 1, 2] and all(got[i][0] for i in got)
+    assert {i: got[i] for i in inner} == {i: brute_windows(texts[i]) for i in inner}
+    assert got[len(texts) - 1][2] == "Apache-2.0,CC-BY-4.0,MIT"
+
+
+def test_windows_of_matching_lines(spark):
+    both = licenses.TEMPLATES[1][1] + " Released under the MIT License."
+    df = spark.createDataFrame([(0, both), (1, "MIT it is:\n" + both + "\nend"), (2, "Released under the MIT License.\nand")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.licenses, r.n_units) for r in licenses.scan(df, windows=True).collect()}
+    assert {i: x[1] for i, x in got.items()} == {0: "Apache-2.0,MIT", 1: "Apache-2.0,MIT", 2: "MIT"}
+    assert got[0][2] == 2 and got[2][2] == brute_scan("Released under the MIT License.\nand")[3]
+
+
+def test_query_scans_windows(spark, tmp_path):
+    spark.createDataFrame([(1, "Copyright (c) 2020 Jane Doe. Licensed under the MIT License.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.license, r.dice) for r in licenses.op3_license_scan(spark, str(tmp_path)).collect()] == [("MIT", 1.0)]
+
+
 def test_telling_words_are_needed():
     for _, t in licenses.TEMPLATES:
         grams = licenses.bigrams_of(t)
