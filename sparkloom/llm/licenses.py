@@ -62,6 +62,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_BSD = (
+    'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ',
+    '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ',
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+)
+
+#: Whole licence texts, without the line that names the holder.
+TEXTS: tuple[tuple[str, str], ...] = (
+    ("BSD-2-Clause", _BSD[0] + _BSD[2]),
+    ("BSD-3-Clause", "".join(_BSD)),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,9 +108,26 @@ def telling_words(bigrams: set[str], threshold: float) -> set[str]:
 
 
 def telling_bigrams(bigrams: set[str], threshold: float) -> set[str]:
-    """Bigrams of which every window that reaches the threshold holds at least one: one more than may be missing, long ones first."""
+    """Bigrams of which every window that reaches the threshold holds at least one: more than may be missing, of few long words."""
     may_miss = int(len(bigrams) - threshold / (2 - threshold) * len(bigrams) + 1e-9)
-    return set(sorted(bigrams, key=lambda b: (-len(b), b))[: may_miss + 1])
+    chosen: set[str] = set()
+    while len(chosen) <= may_miss:
+        left = [b.split() for b in bigrams - chosen]
+        words = {w for b in left for w in b}
+        word = max(words, key=lambda w: (len(w) >= 6, sum(w in b for b in left), len(w), w))
+        chosen |= {" ".join(b) for b in left if word in b}
+    return chosen
+
+
+def parts_of(bigrams: set[str]) -> set[str]:
+    """Strings of which each of the bigrams holds one: long words, else the bigram."""
+    out, left = set(), set(bigrams)
+    while left:
+        words = {w for b in left for w in b.split() if len(w) >= 6}
+        part = max(words, key=lambda w: (sum(w in b for b in left), w)) if words else min(left)
+        out.add(part)
+        left = {b for b in left if part not in b}
+    return out
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), windows: bool = False) -> DataFrame:
@@ -128,6 +159,13 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
         return best_of(F.filter(F.transform(known, score), lambda s: s["dice"] >= threshold))
 
+    def bound(value: Column, body) -> Column:
+        """body of the value, which is worked out once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def holds_any(strings) -> Column:
+        return reduce(or_, (F.contains("__whole", F.lit(x)) for x in sorted(strings)))
+
     def name_of(unit: Column, found: Column) -> Column:
         return F.get(F.filter(found, lambda x: x["unit"] == unit), F.lit(0))["name"]
 
@@ -156,11 +194,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     def reaching(own: Column, t: Column, names: Column) -> Column:
         """The windows that reach the threshold, as structs that sort by score, length, and whether the name is another than the unit's."""
         size = F.size(t["grams"])
-        hits = F.transform(own, lambda g: F.array_contains(t["grams"], g))
-
-        def of_start(i: Column) -> Column:
-            some, hit = F.slice(own, i + 1, t["high"]), F.slice(hits, i + 1, t["high"])
 
+        def of_start(i: Column, some: Column, hit: Column) -> Column:
             def step(a: Column, k: Column) -> Column:
                 fresh = (F.array_position(some, F.get(some, k)) == k + 1).cast("int")
                 n, both = a["n"] + fresh, a["both"] + F.when(F.get(hit, k), fresh).otherwise(0)
@@ -173,14 +208,18 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
             enough = F.size(F.filter(hit, lambda x: x)) >= t["low"]
             return F.when(enough, F.reduce(F.sequence(F.lit(0), F.size(some) - 1), start, step)["out"]).otherwise(none)
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(hits, i))
-        return F.flatten(F.transform(starts, of_start))
+        def of_hits(hits: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(hits, i))
+            cut = lambda x, i: F.slice(x, i + 1, t["high"])
+            return F.flatten(F.transform(starts, lambda i: bound(cut(own, i), lambda some: bound(cut(hits, i), lambda hit: of_start(i, some, hit)))))
+
+        return bound(F.transform(own, lambda g: F.array_contains(t["grams"], g)), of_hits)
 
     def best_windows(segment: Column) -> Column:
         """(dice, name, unit) of a segment's best windows that don't overlap."""
 
         def of_words(words: Column) -> Column:
-            return of_grams(words, F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda g: g.isNotNull()))
+            return bound(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b))), lambda g: g.isNotNull()), lambda own: of_grams(words, own))
 
         def of_grams(words: Column, own: Column) -> Column:
             likely = F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], own)) >= F.greatest(t["low"], F.lit(1)))
@@ -190,8 +229,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
             chosen = F.filter(chosen, lambda x: x["other"])
             return F.transform(chosen, lambda x: F.struct((-x["minus"]).alias("dice"), x["name"].alias("name"), F.array_join(F.slice(words, x["start"] + 1, 1 - x["less"]), " ").alias("unit")))
 
-        # a list of one, so that the words are cut once
-        return F.flatten(F.transform(F.array(F.split(segment["text"], " ")), of_words))
+        return bound(F.split(segment["text"], " "), of_words)
 
     rows = docs.select(*keep, F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER), "[^a-z0-9\n]+", " ").alias("__norm"))
     rows = rows.withColumn("__whole", clean(F.col("__norm")))
@@ -200,7 +238,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         *keep,
         F.when(F.col("__whole") == "", 0).otherwise(F.length("__whole") - F.length(F.replace(F.col("__whole"), F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n_words"),
         F.filter(units, lambda u: F.arrays_overlap(F.split(u, " "), F.lit(telling))).alias("__units"),
-        *([F.when(reduce(or_, (F.contains("__whole", F.lit(b)) for b in needed)), F.struct("__norm", "__whole")).alias("__search")] if windows else []),
+        *([F.when(holds_any(parts_of(set(needed))) & holds_any(needed), F.struct("__norm", "__whole")).alias("__search")] if windows else []),
     )
     rows = rows.withColumn("__grams", F.transform("__units", grams))
     rows = rows.withColumn("__found", F.filter(F.zip_with(F.transform("__grams", scores), "__units", lambda s, u: F.struct(s["dice"].alias("dice"), s["name"].alias("name"), u.alias("unit"))), lambda s: s["dice"] > 0))
@@ -220,7 +258,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), windows=True)
+    return scan(documents(spark, sf_dir), TEMPLATES + TEXTS, windows=True)
 
 
 def _oracle() -> str:

@@ -89,6 +89,24 @@ def test_query_scans_windows(spark, tmp_path):
     assert [(r.license, r.dice) for r in licenses.op3_license_scan(spark, str(tmp_path)).collect()] == [("MIT", 1.0)]
 
 
+def test_whole_licence_texts(spark, tmp_path):
+    wrapped = lambda t: "\n".join(t[i : i + 70] for i in range(0, len(t), 70))
+    texts = [t for _, t in licenses.TEXTS] + ["Copyright 2020 Jane Doe\n\n" + t.replace(". ", ".\n\n", 2) + "\n\nand then other things\nthat are no licence" for _, t in licenses.TEXTS]
+    texts += ["some words in front of it " + t + " and others behind it, " * 40 for _, t in licenses.TEXTS] + [wrapped(t) for _, t in licenses.TEXTS]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licenses.split(",") for r in licenses.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert all(licenses.TEXTS[i % len(licenses.TEXTS)][0] in got[i] for i in got)
+
+
+def test_telling_bigrams_are_needed():
+    for _, t in licenses.TEMPLATES + licenses.TEXTS:
+        grams = licenses.bigrams_of(t)
+        telling = licenses.telling_bigrams(grams, 0.8)
+        rest = len(grams - telling)
+        assert telling <= grams and 2 * rest / (rest + len(grams)) < 0.8
+        assert all(any(p in b for p in licenses.parts_of(telling)) for b in telling)
+
+
 def test_telling_words_are_needed():
     for _, t in licenses.TEMPLATES:
         grams = licenses.bigrams_of(t)
