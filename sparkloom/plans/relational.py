@@ -427,8 +427,7 @@ def functions_map(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.vec_id, b.vec_id AS query_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
 def functions_dot(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    # one query row, so its size is known
-    q = F.broadcast(e.filter("vec_id = 0").limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return e.crossJoin(q).select("vec_id", "query_id", F.round(columns.dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
 
 

@@ -38,3 +38,12 @@ def test_filter_reaches_the_scan(spark, sf):
     plan = catalog.queries()["filter_pushdown"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(" in plan
     assert "o_orderpriority" not in plan
+
+
+def test_dot_takes_every_query_row(spark, tmp_path):
+    from sparkloom.plans import catalog
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 3.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["functions_dot"](spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 0.0), (0, 0, 0.0), (0, 0, 1.0), (0, 0, 1.0), (1, 0, 2.0), (1, 0, 3.0)]
