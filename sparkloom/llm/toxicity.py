@@ -37,7 +37,7 @@ from sparkloom.llm.common import documents, id_text
 from sparkloom.llm.shingles import _LOWER, text_slices, words_in
 
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 4, 8
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 VOCABULARY = 1 << 16
 CLASSES = (-8.0, -4.0, -2.5, -1.5, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 11.0, 16.0)
 NEUTRAL = 4
@@ -80,7 +80,7 @@ class Texts:
         self.hashes, self.first, self.last, self.at = words_in(data, offsets, _SEPARATOR)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word and length of each window; every word is in one, most in two."""
+        """Text, first word and length of each window; every word is in one, most in three, and so is every span of WINDOW - STRIDE + 1 words."""
         n = np.diff(self.at)
         count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
         text = np.repeat(np.arange(len(n)), count)

@@ -222,6 +222,14 @@ def test_shards(odd, empty, n):
     assert sharding.shards(empty, n).count() == 0
 
 
+def test_windows_hold_every_short_span():
+    """Words up to half a window and more apart are seen together wherever they stand."""
+    text = b" ".join(b"w%d" % i for i in range(101))
+    _, start, length = toxicity.Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)])).windows()
+    held = lambda i, j: ((start <= i) & (j < start + length)).any()
+    assert all(held(i, i + 16) for i in range(101 - 16))
+
+
 def test_gradients():
     """Backpropagation against finite differences."""
     r = np.random.default_rng(0)
