@@ -120,7 +120,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # rows that repeat an id and a text: one of them stays
     again = gone.filter("__again").select("__gone", "__sha").distinct()
     if again.limit(1).count():
-        once = out.join(again, own, "left_semi").dropDuplicates([id_col, text_col])
+        once = out.join(again, own, "left_semi").withColumn("__norm_sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "__norm_sha"]).drop("__norm_sha")
         out = out.join(again, own, "left_anti").union(once)
     return out
 

@@ -33,6 +33,12 @@ def test_exact(odd, ranges):
     assert len(kept) == len(groups) and all(r.id == r.keep_id for r in kept)
 
 
+def test_exact_apply_to_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a  b"), (2, "a\tb"), (None, "c d"), (None, "c\nd"), (1, "e")]
+    out = exact_dedup.apply(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, norm(r.text)) for r in out) == Counter([(1, "a b"), (None, "c d"), (1, "e")])
+
+
 def test_exact_apply(odd, empty):
     out = exact_dedup.apply(odd)
     assert out.columns == odd.columns
