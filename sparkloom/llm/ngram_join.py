@@ -185,9 +185,13 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least
 
 
+def _part_sizes(own: np.ndarray) -> bytes:
+    return np.bincount((own >> _BIN).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
+
+
 def _rows(column: pa.Array) -> np.ndarray:
     """A column of part sizes as a matrix."""
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint16).reshape(-1, BINS)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, BINS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -239,10 +243,10 @@ def blockwise(requests: DataFrame, members: DataFrame, sets: DataFrame, num: int
         for batch in batches:
             found = []
             for hub, asking, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = np.frombuffer(b"".join(r["own"] for r in mine), np.uint16).reshape(-1, BINS)
+                b = np.frombuffer(b"".join(r["own"] for r in mine), np.uint32).reshape(-1, BINS)
                 m = b.sum(1, dtype=np.int64)
                 for r in asking:
-                    a = np.frombuffer(r["own"], np.uint16)[None, :]
+                    a = np.frombuffer(r["own"], np.uint32)[None, :]
                     n = int(a.sum(dtype=np.int64))
                     most = np.minimum(a, b).sum(1, dtype=np.int64)
                     fit = most * (num + den) >= num * (n + m)
@@ -307,7 +311,7 @@ def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_
                     rep = LAST - int(np.frombuffer(sig, np.int64)[0]) % (1 << 40) if rep is None else rep
                     if len(own) and (rep, sig) not in had:
                         had.add((rep, sig))
-                        out.append((rep, np.bincount((own >> _BIN).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes(), own.tobytes()))
+                        out.append((rep, _part_sizes(own), own.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in out], pa.int64()), *(pa.array([r[j] for r in out], pa.binary()) for j in (1, 2))], ["rep", "bins", "grams"])
 
     sets = durable(some.mapInArrow(grams, "rep bigint, bins binary, grams binary"), "sets")

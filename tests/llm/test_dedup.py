@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import anchors, exact_dedup, ngram_join, suffix_dedup
@@ -101,6 +102,13 @@ def test_groups_of_near_copies(spark, monkeypatch):
     assert got == brute_groups(rows, 4, 85, 100)
 
 
+def test_part_sizes_do_not_wrap():
+    """Two sets with more than 65535 shingles in one part, and nine tenths of them shared."""
+    own = np.arange(70_000, dtype=np.uint64)
+    sizes = [ngram_join._rows(pa.array([ngram_join._part_sizes(x)], pa.binary())) for x in (own, own[:63_000])]
+    assert [int(x.sum()) for x in sizes] == [70_000, 63_000] and ngram_join.may_reach(*sizes, 4, 5).all()
+
+
 def test_groups_apply(odd, empty):
     out = ngram_join.apply(odd)
     assert out.columns == odd.columns
