@@ -9,16 +9,21 @@
    shingles.  Two sets with Jaccard >= t share one that is, in the smaller set,
    among the first n - ceil(2t/(1+t) n) + 1.  Postings are shuffled by shingle
    and sorted by length; those without a neighbour of fitting length go.
-   Frequent shingles are dealt out over several partitions.
-3. Candidate pairs pass the length, index-prefix and positional filters, are
-   made distinct, and are verified once: a suffix filter bounds the overlap by
-   the sizes of BINS parts of the sets, then the sets themselves are merged.
-4. Only reachability is asked for, so a list's members aren't all paired: in
-   each of STARS rounds every list proposes one centre, and every document tries
-   the one that most of its lists propose.  What has no common label after that
-   is compared in full: small groups pair by pair, large ones in blocks of BLOCK
-   documents, so no link is lost and a group of near copies gives no square of
-   rows.
+   Shingles far more frequent than the mean of the table are dealt out over
+   several partitions.
+3. Candidate pairs pass the length, index-prefix and positional filters of the
+   list they come from, are made distinct, and are verified once.  The suffix
+   filter comes first: both sets are cut at fixed pivots of the hash range into
+   parts, and at least as many shingles differ as parts whose sizes differ in
+   parity, which a few bits for each shingle tell.  Pairs that pass it are merged.
+4. Only reachability is asked for, so pairs that links have joined already aren't
+   candidates: in each of STARS rounds every list proposes one centre, and every
+   document tries the one that most of its lists propose.  After that each list
+   gives all of its pairs of unlike labels; of the pairs between two labels that
+   pass the suffix filter one is verified first, the others if it fails.  A list
+   of more than LIST documents is compared in blocks, and blocks of one label
+   aren't compared with each other, so a group of near copies gives no square of
+   rows and no link is lost.
 
 Defined cases: null text is empty; empty sets have no links, each its own
 component; a document's id may be null (it can link others, and its component
@@ -35,19 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LAST, documents, durable, id_text, partitions, sized
+from sparkloom.llm.common import documents, durable, id_text, partitions, sized
 from sparkloom.llm.components import components, partly
 from sparkloom.llm.shingles import shingle_sets, signature
 
 COUNTERS = 1 << 20
 SLICES = 64
 FREQUENT = 20_000
-STARS, BLOCK, SMALL = 3, 128, 64
-#: Ids that stand for classes without any id lie above this; real ids must be below.
-NO_ID = LAST - (1 << 40)
-#: Parts of the hash range whose sizes bound an overlap.
-BINS = 256
-_BIN = np.uint64(64 - (BINS.bit_length() - 1))
+#: Rounds of stars, and one in how many lists (by hash) takes part in them, besides those of a set's first shingles.
+STARS, SAMPLED, FIRST = 2, 4, 4
+#: Documents of a list that are compared in one piece, and lists short enough to be compared many at a time.
+LIST, SHORT = 2048, 64
+#: Signatures that a task remembers, so that it emits the postings of equal sets once.
+SEEN = 1 << 18
 _SHIFT = np.uint64(64 - (COUNTERS.bit_length() - 1))
 _U = np.uint64
 
@@ -66,50 +71,54 @@ def measured(rows: DataFrame, k: int) -> DataFrame:
     """(id, n, c, d, slice, counts): c and d are the set's signature; rows with a slice hold counts of shingles instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int32)
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for i, sets in shingle_sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int32)
                 pairs = np.frombuffer(b"".join(signature(s) for s in sets), np.int64).reshape(-1, 2)
                 if n.sum():
-                    np.add.at(counts, (np.concatenate(sets) >> _SHIFT).astype(np.int64), 1)
+                    np.add.at(counts, (np.concatenate(sets) >> _SHIFT).astype(np.int64), np.uint32(1))
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, m), pa.array(n), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                     ["id", "n", "c", "d", "slice", "counts"],
                 )
         none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, pa.nulls(SLICES, pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SLICES)], pa.binary())],
-            ["id", "n", "c", "d", "slice", "counts"],
-        )
+        # the narrowest integers that hold a slice's counts
+        blobs = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in np.split(counts, SLICES)]
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["id", "n", "c", "d", "slice", "counts"])
 
     return durable(rows.mapInArrow(run, "id bigint, n int, c bigint, d bigint, slice int, counts binary"), "measured")
 
 
 def rarity(seen: DataFrame) -> np.ndarray:
     """The COUNTERS sums over all partitions; they are of a fixed size, so the driver can hold and send them."""
+    own = COUNTERS // SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[s] = sums.get(s, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+                sums[s] = sums.get(s, 0) + np.frombuffer(counts, f"u{len(counts) // own}").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     parts = seen.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
     out = np.zeros(COUNTERS, np.int32)
     for s, counts in parts:
-        out[s * (COUNTERS // SLICES) : (s + 1) * (COUNTERS // SLICES)] = np.frombuffer(counts, np.int32)
+        out[s * own : (s + 1) * own] = np.frombuffer(counts, np.int32)
     return out
 
 
-def postings(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray, frequent: int = FREQUENT) -> DataFrame:
-    """(h, salt, c, n, pos) for each prefix shingle of each class, at least once."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
+def postings(rows: DataFrame, k: int, num: int, den: int, sent, frequent: int = FREQUENT) -> DataFrame:
+    """(h, salt, c, n, pos) for each prefix shingle of each class, at least once; sent is the broadcast table of rarity.
+
+    A counter holds many shingles, so it is what it has beyond the table's mean
+    that tells of a frequent one, at any size of the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
+        usual = int(counts.mean())
         for batch in batches:
             for _, sets in shingle_sets(batch.column(1), k):
                 hs, fs, cs, ns, ps = [], [], [], [], []
@@ -117,6 +126,8 @@ def postings(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray, fr
                     n = len(own)
                     if not n or (sig := signature(own)) in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(sig)
                     often = counts[(own >> _SHIFT).astype(np.int64)]
                     p = prefix_lengths(n, num, den)[0]
@@ -127,7 +138,7 @@ def postings(rows: DataFrame, k: int, num: int, den: int, counts: np.ndarray, fr
                     ns.append(np.full(p, n, np.int32))
                     ps.append(np.arange(p, dtype=np.int32))
                 if hs:
-                    h, f, c = np.concatenate(hs).view(np.int64), np.concatenate(fs), np.concatenate(cs)
+                    h, f, c = np.concatenate(hs).view(np.int64), np.concatenate(fs).astype(np.int64) - usual, np.concatenate(cs)
                     salt = np.where(f > frequent, 1 + (c.view(_U) % np.maximum(1, f // frequent).astype(_U)).astype(np.int32), 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(c), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ps))], ["h", "salt", "c", "n", "pos"])
 
@@ -170,10 +181,37 @@ def shared(posted: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(run, "h bigint, salt int, c bigint, n int, pos int")
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The suffix filter for rows of part sizes: no more than the smaller size of each part can be shared."""
-    n, m = a.sum(-1, dtype=np.int64), b.sum(-1, dtype=np.int64)
-    return np.minimum(a, b).sum(-1, dtype=np.int64) * (num + den) >= num * (n + m)
+def part_bits(own: np.ndarray) -> bytes:
+    """The suffix filter's summary of a set: for each part of the hash range whether its size is odd; four to eight parts for each shingle."""
+    parts = max(64, 1 << (4 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & _U(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and offsets of a binary column without nulls."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), at
+
+
+def may_reach(n: np.ndarray, m: np.ndarray, a: pa.Array, b: pa.Array, num: int, den: int) -> np.ndarray:
+    """The suffix filter for pairs of sets of n and m shingles: the parts that differ bound the overlap from above."""
+    (a, at), (b, bt) = _bytes_of(a), _bytes_of(b)
+    wide, narrow = np.diff(at), np.diff(bt)
+    differ = np.zeros(len(n), np.int64)
+    kinds = wide * (1 << 32) + narrow
+    for kind in np.unique(kinds).tolist():
+        rows, (x, y) = np.flatnonzero(kinds == kind), divmod(kind, 1 << 32)
+        step = max(1, (1 << 23) // max(x, y))
+        for i in range(0, len(rows), step):
+            some = rows[i : i + step]
+            p, q = a[at[some][:, None] + np.arange(x)], b[bt[some][:, None] + np.arange(y)]
+            # the finer parts of the larger set are put together: parity adds up
+            while p.shape[1] > q.shape[1]:
+                p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+            while q.shape[1] > p.shape[1]:
+                q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2 :]
+            differ[some] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+    return (n + m - differ) * (num + den) >= 2 * num * (n + m)
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, least: int) -> bool:
@@ -185,22 +223,26 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least
 
 
-def _part_sizes(own: np.ndarray) -> bytes:
-    return np.bincount((own >> _BIN).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
+def likely(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y, ...) that pass the suffix filter."""
+    names = pairs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_x", "n_y"))
+                yield batch.select(names).filter(pa.array(may_reach(n, m, batch.column("bits_x"), batch.column("bits_y"), num, den)))
 
-def _rows(column: pa.Array) -> np.ndarray:
-    """A column of part sizes as a matrix."""
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, BINS)
+    own = sets.select("node", "n", "bits")
+    full = pairs.join(own.toDF("x", "n_x", "bits_x"), "x").join(own.toDF("y", "n_y", "bits_y"), "y")
+    return full.select(*names, "n_x", "n_y", "bits_x", "bits_y").mapInArrow(run, pairs.schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The linked ones (u, v) of pairs (x, y): those that pass the suffix filter are compared in full."""
+    """The linked ones (u, v) of distinct pairs (x, y), which durable() has written: the sets are compared in full.
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(may_reach(_rows(batch.column(2)), _rows(batch.column(3)), num, den)))
+    The set of x moves once for each pair, that of y once at all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,142 +252,241 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 out.append(overlap_reaches(a, b, needed(len(a), len(b), num, den)))
             yield batch.select([0, 1]).filter(pa.array(out, pa.bool_())).rename_columns(["u", "v"])
 
-    for column, step, schema in (("bins", filtered, "x bigint, y bigint"), ("grams", run, "u bigint, v bigint")):
-        own = sets.select("rep", column)
-        full = pairs.join(own.toDF("x", "of_x"), "x").join(own.toDF("y", "of_y"), "y").select("x", "y", "of_x", "of_y")
-        pairs = full.mapInArrow(step, schema)
-    return pairs
+    own = sets.select("node", "grams")
+    some = sized(pairs)
+    x = own.toDF("x", "of_x").join(some, "x")
+    y = own.toDF("y", "of_y").join(some.select("y").distinct() if some is pairs else F.broadcast(pairs.select("y").distinct()), "y", "left_semi")
+    return x.join(y, "y").select("x", "y", "of_x", "of_y").mapInArrow(run, "u bigint, v bigint")
 
 
-def blockwise(requests: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) between the documents x of requests (hub, label, x) and members of the label hub.
+def _fitting(num: int, den: int, n: str, m: str) -> str:
+    return f"{n} * {den} >= {m} * {num} and {m} * {den} >= {n} * {num}"
 
-    Both sides are cut into blocks of about BLOCK documents.  First blocks of
-    part sizes are compared, which leaves requests that pass the suffix filter
-    with a member.  Each of them is compared with the most likely member; if a
-    document of a label is linked, the label is done with that hub.  Only what is
-    left meets in blocks of sets, each document until one link is found.
+
+def _unlike(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows i, j of one list have unlike labels and pass the length, index-prefix and positional filters."""
+    n, m, p, q = c["n"][i], c["n"][j], c["pos"][i], c["pos"][j]
+    ok = (c["label"][i] != c["label"][j]) & (n * den >= m * num) & (m * den >= n * num)
+    ok &= np.where(n <= m, c["indexed"][i], False) | np.where(m <= n, c["indexed"][j], False)
+    return ok & ((np.minimum(p, q) + 1 + np.minimum(n - 1 - p, m - 1 - q)) * (num + den) >= num * (n + m))
+
+
+def pairs_of_lists(c: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the candidate pairs of whole pieces of lists, which are runs of equal h and piece.
+
+    Rows of side 0 are compared with each other, those of sides 1 and 2 across.
     """
+    fresh = np.ones(len(c["h"]), bool)
+    fresh[1:] = (c["h"][1:] != c["h"][:-1]) | (c["piece"][1:] != c["piece"][:-1])
+    run, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(run)))
+    short = np.flatnonzero((size[run] <= SHORT) & (c["side"] == 0))
+    for d in range(1, min(SHORT, int(size.max(initial=0)))):
+        i, j = short[:-d], short[d:]
+        same = run[i] == run[j]
+        if not same.any():
+            break
+        i, j = i[same], j[same]
+        ok = _unlike(c, i, j, num, den)
+        yield i[ok], j[ok]
+    for r in np.flatnonzero((size > SHORT) | (c["side"][first] > 0)).tolist():
+        rows = np.arange(first[r], first[r] + size[r])
+        side, label = c["side"][rows], c["label"][rows]
+        if side[0]:
+            left, right, after = rows[side == 1], rows[side == 2], False
+        else:
+            # no pair lies among the rows of the most frequent label, so these come last and only on the right
+            names, number = np.unique(label, return_inverse=True)
+            most = np.bincount(number).argmax() if len(names) else 0
+            rows = np.concatenate([rows[number != most], rows[number == most]])
+            left, right, after = rows[: int((number != most).sum())], rows, True
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for k in range(0, len(left), step):
+            i, j = np.meshgrid(np.arange(k, min(k + step, len(left))), np.arange(len(right)), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            if after:
+                i, j = i[j > i], j[j > i]
+            i, j = left[i], right[j]
+            ok = _unlike(c, i, j, num, den)
+            yield i[ok], j[ok]
+
+
+def contenders(marked: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, of_x, of_y), x < y: the distinct candidate pairs of all lists whose labels of_x and of_y differ."""
+    spark = marked.sparkSession
+    sizes = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("h", "size")
+    mixed = durable(marked.join(sizes, "h"), "mixed-lists")
+    columns = ["h", "node", "label", "n", "pos", "indexed"]
+    pieces = mixed.filter(f"size <= {LIST}").select(*columns, F.lit(0).cast("bigint").alias("piece"), F.lit(0).alias("side"))
+    long = mixed.filter(f"size > {LIST}")
+    if long.limit(1).count():
+        parts = long.groupBy("h", "label").agg(F.count(F.lit(1)).alias("own"))
+        # a label with many documents has blocks of its own, the others share blocks
+        parts = parts.withColumn("kind", F.when(F.col("own") >= LIST // 2, F.col("label")).otherwise(F.lit(-1)))
+        blocks = durable(parts.groupBy("h", "kind").agg(F.ceil(F.sum("own") * 2 / LIST).alias("blocks")), "blocks")
+        kinds = parts.filter("kind >= 0").select("h", "label", "kind")
+        rows = long.join(kinds, ["h", "label"], "left").withColumn("kind", F.coalesce("kind", F.lit(-1))).join(blocks, ["h", "kind"])
+        rows = durable(rows.select(*columns, "kind", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "long-lists")
+        each = blocks.select("h", "kind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        a, b = each.toDF("h", "kind", "block"), each.toDF("h", "other", "other_block")
+        units = a.join(b, "h").filter("(kind, block) <= (other, other_block) and (kind <> other or kind < 0)")
+        units = durable(units.withColumn("piece", F.xxhash64("kind", "block", "other", "other_block")), "pieces")
+        alone = F.expr("kind = other and block = other_block")
+        first = rows.join(units.withColumn("side", F.when(alone, 0).otherwise(1)).drop("other", "other_block"), ["h", "kind", "block"])
+        second = rows.join(units.filter(~alone).select("h", F.col("other").alias("kind"), F.col("other_block").alias("block"), "piece", F.lit(2).alias("side")), ["h", "kind", "block"])
+        pieces = pieces.union(first.select(*columns, "piece", "side")).union(second.select(*columns, "piece", "side"))
+
+    names = [*columns, "piece", "side"]
 
-    def blocks(docs: DataFrame, name: str, column: str) -> DataFrame:
-        sizes = docs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        cut = docs.join(sizes, "hub").withColumn(name, F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        return cut.join(sets.select("rep", F.col(column).alias("own")), "rep").groupBy("hub", name).agg(F.collect_list(F.struct("rep", "own")).alias(f"{name}_rows"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
 
-    def compared(requests: DataFrame, column: str, step, schema: str) -> DataFrame:
-        own = durable(blocks(members.join(requests.select("hub").distinct(), "hub"), "m", column), "member-blocks")
-        asked = durable(blocks(requests.withColumnRenamed("x", "rep"), "a", column), "asking-blocks")
-        numbers = asked.select("hub", "a").join(own.select("hub", "m"), "hub")
-        rows = numbers.join(asked, ["hub", "a"]).join(own, ["hub", "m"]).select("hub", "a_rows", "m_rows")
-        return rows.mapInArrow(step, schema)
+        def found(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i, j in pairs_of_lists(c, num, den):
+                if len(i):
+                    swap = c["node"][i] > c["node"][j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k][r]) for k, r in (("node", i), ("node", j), ("label", i), ("label", j))], ["x", "y", "of_x", "of_y"])
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for hub, asking, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                b = np.frombuffer(b"".join(r["own"] for r in mine), np.uint32).reshape(-1, BINS)
-                m = b.sum(1, dtype=np.int64)
-                for r in asking:
-                    a = np.frombuffer(r["own"], np.uint32)[None, :]
-                    n = int(a.sum(dtype=np.int64))
-                    most = np.minimum(a, b).sum(1, dtype=np.int64)
-                    fit = most * (num + den) >= num * (n + m)
-                    if fit.any():
-                        # the largest bound on the similarity, in whole steps so that it sorts as a number
-                        bound = np.where(fit, most * 1_000_000 // (n + m - most), -1)
-                        best = int(bound.argmax())
-                        found.append((hub, r["rep"], int(bound[best]), mine[best]["rep"]))
-            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(4)], ["hub", "x", "bound", "m"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for asking, mine in zip(batch.column(1), batch.column(2), strict=True):
-                mine = sorted(((r["rep"], np.frombuffer(r["own"], _U)) for r in mine.as_py()), key=lambda r: len(r[1]))
-                for r in asking.as_py():
-                    a = np.frombuffer(r["own"], _U)
-                    for rep, b in mine:
-                        if len(b) * den >= len(a) * num and len(a) * den >= len(b) * num and overlap_reaches(a, b, needed(len(a), len(b), num, den)):
-                            links.append((r["rep"], rep))
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["u", "v"])
-
-    asked = compared(requests.select("hub", "x"), "bins", fit, "hub bigint, x bigint, bound bigint, m bigint")
-    best = asked.groupBy("hub", "x").agg(F.max(F.struct("bound", "m")).getField("m").alias("m"))
-    best = durable(best.join(requests, ["hub", "x"]), "likely")
-    linked = durable(verified(best.select("x", F.col("m").alias("y")).distinct(), sets, num, den), "likely-links")
-    done = best.join(linked.select(F.col("u").alias("x"), F.col("v").alias("m")), ["x", "m"]).select("hub", "label").distinct()
-    left = durable(best.join(done, ["hub", "label"], "left_anti").select("hub", "x").distinct(), "requests-left")
-    return linked.union(compared(left, "grams", link, "u bigint, v bigint"))
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            c |= {k: c[k].astype(np.int64) for k in ("n", "pos")}
+            if held is not None:
+                c = {k: np.concatenate([held[k], c[k]]) for k in names}
+            # the last piece may go on in the next batch
+            last = int(np.flatnonzero((c["h"] != c["h"][-1]) | (c["piece"] != c["piece"][-1])).max(initial=-1)) + 1
+            yield from found({k: v[:last] for k, v in c.items()})
+            held = {k: v[last:] for k, v in c.items()}
+        if held is not None:
+            yield from found(held)
+
+    dealt = pieces.repartition(partitions(spark), "h", "piece").sortWithinPartitions("h", "piece")
+    return dealt.mapInArrow(run, "x bigint, y bigint, of_x bigint, of_y bigint").distinct()
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, n, bits, grams) of the wanted classes (id, c, d, node)."""
+
+    def found(named: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, sets in shingle_sets(batch.column("text"), k):
+                    out = []
+                    for j, own in enumerate(sets):
+                        c, d = np.frombuffer(signature(own), np.int64).tolist()
+                        # an id can stand for several texts
+                        if len(own) and (not named or (c, d) == (batch.column("c")[i + j].as_py(), batch.column("d")[i + j].as_py())):
+                            out.append((batch.column("node")[i + j].as_py() if named else c, d, len(own), part_bits(own), own.tobytes()))
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["node", "d", "n", "bits", "grams"])
+
+        return run
+
+    schema = "node bigint, d bigint, n int, bits binary, grams binary"
+    some = rows.join(sized(durable(wanted.filter("id is not null"), "wanted")), "id").select("text", "c", "d", "node")
+    out = some.mapInArrow(found(True), schema).drop("d")
+    nameless = wanted.filter("id is null").select("c", "d", "node")
+    if nameless.limit(1).count():
+        own = rows.filter("id is null").mapInArrow(found(False), schema).withColumnRenamed("node", "c")
+        own = own.groupBy("c", "d").agg(*(F.first(x).alias(x) for x in ("n", "bits", "grams")))
+        out = out.union(own.join(nameless, ["c", "d"]).select("node", "n", "bits", "grams"))
+    return durable(out, "sets")
 
 
-def _fitting(num: int, den: int, n: str, m: str) -> str:
-    return f"{n} * {den} >= {m} * {num} and {m} * {den} >= {n} * {num}"
+def _marked(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists with each document's label."""
+    if labels is None:
+        return lists.withColumn("label", F.col("node"))
+    return lists.join(sized(labels).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs; linked when Jaccard >= threshold (a fraction)."""
-    num, den = threshold
-    rows = id_text(docs, id_col, text_col)
-    seen = measured(rows, k)
-    counts = rarity(seen)
-    key = F.coalesce("id", F.lit(LAST) - F.pmod("c", F.lit(1 << 40)))
-    docs_seen = seen.filter("slice is null").select("id", "n", "c", "d", key.alias("key"))
-    classes = docs_seen.filter("n > 0").groupBy("c", "d").agg(F.min("key").alias("rep"), F.first("n").alias("n"))
-    classes = durable(classes, "classes")
-    indexing = f"n + 1 - cast(ceil({2 * num} * cast(n as bigint) / {num + den}) as int)"
-    lists = shared(postings(rows, k, num, den, counts, frequent), num, den).join(sized(classes.select("c", "n", "rep")), ["c", "n"])
-    lists = durable(lists.select("h", "rep", F.col("n").cast("bigint").alias("n"), "pos", F.expr(f"pos < {indexing}").alias("indexed")), "lists")
+def _proposed(lists: DataFrame, labels: DataFrame | None, star: int, num: int, den: int) -> DataFrame:
+    """(x, y): each document with the centre that most of its lists propose."""
+    marked = _marked(lists.filter(f"pos < {FIRST} or pmod(h, {SAMPLED}) = 0"), labels)
+    # in the first round the document with the fewest rarer shingles than the list's, which is the likest to all others; then any
+    by = F.col("pos") / F.col("n") if star == 0 else F.xxhash64("node", F.lit(star))
+    centre = marked.groupBy("h").agg(F.min(F.struct(by.alias("by"), "node", "n", "pos", "indexed", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+    centre = centre.filter("low < high").select("h", "hub")
+    pairs = marked.join(centre, "h").filter("label <> hub.label").filter(_fitting(num, den, "n", "hub.n"))
+    pairs = pairs.filter("case when n < hub.n then indexed when n > hub.n then hub.indexed else indexed or hub.indexed end")
+    pairs = pairs.filter(f"least(pos, hub.pos) + 1 + least(n - 1 - pos, hub.n - 1 - hub.pos) >= ceil({num} * (n + hub.n) / {num + den})")
+    pairs = pairs.groupBy(F.col("node").alias("x"), F.col("hub.node").alias("y")).agg(F.count(F.lit(1)).alias("lists"))
+    return pairs.groupBy("x").agg(F.max(F.struct("lists", "y")).getField("y").alias("y"))
 
-    wanted = sized(durable(lists.select("rep").distinct(), "wanted"))
-    some = rows.join(wanted, F.col("id") == F.col("rep"), "left_semi").union(rows.filter("id is null"))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had = set()
-        for batch in batches:
-            for i, sets in shingle_sets(batch.column(1), k):
-                out = []
-                for j, own in enumerate(sets):
-                    sig = signature(own)
-                    rep = batch.column(0)[i + j].as_py()
-                    rep = LAST - int(np.frombuffer(sig, np.int64)[0]) % (1 << 40) if rep is None else rep
-                    if len(own) and (rep, sig) not in had:
-                        had.add((rep, sig))
-                        out.append((rep, _part_sizes(own), own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in out], pa.int64()), *(pa.array([r[j] for r in out], pa.binary()) for j in (1, 2))], ["rep", "bins", "grams"])
-
-    sets = durable(some.mapInArrow(grams, "rep bigint, bins binary, grams binary"), "sets")
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
 
+def _links(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): linked pairs, enough to connect whatever is connected by links."""
     labels, tried, links = None, None, None
     for star in range(STARS):
-        marked = _marked(lists, labels)
-        # the first round ties lists to their smallest document, the next ones to others
-        first = F.col("rep") if labels is None else F.xxhash64("rep", F.lit(star))
-        centre = marked.groupBy("h").agg(F.min(F.struct(first.alias("by"), "rep", "n", "pos", "indexed", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-        centre = centre.filter("low < high").select("h", "hub")
-        pairs = marked.join(centre, "h").filter("label <> hub.label").filter(_fitting(num, den, "n", "hub.n"))
-        pairs = pairs.filter("case when n < hub.n then indexed when n > hub.n then hub.indexed else indexed or hub.indexed end")
-        pairs = pairs.filter(f"least(pos, hub.pos) + 1 + least(n - 1 - pos, hub.n - 1 - hub.pos) >= ceil({num} * (n + hub.n) / {num + den})")
-        # each document tries the centre that most of its lists propose
-        pairs = pairs.groupBy("rep", F.col("hub.rep").alias("of")).agg(F.count(F.lit(1)).alias("lists"))
+        pairs = _proposed(lists, labels, star, num, den)
         if tried is not None:
-            pairs = pairs.withColumns({"x": F.least("rep", "of"), "y": F.greatest("rep", "of")}).join(tried, ["x", "y"], "left_anti")
-        pairs = pairs.groupBy("rep").agg(F.max(F.struct("lists", F.col("of"))).alias("best")).select("rep", "best.of")
-        pairs = durable(pairs.select(F.least("rep", "of").alias("x"), F.greatest("rep", "of").alias("y")).distinct(), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = durable(verified(pairs, sets, num, den), "links")
+            pairs = pairs.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tried.toDF("a", "b"), ["a", "b"], "left_anti").select("x", "y")
+        # two documents can propose each other
+        pairs = durable(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y"), "pairs")
+        tried = _both_ways(pairs) if tried is None else tried.union(_both_ways(pairs))
+        found = durable(verified(durable(likely(pairs, sets, num, den), "likely"), sets, num, den), "links")
         links = found if links is None else links.union(found)
         labels = partly(links)
-
-    links = links.union(_rest(lists, labels, tried, sets, num, den))
-    out = durable(docs_seen.join(classes.select("c", "d", "rep"), ["c", "d"], "left").select("id", "n", "rep"), "placed")
+    pairs = contenders(_marked(lists, labels), num, den).join(tried, ["x", "y"], "left_anti")
+    left = durable(likely(pairs, sets, num, den), "contenders")
+    # one of each two labels' pairs first: if it is linked, the others tell nothing new
+    ends = [F.least("of_x", "of_y"), F.greatest("of_x", "of_y")]
+    one = durable(left.groupBy(*ends).agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y"), "one-each")
+    found = durable(verified(one, sets, num, den), "links")
+    links = links.union(found)
+    labels = sized(partly(links))
+    rest = left.join(one, ["x", "y"], "left_anti").select("x", "y")
+    for c in ("x", "y"):
+        rest = rest.join(labels.toDF(c, f"of_{c}"), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    rest = durable(rest.filter("of_x <> of_y").select("x", "y"), "rest")
+    return links.union(durable(verified(rest, sets, num, den), "links"))
+
+
+def joined(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row (id, n, c, d), the classes of equal sets (c, d, id, n, node), and verified links (u, v) between their nodes."""
+    num, den = threshold
+    rows = id_text(docs, id_col, text_col)
+    seen = measured(rows, k)
+    sent = docs.sparkSession.sparkContext.broadcast(rarity(seen))
+    placed = seen.filter("slice is null").select("id", "n", "c", "d")
+    classes = placed.filter("n > 0").groupBy("c", "d").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    indexing = f"n + 1 - cast(ceil({2 * num} * cast(n as bigint) / {num + den}) as int)"
+    lists = shared(postings(rows, k, num, den, sent, frequent), num, den).join(sized(classes.select("c", "n", "node")), ["c", "n"])
+    lists = durable(lists.select("h", "node", F.col("n").cast("bigint").alias("n"), "pos", F.expr(f"pos < {indexing}").alias("indexed")), "lists")
+    sent.destroy()
+    sets = _sets(rows, classes.join(lists.select("node").distinct(), "node", "left_semi").select("id", "c", "d", "node"), k)
+    links = _links(lists, sets, num, den)
     # ids that stand for several sets tie them together
-    again = out.filter("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u < v").select("id", "u")
-    links = links.union(out.join(again, "id").filter("rep <> u").select("u", F.col("rep").alias("v")))
-    out = out.join(sized(components(links)).toDF("rep", "label"), "rep", "left")
-    component = F.coalesce("label", "rep", "id")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(component)
-    return out.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"))
+    named = placed.filter("id is not null and n > 0").join(sized(classes.select("c", "d", "node")), ["c", "d"]).select("id", "node")
+    ties = named.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v").select("id", "u")
+    return placed, classes, links.union(named.join(ties, "id").filter("node <> u").select("u", F.col("node").alias("v")))
+
+
+def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs; linked when Jaccard >= threshold (a fraction)."""
+    placed, classes, links = joined(docs, k, threshold, id_col, text_col, frequent)
+    labels = components(links)
+    known = durable(classes.select("node", "id").join(labels, "node"), "labelled")
+    least = known.groupBy("label").agg(F.min("id").alias("least"))
+    tops = sized(durable(known.join(least, "label").select("node", "least"), "least-ids"))
+    own = durable(classes.select("c", "d", F.col("id").alias("own"), "node").join(tops, "node", "left").select("c", "d", F.when(F.col("least").isNull(), F.col("own")).otherwise(F.col("least")).alias("component")), "components-of-classes")
+    out = placed.join(sized(own), ["c", "d"], "left")
+    return out.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, linked_id): verified links between the smallest ids of classes of equal sets, enough to connect every component; not all there are."""
+    _, classes, found = joined(docs, k, threshold, id_col, text_col)
+    ids = sized(classes.select("node", "id"))
+    found = found.join(ids.toDF("u", "id"), "u").join(ids.toDF("v", "linked_id"), "v").filter("id <> linked_id")
+    return found.select(F.least("id", "linked_id").alias("id"), F.greatest("id", "linked_id").alias("linked_id")).distinct()
 
 
 def apply(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,38 +496,6 @@ def apply(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_c
     return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
 
 
-def _marked(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """lists with each document's label."""
-    if labels is None:
-        return lists.withColumn("label", F.col("rep"))
-    return lists.join(sized(labels).toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
-
-def _rest(lists: DataFrame, labels: DataFrame | None, tried: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between labels that share a list and haven't been compared in full."""
-    marked = _marked(lists, labels)
-    members = durable(marked.select("label", "rep").distinct(), "members")
-    sizes = sized(durable(members.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes"))
-    marked = marked.join(sizes, "label")
-    parts = marked.groupBy("h", "label", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("indexed").alias("indexed"))
-    several = parts.groupBy("h").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("h")
-    parts = durable(parts.join(several, "h", "left_semi"), "parts")
-    a = parts.select("h", *(F.col(c).alias(f"a_{c}") for c in ("label", "size", "low", "high", "indexed")))
-    b = parts.select("h", *(F.col(c).alias(f"b_{c}") for c in ("label", "size", "low", "high", "indexed")))
-    both = a.join(b, "h").filter("a_size > b_size or (a_size = b_size and a_label < b_label)").filter("a_indexed or b_indexed")
-    both = both.filter(f"a_high * {den} >= b_low * {num} and b_high * {den} >= a_low * {num}")
-    both = durable(both.select("a_label", "b_label", "a_size", "b_size").distinct(), "label-pairs")
-    small = both.filter(f"a_size * b_size <= {SMALL}")
-    pairs = small.join(members.toDF("a_label", "p"), "a_label").join(members.toDF("b_label", "q"), "b_label")
-    pairs = pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).join(tried, ["x", "y"], "left_anti")
-    found = verified(durable(pairs.distinct(), "pairs"), sets, num, den)
-    large = both.filter(f"a_size * b_size > {SMALL}").select(F.col("a_label").alias("hub"), F.col("b_label").alias("label"))
-    if large.limit(1).count():
-        requests = durable(large.join(members, "label").select("hub", "label", F.col("rep").alias("x")).distinct(), "requests")
-        found = found.union(blockwise(requests, members.toDF("hub", "rep"), sets, num, den))
-    return durable(found, "rest")
-
-
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir), 4, (85, 100)).withColumnRenamed("id", "doc_id")
 

@@ -95,18 +95,73 @@ def test_groups_of_near_copies(spark, monkeypatch):
     for i in range(12):
         chain[i * 8] = f"c{i}"
         rows.append((1000 - i, " ".join(chain)))
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "LIST", 16)
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
     monkeypatch.setattr(ngram_join, "STARS", 1)
-    got = Counter(tuple(x) for x in ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, (85, 100), frequent=20).collect())
+    tried = []
+    verified = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a: (tried.extend(frozenset(r) for r in pairs.collect()), verified(pairs, *a))[1])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(tuple(x) for x in ngram_join.groups(df, 4, (85, 100), frequent=20).collect())
     assert got == brute_groups(rows, 4, 85, 100)
+    # once per pair, and not all pairs of the group
+    assert 0 < len(tried) == len(set(tried)) < 90 * 89 / 4
 
 
-def test_part_sizes_do_not_wrap():
-    """Two sets with more than 65535 shingles in one part, and nine tenths of them shared."""
-    own = np.arange(70_000, dtype=np.uint64)
-    sizes = [ngram_join._rows(pa.array([ngram_join._part_sizes(x)], pa.binary())) for x in (own, own[:63_000])]
-    assert [int(x.sum()) for x in sizes] == [70_000, 63_000] and ngram_join.may_reach(*sizes, 4, 5).all()
+def test_links(spark, odd):
+    """Verified links are links of the brute force, and connect what it connects."""
+    rows = [r[:2] for r in odd_rows()]
+    sets = {}
+    for d, t in rows:
+        sets.setdefault(d, []).append(shingles(t, 4))
+    found = [tuple(r) for r in ngram_join.links(odd, 4, (85, 100)).collect()]
+    like = lambda a, b: bool(a & b) and 100 * len(a & b) >= 85 * len(a | b)
+    assert found and all(any(like(a, b) for a in sets[i] for b in sets[j]) for i, j in found)
+
+
+def test_pieces_of_lists():
+    """Candidate pairs of lists of all shapes against a loop over all pairs."""
+    r = np.random.default_rng(3)
+    num, den = 4, 5
+    c = {k: [] for k in ("h", "piece", "side", "node", "label", "n", "pos", "indexed")}
+    for h, (size, across) in enumerate([(1, 0), (2, 0), (7, 0), (64, 0), (65, 0), (200, 0), (3, 1), (90, 1)]):
+        n = r.integers(5, 30, size)
+        values = {"h": np.full(size, h), "piece": np.zeros(size), "side": np.arange(size) % 2 + 1 if across else np.zeros(size), "node": np.arange(size), "label": r.integers(0, 4, size), "n": n, "pos": r.integers(0, 5, size), "indexed": r.random(size) < 0.6}
+        for k in c:
+            c[k].append(values[k])
+    c = {k: np.concatenate(v).astype(bool if k == "indexed" else np.int64) for k, v in c.items()}
+    got = Counter(frozenset((int(i), int(j))) for x, y in ngram_join.pairs_of_lists(c, num, den) for i, j in zip(x, y, strict=True))
+    want = set()
+    for i in range(len(c["h"])):
+        for j in range(i):
+            n, m, p, q = (int(c[k][x]) for k in ("n", "pos") for x in (i, j))
+            same = c["h"][i] == c["h"][j] and c["label"][i] != c["label"][j] and (not c["side"][i] or c["side"][i] != c["side"][j])
+            short = c["indexed"][i] and n <= m or c["indexed"][j] and m <= n
+            if same and short and n * den >= m * num and m * den >= n * num and min(p, q) + 1 + min(n - 1 - p, m - 1 - q) >= ngram_join.needed(n, m, num, den):
+                want.add(frozenset((i, j)))
+    assert want and got == Counter(want)
+
+
+@pytest.mark.parametrize("size", [3, 400, 200_000])
+def test_suffix_filter_keeps_links(size):
+    """Pairs at the threshold pass, also of sets so large that sizes of parts would not fit 16 bits, and of unlike sizes."""
+    own = np.random.default_rng(1).permutation(np.arange(2 * size, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    bits = lambda x: pa.array([ngram_join.part_bits(x)], pa.binary())
+    for a, b in ((own[:size], own[:size]), (own[:size], own[: -(-size * 4 // 5)]), (own[:size], own[size // 10 : size])):
+        both = len(np.intersect1d(a, b))
+        passed = ngram_join.may_reach(np.array([len(a)]), np.array([len(b)]), bits(a), bits(b), 4, 5)
+        assert passed.all() or 5 * both < 4 * (len(a) + len(b) - both)
+    assert size < 100 or not ngram_join.may_reach(np.array([size]), np.array([size]), bits(own[:size]), bits(own[size:]), 4, 5).any()
+
+
+def test_lone_postings_go_when_counters_are_full(spark):
+    """Rarity is told by what a counter has beyond the mean, so a corpus that fills the table keeps no lone postings."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(20)] + [(100 + i, "a b c d e f g h") for i in range(2)]
+    df = ngram_join.id_text(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    full = spark.sparkContext.broadcast(np.full(ngram_join.COUNTERS, 1 << 20, np.int32))
+    found = ngram_join.postings(df, 4, 4, 5, full)
+    assert found.filter("salt > 0").count() == 0 and found.count() > 100
+    assert ngram_join.shared(found, 4, 5).count() == 0
 
 
 def test_groups_apply(odd, empty):
