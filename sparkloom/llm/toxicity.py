@@ -2,62 +2,77 @@
 
 Input of a step is a word: a vector for its class of evidence (how much more
 often toxic texts hold the word, as the signed root of the log likelihood ratio,
-cut at CLASSES) and the mean of its characters' vectors.  Two gated recurrent
-chains read a window of WINDOW words, an attention layer pools their states, and
-a logistic unit gives the window's score.  A text is scored by all its windows,
-STRIDE words apart and so overlapping; the largest score is calibrated to a
-probability.
+cut at CLASSES), a vector for the word itself (one of BUCKETS, by hash), and the
+last states of two gated recurrent chains over its characters, one in each
+direction.  Words of more than CHARS bytes are several steps.  Two gated
+recurrent chains read a window of WINDOW words, an attention layer pools their
+states, and a logistic unit gives the window's score.  A text is scored by all
+its windows, STRIDE words apart and so overlapping; the largest score is
+calibrated to a probability.
 
 Training: at most MAX_TOXIC and MAX_CLEAN labelled rows (those with the smallest
-hash of their id, so a fixed sample) outside the held-out third come to the
-driver; equal texts count once.  While a text is learned from, its words'
-classes come from the other FOLDS - 1 parts of the texts, so chance words of few
-texts carry no more weight than they deserve.  Only windows are learned from, those with the largest
-evidence of each text and, for clean texts, some others, since a label says
-nothing of where a text is toxic.  The model has a bounded size and is sent to the executors, which score
-whole texts in slices.
+hash of their id, so a fixed sample) of at most MAX_BYTES together, outside the
+held-out third, come to one task; equal texts count once.  While a text is
+learned from, its words' classes come from the other FOLDS - 1 parts of the
+texts, so chance words of few texts carry no more weight than they deserve; for
+the same reason vectors of single words are left out half of the time, and the
+calibration uses a part that the network hasn't seen.  Only windows are learned
+from, those with the largest evidence of each text and, for clean texts, some
+others, since a label says nothing of where a text is toxic.  The model has a
+bounded size and is sent to the executors, which score whole texts in slices.
 
 Defined cases: null and empty texts, and texts without words, have the score of
 no evidence, below any window's; null ids and repeated rows are scored like
-others; rows with a null label or without text aren't learned from; with no
-toxic or no clean row every score is 0; an empty table gives an empty result.
+others; rows with a null label or without text aren't learned from; of rows that
+repeat a labelled id the text with the smallest hash is; with no toxic or no
+clean row every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, id_text
-from sparkloom.llm.shingles import _LOWER, text_slices, words_in
+from sparkloom.llm.common import documents, durable, id_text
+from sparkloom.llm.shingles import _LOWER, mix, text_slices, words_in
 
-HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 6, 4, 8
-WINDOW, STRIDE = 24, 8
-VOCABULARY = 1 << 16
+HIDDEN, CLASS_DIM, WORD_DIM, CHAR_DIM, CHAR_HIDDEN, ATTENTION = 8, 6, 4, 6, 4, 8
+WINDOW, STRIDE, CHARS = 24, 8, 16
+VOCABULARY, BUCKETS = 1 << 16, 1 << 12
 CLASSES = (-8.0, -4.0, -2.5, -1.5, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 11.0, 16.0)
 NEUTRAL = 4
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
-EPOCHS, BATCH, RATE, FOLDS = 8, 256, 0.01, 5
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 64 << 20
+EPOCHS, BATCH, RATE, FOLDS, DECAY = 8, 256, 0.01, 5, 1e-4
+#: The part of the labelled texts that only calibrates, if it has so many toxic ones.
+TEST_FOLD, TEST_TOXIC = 0, 30
 REJECT = 0.7
 NO_EVIDENCE = -8.0
-_D, _H2 = WORD_DIM + CHAR_DIM, 2 * HIDDEN
+_H2, _C2 = 2 * HIDDEN, 2 * CHAR_HIDDEN
+_D = CLASS_DIM + WORD_DIM + _C2
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[128:] = False
 for _span in (b"az", b"AZ", b"09"):
     _SEPARATOR[_span[0] : _span[1] + 1] = False
 
-#: Gates z, r, n, each with HIDDEN columns of the forward and of the backward chain; the chains don't mix.
-_CHAINS = np.zeros((_H2, 3 * _H2), np.float32)
-for _g in range(3):
-    _CHAINS[:HIDDEN, _g * _H2 : _g * _H2 + HIDDEN] = 1
-    _CHAINS[HIDDEN:, _g * _H2 + HIDDEN : (_g + 1) * _H2] = 1
-_FORWARD = np.tile(np.repeat([True, False], HIDDEN), 3)
+
+def _chains(hidden: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gates z, r, n, each with ``hidden`` columns of the forward and of the backward chain: which weights there are, as the chains don't mix, and which columns are forward."""
+    own = np.zeros((2 * hidden, 6 * hidden), np.float32)
+    for g in range(3):
+        own[:hidden, 2 * g * hidden : (2 * g + 1) * hidden] = 1
+        own[hidden:, (2 * g + 1) * hidden : (2 * g + 2) * hidden] = 1
+    return own, np.tile(np.repeat([True, False], hidden), 3)
+
+
+_CHAINS, _FORWARD = _chains(HIDDEN)
+_CHAR_CHAINS, _CHAR_FORWARD = _chains(CHAR_HIDDEN)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -78,6 +93,22 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = _LOWER[data]
         self.hashes, self.first, self.last, self.at = words_in(data, offsets, _SEPARATOR)
+        pieces = -(-(self.last - self.first) // CHARS)
+        if len(pieces) and pieces.max() > 1:
+            upto = np.concatenate([[0], np.cumsum(pieces)])
+            turn = np.arange(upto[-1]) - np.repeat(upto[:-1], pieces)
+            word = np.repeat(np.arange(len(pieces)), pieces)
+            self.hashes = np.where(turn > 0, mix(self.hashes[word] + turn.astype(np.uint64)), self.hashes[word])
+            self.first, end = self.first[word] + turn * CHARS, self.last[word]
+            self.last = np.minimum(self.first + CHARS, end)
+            self.at = upto[self.at]
+
+    def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The characters and length of each different word, and which of them each word is."""
+        _, one, which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        size = self.last[one] - self.first[one]
+        at = np.minimum(self.first[one][:, None] + np.arange(CHARS), max(0, len(self.data) - 1))
+        return np.where(np.arange(CHARS) < size[:, None], self.data[at], 0).astype(np.uint8), size, which
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and length of each window; every word is in one, most in three, and so is every span of WINDOW - STRIDE + 1 words."""
@@ -106,15 +137,20 @@ def _classes(vocabulary: np.ndarray, classes: np.ndarray, hashes: np.ndarray) ->
     return np.where(vocabulary[i] == hashes, classes[i], NEUTRAL)
 
 
-def _steps(gates: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool):
-    """Runs both chains over gates (step, window, 3 * _H2), the backward one with its steps reversed already."""
-    h = np.zeros((gates.shape[1], _H2), np.float32)
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _steps(gates: np.ndarray, mask: np.ndarray | None, u: np.ndarray, keep: bool):
+    """Runs both chains over gates (step, row, 3 * width), the backward one with its steps reversed already."""
+    w = u.shape[0]
+    h = np.zeros((gates.shape[1], w), np.float32)
     states, kept = np.empty((len(gates), *h.shape), np.float32), []
     for t in range(len(gates)):
         hu = h @ u
-        zr = _sigmoid(gates[t, :, : 2 * _H2] + hu[:, : 2 * _H2])
-        z, r = zr[:, :_H2], zr[:, _H2:]
-        c = _tanh(gates[t, :, 2 * _H2 :] + r * hu[:, 2 * _H2 :])
+        zr = _sigmoid(gates[t, :, : 2 * w] + hu[:, : 2 * w])
+        z, r = zr[:, :w], zr[:, w:]
+        c = _tanh(gates[t, :, 2 * w :] + r * hu[:, 2 * w :])
         new = c + z * (h - c)
         if keep:
             kept.append((h, hu, z, r, c))
@@ -123,6 +159,34 @@ def _steps(gates: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool):
     return states, kept
 
 
+def _steps_back(d_states: np.ndarray, kept: list, mask: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of gates and u from those of the states."""
+    steps, rows, w = d_states.shape
+    d_gates, d_u, carry = np.empty((steps, rows, 3 * w), d_states.dtype), np.zeros_like(u), np.zeros((rows, w), d_states.dtype)
+    for t in reversed(range(steps)):
+        h, hu, z, r, c = kept[t]
+        total = d_states[t] + carry
+        d_new = total * mask[t]
+        carry = total - d_new + d_new * z
+        d_c = d_new * (1 - z) * (1 - c**2)
+        d_hu = np.concatenate([d_new * (h - c) * z * (1 - z), d_c * hu[:, 2 * w :] * r * (1 - r), d_c * r], axis=1)
+        d_gates[t, :, : 2 * w], d_gates[t, :, 2 * w :] = d_hu[:, : 2 * w], d_c
+        d_u += h.T @ d_hu
+        carry = carry + d_hu @ u.T
+    return d_gates, d_u
+
+
+def _spelled(chars: np.ndarray, size: np.ndarray, m: dict, keep: bool = False):
+    """The last states of both chains over the characters of words (word, CHARS); with keep, also what their gradients need."""
+    place = np.arange(CHARS)[:, None]
+    back = np.take_along_axis(chars, np.maximum(size[None, :] - 1 - place, 0).T, 1).T
+    table = m["C"] @ m["Wc"] + m["bc"]
+    gates = np.where(_CHAR_FORWARD, table[chars.T], table[back])
+    mask = (place < size[None, :]).astype(np.float32)[:, :, None]
+    states, kept = _steps(gates, mask, m["Uc"], keep)
+    return states[-1], (chars.T, back, mask, kept)
+
+
 def _aligned(x: np.ndarray, forward: np.ndarray) -> np.ndarray:
     """Turns the backward chain's columns round in time (its own inverse)."""
     return np.where(forward, x, x[::-1])
@@ -150,16 +214,19 @@ class Trainer:
     def __init__(self, seed: int = 7):
         g = np.random.default_rng(seed)
         small = lambda *shape: (g.standard_normal(shape) * 0.25).astype(np.float32)
-        words = small(len(CLASSES) + 1, WORD_DIM)
-        words[:, 0] = (np.arange(len(words)) - NEUTRAL) / 4
-        self.m = {"E": words, "C": small(256, CHAR_DIM), "W": small(_D, 3 * _H2), "b": np.zeros(3 * _H2, np.float32), "U": small(_H2, 3 * _H2) * _CHAINS, "A": small(_H2, ATTENTION), "c": np.zeros(ATTENTION, np.float32), "v": small(ATTENTION), "o": small(_H2), "p": np.full(1, -1.0, np.float32)}
+        classes = small(len(CLASSES) + 1, CLASS_DIM)
+        classes[:, 0] = (np.arange(len(classes)) - NEUTRAL) / 4
+        none = lambda *shape: np.zeros(shape, np.float32)
+        self.m = {"E": classes, "H": none(BUCKETS, WORD_DIM), "C": small(256, CHAR_DIM), "Wc": small(CHAR_DIM, 3 * _C2), "bc": none(3 * _C2), "Uc": small(_C2, 3 * _C2) * _CHAR_CHAINS}
+        self.m |= {"W": small(_D, 3 * _H2), "b": none(3 * _H2), "U": small(_H2, 3 * _H2) * _CHAINS, "A": small(_H2, ATTENTION), "c": none(ATTENTION), "v": small(ATTENTION), "o": small(_H2), "p": np.full(1, -1.0, np.float32)}
         self.moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in self.m.items()}
         self.t = 0
 
-    def step(self, number: np.ndarray, chars: np.ndarray, length: np.ndarray, y: np.ndarray) -> float:
-        """One step of Adam on windows: word classes (word, window), histograms of characters (word, window, 256)."""
+    def step(self, number: np.ndarray, bucket: np.ndarray, shown: np.ndarray, word: np.ndarray, chars: np.ndarray, size: np.ndarray, length: np.ndarray, y: np.ndarray) -> float:
+        """One step of Adam on windows: classes, buckets, whether the bucket's vector is shown, and numbers of words (word, window); characters and sizes of the words."""
         m, B = self.m, number.shape[1]
-        x = np.concatenate([m["E"][number], chars @ m["C"]], axis=2)
+        spelled, (ahead, back, char_mask, char_kept) = _spelled(chars, size, m, True)
+        x = np.concatenate([m["E"][number], m["H"][bucket] * shown[:, :, None], spelled[word]], axis=2)
         mask, chain_mask = _masks(length)
         gates = _aligned(x @ m["W"] + m["b"], _FORWARD)
         states, kept = _steps(gates, chain_mask, m["U"], True)
@@ -175,28 +242,23 @@ class Trainer:
         d_inner = d_score[:, :, None] * m["v"] * (1 - inner**2)
         g["A"], g["c"] = np.einsum("tbi,tbj->ij", own, d_inner), d_inner.sum((0, 1))
         d_states = _aligned(d_own + d_inner @ m["A"].T, _FORWARD[:_H2])
-        d_gates, g["U"] = np.empty_like(gates), np.zeros_like(m["U"])
-        carry = np.zeros((B, _H2), np.float32)
-        for t in reversed(range(len(gates))):
-            h, hu, z, r, c = kept[t]
-            total = d_states[t] + carry
-            d_new = total * chain_mask[t]
-            carry = total - d_new + d_new * z
-            d_c = d_new * (1 - z) * (1 - c**2)
-            d_hu = np.empty((B, 3 * _H2), np.float32)
-            d_hu[:, 2 * _H2 :] = d_c * r
-            d_hu[:, :_H2] = d_new * (h - c) * z * (1 - z)
-            d_hu[:, _H2 : 2 * _H2] = d_c * hu[:, 2 * _H2 :] * r * (1 - r)
-            d_gates[t, :, : 2 * _H2], d_gates[t, :, 2 * _H2 :] = d_hu[:, : 2 * _H2], d_c
-            g["U"] += h.T @ d_hu
-            carry = carry + d_hu @ m["U"].T
+        d_gates, g["U"] = _steps_back(d_states, kept, chain_mask, m["U"])
         d_gates = _aligned(d_gates, _FORWARD)
         g["U"] *= _CHAINS
         g["W"], g["b"] = np.einsum("tbi,tbj->ij", x, d_gates), d_gates.sum((0, 1))
         d_x = d_gates @ m["W"].T
-        g["C"] = np.einsum("tbk,tbj->kj", chars, d_x[:, :, WORD_DIM:], optimize=True)
-        g["E"] = np.zeros_like(m["E"])
-        np.add.at(g["E"], number, d_x[:, :, :WORD_DIM])
+        g["E"], g["H"] = np.zeros_like(m["E"]), DECAY * m["H"]
+        np.add.at(g["E"], number, d_x[:, :, :CLASS_DIM])
+        np.add.at(g["H"], bucket, d_x[:, :, CLASS_DIM : CLASS_DIM + WORD_DIM] * shown[:, :, None])
+        d_end = np.zeros((CHARS, *spelled.shape), spelled.dtype)
+        np.add.at(d_end[-1], word, d_x[:, :, CLASS_DIM + WORD_DIM :])
+        d_chars, g["Uc"] = _steps_back(d_end, char_kept, char_mask, m["Uc"])
+        g["Uc"] *= _CHAR_CHAINS
+        # the gates are looked up in a table of one row for each byte, so its gradient comes first
+        d_table = np.zeros((256, 3 * _C2), d_chars.dtype)
+        for own, columns in ((ahead, _CHAR_FORWARD), (back, ~_CHAR_FORWARD)):
+            np.add.at(d_table, own, d_chars * columns)
+        g["Wc"], g["bc"], g["C"] = m["C"].T @ d_table, d_table.sum(0), d_table @ m["Wc"].T
         self.t += 1
         for k, own in g.items():
             a, b = self.moments[k]
@@ -214,10 +276,9 @@ def scores(texts: Texts, m: dict, number: np.ndarray | None = None) -> np.ndarra
         return out
     if number is None:
         number = _classes(m["vocabulary"], m["classes"], texts.hashes)
-    total = np.zeros((len(texts.data) + 1, CHAR_DIM))
-    np.cumsum(m["C"][texts.data], axis=0, out=total[1:])
-    chars = (total[texts.last] - total[texts.first]) / (texts.last - texts.first)[:, None]
-    gates = np.concatenate([m["E"][number], chars.astype(np.float32)], axis=1) @ m["W"] + m["b"]
+    chars, size, which = texts.different()
+    spelled = _spelled(chars, size, m)[0] @ m["W"][CLASS_DIM + WORD_DIM :] + m["b"]
+    gates = np.concatenate([m["E"][number], m["H"][bucket_of(texts.hashes)]], axis=1) @ m["W"][: CLASS_DIM + WORD_DIM] + spelled[which]
     forward, backward = np.flatnonzero(_FORWARD), np.flatnonzero(~_FORWARD)
     parts = np.empty(len(text), np.float32)
     order = np.argsort(-length, kind="stable")
@@ -280,7 +341,7 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
 
     g, trainer = np.random.default_rng(seed), Trainer(seed)
     plus = np.maximum(np.arange(len(CLASSES) + 1) - NEUTRAL, 0) ** 2
-    number, chars, length, y = [], [], [], []
+    number, hashes, words, length, y, seen_part = [], [], [], [], [], []
     for i, t in runs:
         own = left_out(i, t)
         upto = np.concatenate([[0], np.cumsum(plus[own])])
@@ -290,26 +351,34 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
         label = toxic[i + text[rank]]
         # of toxic texts the two windows with the largest evidence, of clean ones also a few others
         pick = rank[(place < 2) & (label == 1) | (place < 1) & (label == 0) | (label == 0) & (g.random(len(rank)) < 2 / (1 + np.bincount(text)[text[rank]]))]
-        for w in pick.tolist():
-            span = np.arange(start[w], start[w] + WINDOW)
-            span = np.minimum(span, start[w] + size[w] - 1)
-            number.append(own[span])
-            chars.append([t.data[t.first[j] : t.last[j]] for j in span])
-            length.append(size[w])
-            y.append(toxic[i + text[w]])
-    number, length, y = np.array(number), np.array(length), np.array(y, np.float32)
+        span = np.minimum(start[pick][:, None] + np.arange(WINDOW), (start + size)[pick][:, None] - 1)
+        number.append(own[span])
+        hashes.append(t.hashes[span])
+        at = np.minimum(t.first[span][:, :, None] + np.arange(CHARS), max(0, len(t.data) - 1))
+        words.append(np.where(np.arange(CHARS) < (t.last - t.first)[span][:, :, None], t.data[at], 0).astype(np.uint8))
+        length.append(size[pick])
+        y.append(toxic[i + text[pick]])
+        seen_part.append(fold[i + text[pick]] != TEST_FOLD)
+    number, hashes, words, length, y = (np.concatenate(x) for x in (number, hashes, words, length, y))
+    learned = np.flatnonzero(np.concatenate(seen_part))
+    if not len(learned) or y[learned].min() == y[learned].max():
+        learned = np.arange(len(y))
+    y = y.astype(np.float32)
     for _ in range(EPOCHS):
-        order = g.permutation(len(y))
+        order = g.permutation(learned)
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
-            flat = [c for j in some for c in chars[j]]
-            sizes = np.array([len(c) for c in flat])
-            own = np.zeros((len(flat), 256), np.float32)
-            np.add.at(own, (np.repeat(np.arange(len(flat)), sizes), np.concatenate(flat)), np.repeat(1 / sizes, sizes).astype(np.float32))
-            trainer.step(number[some].T, own.reshape(len(some), WINDOW, 256).transpose(1, 0, 2), length[some], y[some])
+            _, one, which = np.unique(hashes[some], return_index=True, return_inverse=True)
+            chars = words[some].reshape(-1, CHARS)[one]
+            shown = (g.random((WINDOW, len(some))) < 0.5).astype(np.float32)
+            trainer.step(number[some].T, bucket_of(hashes[some]).T, shown, which.reshape(len(some), WINDOW).T, chars, (chars > 0).sum(1), length[some], y[some])
     m = trainer.m | {"vocabulary": vocabulary, "classes": classes}
     # calibration: a logistic fit of the label on the largest window logit
     x = np.concatenate([scores(t, m, left_out(i, t)) for i, t in runs])
+    apart = fold == TEST_FOLD
+    if toxic[apart].sum() < TEST_TOXIC:
+        apart[:] = True
+    x, toxic = x[apart], toxic[apart]
     a, b, each = 1.0, 0.0, np.where(toxic == 1, weight[1], weight[0])
     for _ in range(50):
         p = _sigmoid(a * x + b)
@@ -321,18 +390,29 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The model from labels (doc_id, toxic) of rows outside the held-out third."""
+    """The model from labels (doc_id, toxic) of rows outside the held-out third; one executor task fits it, and only the model comes to the driver."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    known = known.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").alias("toxic"))
-    known = known.cache()
+    known = durable(known.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").alias("toxic")), "labels")
     n = dict(known.groupBy("toxic").count().collect())
     parts = [known.filter(f"toxic = {v}").orderBy(F.xxhash64("id"), "id").limit(n) for v, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     # at most MAX_TOXIC + MAX_CLEAN rows
     chosen = parts[0].union(parts[1])
-    found = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).toArrow().sort_by("id")
-    known.unpersist()
+    found = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text").alias("text"))
+    found = durable(found, "learned")
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id"))
+    fitting = found.select("id", upto.alias("upto")).filter(f"upto <= {MAX_BYTES}").select("id")
     weight = tuple(max(1.0, n.get(v, 0) / most) for v, most in ((0, MAX_CLEAN), (1, MAX_TOXIC)))
-    return fit(found.column("text").combine_chunks(), found.column("toxic").to_numpy().astype(np.int64), weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if rows:
+            table = pa.Table.from_batches(rows).sort_by("id")
+            model = fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(np.int64), weight)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # a bounded number of rows and bytes, so one task can hold them
+    made = found.join(F.broadcast(fitting), "id").select("id", "toxic", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None
 
 
 def score(rows: DataFrame, model: dict | None) -> DataFrame:

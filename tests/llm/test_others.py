@@ -235,20 +235,23 @@ def test_gradients():
     r = np.random.default_rng(0)
     t = toxicity.Trainer(3)
     t.m = {k: x.astype(np.float64) for k, x in t.m.items()}
-    number = r.integers(0, len(toxicity.CLASSES) + 1, (toxicity.WINDOW, 3))
-    chars = r.random((toxicity.WINDOW, 3, 256)) / 100
+    t.m["H"] += r.standard_normal(t.m["H"].shape) / 4
+    shape = (toxicity.WINDOW, 3)
+    number, bucket, shown, word = r.integers(0, len(toxicity.CLASSES) + 1, shape), r.integers(0, 9, shape), r.integers(0, 2, shape).astype(float), r.integers(0, 7, shape)
+    size = np.array([1, 2, 3, 5, 8, 15, 16])
+    chars = np.where(np.arange(toxicity.CHARS) < size[:, None], r.integers(97, 103, (7, toxicity.CHARS)), 0).astype(np.uint8)
     length, y = np.array([toxicity.WINDOW, 5, 1]), np.array([1.0, 0.0, 1.0])
 
     def loss(m):
-        x = np.concatenate([m["E"][number], chars @ m["C"]], axis=2)
+        x = np.concatenate([m["E"][number], m["H"][bucket] * shown[:, :, None], toxicity._spelled(chars, size, m)[0][word]], axis=2)
         mask, chain = toxicity._masks(length)
         states, _ = toxicity._steps(toxicity._aligned(x @ m["W"] + m["b"], toxicity._FORWARD), chain, m["U"], False)
         p = toxicity._sigmoid(toxicity._pooled(states, mask, m)[0])
-        return float(-np.log(np.where(y > 0, p, 1 - p)).mean())
+        return float(-np.log(np.where(y > 0, p, 1 - p)).mean()) + toxicity.DECAY / 2 * float((m["H"] ** 2).sum())
 
     before = {k: x.copy() for k, x in t.m.items()}
     t.moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in t.m.items()}
-    t.step(number, chars, length, y)
+    t.step(number, bucket, shown, word, chars, size, length, y)
     for k, (a, _) in t.moments.items():
         g = a / 0.1
         i = np.unravel_index(np.argmax(np.abs(g)), g.shape)
@@ -258,6 +261,62 @@ def test_gradients():
         assert abs(numeric - g[i]) < 0.03 * max(abs(numeric), 1e-3) + 2e-4, k
 
 
+def brute_score(text, m):
+    """The largest window logit, word by word, character by character and gate by gate."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def chain(inputs, u, hidden, forward):
+        """inputs are the gates' sums of both chains; the last state and all states of one of them."""
+        columns = np.flatnonzero(np.tile(np.repeat([forward, not forward], hidden), 3))
+        own, h, states = u[np.ix_(columns[:hidden], columns)], np.zeros(hidden), []
+        for g in inputs if forward else inputs[::-1]:
+            g, hu = g[columns], h @ own
+            z, r = sig(g[:hidden] + hu[:hidden]), sig(g[hidden : 2 * hidden] + hu[hidden : 2 * hidden])
+            c = np.tanh(g[2 * hidden :] + r * hu[2 * hidden :])
+            h = (1 - z) * c + z * h
+            states.append(h)
+        return h, states if forward else states[::-1]
+
+    import re
+
+    own = toxicity.Texts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    words = [w[i : i + toxicity.CHARS] for w in re.findall(rb"[a-z0-9\x80-\xff]+", own.data.tobytes()) for i in range(0, len(w), toxicity.CHARS)]
+    steps = []
+    assert len(words) == len(own.hashes)
+    for w, h in zip(words, own.hashes, strict=True):
+        known = dict(zip(m["vocabulary"].tolist(), m["classes"].tolist(), strict=True))
+        gates = [m["C"][c] @ m["Wc"] + m["bc"] for c in w]
+        spelled = np.concatenate([chain(gates, m["Uc"], toxicity.CHAR_HIDDEN, f)[0] for f in (True, False)])
+        steps.append(np.concatenate([m["E"][known.get(int(h), toxicity.NEUTRAL)], m["H"][int(h) % toxicity.BUCKETS], spelled]) @ m["W"] + m["b"])
+    best = []
+    for a in range(0, max(1, len(steps) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window = steps[a : a + toxicity.WINDOW]
+        states = np.concatenate([chain(window, m["U"], toxicity.HIDDEN, f)[1] for f in (True, False)], axis=1)
+        weight = np.exp(np.tanh(states @ m["A"] + m["c"]) @ m["v"])
+        best.append((weight / weight.sum()) @ states @ m["o"] + m["p"][0])
+    return max(best)
+
+
+def test_scores():
+    """Scores of whole texts against loops over windows, words and characters."""
+    r = np.random.default_rng(2)
+    m = {k: x.astype(np.float64) for k, x in toxicity.Trainer(5).m.items()}
+    m["H"] = r.standard_normal(m["H"].shape)
+    texts = [" ".join("".join(r.choice(list("abcXé1"), int(r.integers(1, 9)))) for _ in range(n)) for n in (1, 5, 24, 25, 32, 33, 70)] + ["x" * 70 + " y", "!one.Two"]
+    whole = toxicity.Texts(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    m["vocabulary"] = np.unique(whole.hashes)[::3]
+    m["classes"] = r.integers(0, len(toxicity.CLASSES) + 1, len(m["vocabulary"]))
+    assert np.allclose(toxicity.scores(whole, m), [brute_score(t, m) for t in texts], atol=1e-4)
+
+
+def test_training_with_repeated_ids(spark):
+    """Of rows that repeat an id one text is learned from, whatever their order, so the model is the same."""
+    rows = [(i, f"{'vile' if i % 4 == 0 else 'fine'} w{i % 7} x{j}") for i in range(60) for j in range(2)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    models = [toxicity.train(spark.createDataFrame(own, "doc_id bigint, text string").repartition(n), marks) for own, n in ((rows, 1), (rows[::-1], 3))]
+    assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])
+
+
 def test_held_out_accuracy(spark):
     r = np.random.default_rng(8)
     words = np.array([f"w{i}" for i in range(400)])
