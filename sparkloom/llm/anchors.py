@@ -43,15 +43,20 @@ class Anchors:
             self.key = np.zeros(0, _U)
             return
         own = gram_hashes(data)
-        bits = _U(max(1, len(own).bit_length()))
-        small = (own >> bits << bits) | np.arange(len(own), dtype=_U)
-        reach = 1
+        # whole hashes are compared, and of equal ones the left is taken, so a window's choice depends on its bytes alone
+        least, at, reach = own, np.arange(len(own), dtype=np.int32 if len(own) < 1 << 31 else np.int64), 1
+
+        def wider(by: int) -> tuple[np.ndarray, np.ndarray]:
+            """Least hash and its place for windows that reach further by so many places."""
+            left, right = least[: len(least) - by], least[by:]
+            return np.minimum(left, right), np.where(left <= right, at[: len(at) - by], at[by:])
+
         while 2 * reach <= WIDTH:
-            small = np.minimum(small[:-reach], small[reach:])
+            least, at = wider(reach)
             reach *= 2
         if reach < WIDTH:
-            small = np.minimum(small[: len(small) - (WIDTH - reach)], small[WIDTH - reach :])
-        picked = (small[start] & ((_U(1) << bits) - _U(1))).astype(np.int64)
+            least, at = wider(WIDTH - reach)
+        picked = at[start].astype(np.int64)
         fresh = np.ones(len(start), bool)
         fresh[1:] = (picked[1:] != picked[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(fresh)

@@ -14,10 +14,12 @@ with a smaller id.  Equal strings of SPAN bytes have equal anchors (see
    suffixes by multikey sorting, finds common prefixes of neighbours, and answers
    with one bit for each window.  Splitters are cut to K bytes, so suffixes that
    could share a window never lie on both sides of a boundary.
-   At the edges of a passage in very many documents, suffixes agree in their
-   first bytes but not in all.  So that they don't gather in one bucket, windows
-   at hashes that more than ``hot`` parts have are sent one by one: those of equal
-   content once for each part, dealt out by a 128-bit hash.
+   At the edges of a passage in very many documents, suffixes agree in their first
+   K bytes but not in all, and no splitter of K bytes parts them.  Where more than
+   ``dense`` parts have an anchor's hash, the suffixes at all window starts are sent
+   instead of the one at the anchor, and range-partitioned by splitters of SPAN
+   bytes: each stands for one window, so equal ones are neighbours in one bucket,
+   and a bucket has one row of them for each part at most.
 3. Parts mark the windows' bytes and cut them out.
 
 The three steps read the same shuffled documents; texts move once.
@@ -37,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.anchors import LEFT, SPAN, Anchors, K, as_words, gram_hashes, least_ids
+from sparkloom.llm.anchors import LEFT, SPAN, Anchors, K, as_words, common_prefix, least_ids, multikey_order
 from sparkloom.llm.common import LAST, documents, id_text, partitions, tidy
 from sparkloom.llm.shingles import mix, text_slices
 
-SAMPLE, HOT = 64, 256
+SAMPLE, DENSE, FINER = 64, 256, 4
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 _HASHES = "bucket int, part int, n int, hashes binary, several binary"
@@ -111,30 +113,30 @@ class Part:
         self.group, self.own_id = group, ids
 
     def spread(self, hot: np.ndarray) -> None:
-        """The windows at anchors of hot hashes: slice, start and id, the group of equal ones, and each group's hashes and smallest id."""
-        at, ids, first, second = [], [], [], []
+        """The suffixes at the window starts of anchors of hot hashes: slice, start and id, the group of equal ones, and each group's bytes and smallest id."""
+        at, ids, rows = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, SPAN), np.uint8)]
         for s, (i, _, a) in enumerate(self.slices):
             some = np.flatnonzero(hot[np.searchsorted(self.keys, a.key)]) if len(a.key) else np.zeros(0, np.int64)
             if not len(some):
                 continue
             n = a.high[some] - a.low[some] + 1
             start = np.repeat(a.place[some] - a.high[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            half = SPAN // 2
-            parts = gram_hashes(a.data, half)
             at.append(np.stack([np.full(len(start), s), start], 1))
             ids.append(np.repeat(self.ids[i + a.text[some]], n))
-            first.append(gram_hashes(a.data, SPAN)[start])
-            second.append(mix(parts[start] * _U(0xD1342543DE82EF95) + parts[start + half]))
-        self.w_at = np.concatenate(at or [np.zeros((0, 2), np.int64)])
-        self.w_id = np.concatenate(ids or [np.zeros(0, np.int64)])
-        first, second = (np.concatenate(x or [np.zeros(0, _U)]) for x in (first, second))
-        order = np.lexsort((self.w_id, second, first))
+            rows.append(a.data[start[:, None] + np.arange(SPAN)])
+        self.w_at, self.w_id, rows = np.concatenate(at), np.concatenate(ids), np.concatenate(rows)
+        words = as_words(rows)
+        order = multikey_order([*words, self.w_id.view(_U) ^ _U(1 << 63)])
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        fresh[1:] = np.any([w[order[1:]] != w[order[:-1]] for w in words], axis=0) if len(order) > 1 else True
         self.w_group = np.empty(len(order), np.int64)
         self.w_group[order] = np.cumsum(fresh) - 1
         lead = order[fresh]
-        self.w_first, self.w_second, self.w_first_id = first[lead], second[lead], self.w_id[lead]
+        # groups are in the order of their bytes, and so of their buckets
+        self.w_row, self.w_first_id = rows[lead], self.w_id[lead]
+
+    def dense_buckets(self, splitters: np.ndarray) -> np.ndarray:
+        return np.searchsorted(splitters, np.ascontiguousarray(self.w_row).view(f"S{SPAN}").ravel(), "right")
 
     def dealt(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The groups in the order in which they are sent, and their buckets."""
@@ -149,22 +151,29 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
-def sampled_splitters(rows: DataFrame, buckets: int) -> np.ndarray:
-    """K leading bytes that cut suffixes at anchors into even ranges, from at most SAMPLE * buckets of them."""
+def sampled_splitters(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """K leading bytes that cut suffixes at anchors into even ranges, and SPAN bytes that cut those at window starts, from at most SAMPLE * buckets of each."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
                 a = Anchors(data, offsets)
-                # one anchor of each text, chosen by hash
-                text, first = np.unique(a.text[order := np.argsort(a.key, kind="stable")], return_index=True)
-                place = a.place[order][first]
-                yield pa.RecordBatch.from_arrays([pa.array([data[p : p + K].tobytes() for p in place.tolist()], pa.binary())], ["lead"])
+                # of each text one anchor and one of its windows, whose numbers come from the first one's hash
+                text, first, count = np.unique(a.text, return_index=True, return_counts=True)
+                chosen = first + (mix(a.key[first] + _U(1)) % count.astype(_U)).astype(np.int64) if len(first) else first
+                place = a.place[chosen]
+                start = place - a.low[chosen] - (a.key[chosen] % (a.high[chosen] - a.low[chosen] + 1).astype(_U)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([data[p : p + n].tobytes() for p in x.tolist()], pa.binary()) for x, n in ((place, K), (start, SPAN))], ["lead", "window"])
 
     n = rows.count()
     share = min(1.0, SAMPLE * buckets / n) if n else 1.0
-    found = sorted(r[0] for r in rows.sample(share, 5).mapInArrow(lead, "lead binary").collect())
-    return np.unique(np.array([bytes(found[len(found) * j // buckets]) for j in range(1, buckets)] if found else [], f"S{K}"))
+    found = rows.sample(share, 5).mapInArrow(lead, "lead binary, window binary").toArrow()
+
+    def cut(column: str, size: int, ranges: int) -> np.ndarray:
+        own = sorted(found.column(column).to_pylist())
+        return np.unique(np.array([own[len(own) * j // ranges] for j in range(1, ranges)] if own else [], f"S{size}"))
+
+    return cut("lead", K, FINER * buckets), cut("window", SPAN, buckets)
 
 
 def _bytes(column: pa.ChunkedArray) -> np.ndarray:
@@ -213,14 +222,15 @@ def _answered(table: pa.Table, kind: int, parts: list[bytes]) -> pa.Table:
     return pa.table({"part": table.column("part"), "kind": pa.array([kind] * len(parts), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(parts, pa.binary())})
 
 
-def _equal_windows(table: pa.Table) -> pa.Table:
-    """Step 2's bucket of windows one by one: a bit for each, whether one of a smaller id is equal."""
+def _sorted_windows(table: pa.Table) -> pa.Table:
+    """Step 2's bucket of suffixes at window starts: sorts them; a bit for each, whether a neighbour with all bytes equal has a smaller id."""
     counts = table.column("n").to_pylist()
-    rows = _bytes(table.column("rows")).view("<u8").reshape(-1, 3)
-    ids = rows[:, 2].astype(np.int64)
-    order = np.lexsort((ids, rows[:, 1], rows[:, 0]))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (rows[order[1:], :2] != rows[order[:-1], :2]).any(1)
+    rows = _bytes(table.column("rows")).reshape(-1, SPAN + 8)
+    own = np.ascontiguousarray(rows[:, :SPAN])
+    ids = np.ascontiguousarray(rows[:, SPAN:]).view("<i8").ravel()
+    order = multikey_order([*as_words(own), ids.view(_U) ^ _U(1 << 63)])
+    fresh = common_prefix(own, order) < SPAN
+    fresh[:1] = True
     least = ids[order[fresh]]
     out = np.empty(len(order), bool)
     out[order] = ids[order] > least[np.cumsum(fresh) - 1]
@@ -230,7 +240,7 @@ def _equal_windows(table: pa.Table) -> pa.Table:
 def _sorted_suffixes(table: pa.Table) -> pa.Table:
     """Step 2's bucket: sorts its suffixes; 32 bits for each row of each part, one for each window."""
     if table.column("kind")[0].as_py() == 2:
-        return _equal_windows(table)
+        return _sorted_windows(table)
     counts = table.column("n").to_pylist()
     rows = _bytes(table.column("rows")).reshape(-1, _ROW)
     right, left = np.ascontiguousarray(rows[:, :SPAN]), np.ascontiguousarray(rows[:, SPAN : SPAN + LEFT])
@@ -246,11 +256,11 @@ def _by_kind(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
     return sorted((b, a) for k, b, a in found if k == kind)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, dense: int = DENSE) -> DataFrame:
     """One row per document (RESULT); kept is what is left of its bytes, null unless with_kept."""
     rows = id_text(docs, id_col, text_col)
     buckets = partitions(docs.sparkSession)
-    splitters = sampled_splitters(rows, buckets)
+    splitters, dense_splitters = sampled_splitters(rows, buckets)
     place = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(2 * buckets)).cast("int")
     moved = rows.select(place.alias("part"), "id", F.coalesce("text", F.lit("")).alias("text")).repartition(buckets, "part")
 
@@ -272,7 +282,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             }
         )
 
-    common = moved.groupBy("part").applyInArrow(_tidied(hashes), _HASHES).groupBy("bucket").applyInArrow(_tidied(lambda table: _several_documents(table, hot)), _ANSWERS)
+    common = moved.groupBy("part").applyInArrow(_tidied(hashes), _HASHES).groupBy("bucket").applyInArrow(_tidied(lambda table: _several_documents(table, dense)), _ANSWERS)
 
     def suffixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
@@ -282,10 +292,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order, bucket = part.dealt(splitters)
         chosen = part.first[order]
         out = np.concatenate([part.right[chosen], part.left[chosen], part.low[chosen, None].astype(np.uint8), part.high[chosen, None].astype(np.uint8), np.ascontiguousarray(part.first_id[order]).view(np.uint8).reshape(-1, 8)], axis=1)
-        windows = np.stack([part.w_first, part.w_second, part.w_first_id.view(_U)], 1).astype("<u8")
+        windows = np.concatenate([part.w_row, np.ascontiguousarray(part.w_first_id).view(np.uint8).reshape(-1, 8)], axis=1)
         number, sent = table.column("part")[0].as_py(), {n: [] for n in ("bucket", "part", "kind", "n", "rows")}
-        # buckets of windows come after those of suffixes
-        for kind, rows, of in ((1, out, bucket), (2, windows, buckets + bucket_of(part.w_first, buckets))):
+        # buckets of suffixes at window starts come after those of suffixes at anchors
+        for kind, rows, of in ((1, out, bucket), (2, windows, len(splitters) + 1 + part.dense_buckets(dense_splitters))):
             found, start = np.unique(of, return_index=True)
             for x, a, b in zip(found.tolist(), start, np.append(start[1:], len(of))[: len(start)], strict=True):
                 for name, value in zip(sent, (x, number, kind, b - a, rows[a:b].tobytes()), strict=True):
@@ -310,8 +320,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = ((np.uint64(1) << (part.high + 1).astype(_U)) - (np.uint64(1) << part.low.astype(_U))).astype(np.uint32)
         own = np.where(part.own_id > part.first_id[part.group], whole, masks[part.group])
         bits = [np.unpackbits(np.frombuffer(a, np.uint8)) for _, a in _by_kind(answers, 2)]
-        w_bucket = bucket_of(part.w_first, buckets)
-        sizes = np.diff(np.flatnonzero(np.diff(w_bucket, prepend=-1, append=buckets)))
+        sizes = np.unique(part.dense_buckets(dense_splitters), return_counts=True)[1]
         smaller = np.concatenate([b[:n] for b, n in zip(bits, sizes, strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
         w_gone = (part.w_id > part.w_first_id[part.w_group]) | smaller[part.w_group]
         w_slices = np.searchsorted(part.w_at[:, 0], np.arange(len(part.slices) + 1))

@@ -204,13 +204,36 @@ def test_suffixes(odd, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 256])
-def test_suffixes_of_shared_passages(spark, hot):
+def test_anchors_depend_on_windows_alone():
+    """Equal windows pick the same anchor wherever they stand and whatever is around, also among equal grams."""
+    r = np.random.default_rng(0)
+    for body in ("".join(r.choice(list("ab"), 400)), "abcd" * 100, "x" * 300):
+        places = []
+        for before in ("", "q" * 17, "z" * 70_000):
+            data = np.frombuffer((before + body + before).encode(), np.uint8)
+            a = anchors.Anchors(data, np.array([0, len(data)]))
+            inside = [(int(p) - len(before), int(p) - len(before) - o) for p, low, high in zip(a.place, a.low, a.high, strict=True) for o in range(low, high + 1)]
+            places.append({s: p for p, s in inside if 0 <= s <= len(body) - anchors.SPAN})
+        assert places[0] == places[1] == places[2] and len(places[0]) == len(body) - anchors.SPAN + 1
+
+
+def test_suffixes_of_long_texts(spark):
+    """Texts of several slices each, with passages in common."""
+    r = np.random.default_rng(9)
+    text = lambda n: "".join(r.choice(list("abcdefgh é"), n))
+    shared = text(3000)
+    rows = [(i, text(300_000 + 1000 * i) + shared + text(200_000)) for i in range(3)] + [(9, shared[:70])]
+    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_cut(rows)
+
+
+@pytest.mark.parametrize("dense", [0, 1, 256])
+def test_suffixes_of_shared_passages(spark, dense):
     r = np.random.default_rng(2)
     text = lambda n: "".join(r.choice(list("ab c"), n))
     shared = [text(n) for n in (49, 50, 51, 80, 300)]
     rows = [(int(i), text(int(r.integers(0, 200))) + shared[i % 5] + text(int(r.integers(0, 99))) + shared[(i * 7) % 5] * (i % 3)) for i in r.permutation(60)]
-    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect())
+    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), dense=dense).collect())
     assert got == brute_cut(rows)
 
 
