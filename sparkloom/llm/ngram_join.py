@@ -11,19 +11,20 @@
    and sorted by length; those without a neighbour of fitting length go.
    Shingles far more frequent than the mean of the table are dealt out over
    several partitions.
-3. Candidate pairs pass the length, index-prefix and positional filters of the
-   list they come from, are made distinct, and are verified once.  The suffix
-   filter comes first: both sets are cut at fixed pivots of the hash range into
-   parts, and at least as many shingles differ as parts whose sizes differ in
-   parity, which a few bits for each shingle tell.  Pairs that pass it are merged.
+3. Candidate pairs pass the length, index-prefix, positional and suffix filters of
+   the list they come from, are made distinct, and are verified once.  The suffix
+   filter: both sets are cut at fixed pivots of the hash range into parts, and at
+   least as many shingles differ as parts whose sizes differ in parity.  Lists
+   carry the parity of BRIEF parts, pairs then get four to eight parts for each
+   shingle.  Pairs that pass are merged.
 4. Only reachability is asked for, so pairs that links have joined already aren't
-   candidates: in each of STARS rounds every list proposes one centre, and every
-   document tries the one that most of its lists propose.  After that each list
-   gives all of its pairs of unlike labels; of the pairs between two labels that
-   pass the suffix filter one is verified first, the others if it fails.  A list
-   of more than LIST documents is compared in blocks, and blocks of one label
-   aren't compared with each other, so a group of near copies gives no square of
-   rows and no link is lost.
+   candidates.  In each of STARS rounds every document tries the centre that most
+   of its lists propose, the first of a list's CENTRES that passes the filters.
+   After that each list gives all of its pairs of unlike labels; of the pairs
+   between two labels one is verified first, the others if it fails.  A list of
+   more than LIST documents is compared in blocks, and blocks of one label aren't
+   compared with each other, so a group of near copies gives no square of rows
+   and no link is lost.
 
 Defined cases: null text is empty; empty sets have no links, each its own
 component; a document's id may be null (it can link others, and its component
@@ -41,14 +42,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import documents, durable, id_text, partitions, sized
-from sparkloom.llm.components import components, partly
-from sparkloom.llm.shingles import shingle_sets, signature
+from sparkloom.llm.components import components
+from sparkloom.llm.shingles import mix, shingle_sets, signature
 
 COUNTERS = 1 << 20
 SLICES = 64
 FREQUENT = 20_000
 #: Rounds of stars, and one in how many lists (by hash) takes part in them, besides those of a set's first shingles.
-STARS, SAMPLED, FIRST = 2, 4, 4
+STARS, SAMPLED, FIRST, CENTRES = 2, 4, 4, 8
+#: Parts whose parity goes with each posting of a list that has unlike labels.
+BRIEF = 1024
 #: Documents of a list that are compared in one piece, and lists short enough to be compared many at a time.
 LIST, SHORT = 2048, 64
 #: Signatures that a task remembers, so that it emits the postings of equal sets once.
@@ -187,6 +190,11 @@ def part_bits(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & _U(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def brief(own: np.ndarray) -> bytes:
+    """The same for BRIEF parts, whatever the size."""
+    return np.packbits(np.bincount((own & _U(BRIEF - 1)).astype(np.int64), minlength=BRIEF).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Data and offsets of a binary column without nulls."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -259,16 +267,43 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return x.join(y, "y").select("x", "y", "of_x", "of_y").mapInArrow(run, "u bigint, v bigint")
 
 
-def _fitting(num: int, den: int, n: str, m: str) -> str:
-    return f"{n} * {den} >= {m} * {num} and {m} * {den} >= {n} * {num}"
-
-
 def _unlike(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of rows i, j of one list have unlike labels and pass the length, index-prefix and positional filters."""
+    """Which pairs of rows i, j of one list have unlike labels and pass the length, index-prefix, positional and suffix filters."""
     n, m, p, q = c["n"][i], c["n"][j], c["pos"][i], c["pos"][j]
     ok = (c["label"][i] != c["label"][j]) & (n * den >= m * num) & (m * den >= n * num)
     ok &= np.where(n <= m, c["indexed"][i], False) | np.where(m <= n, c["indexed"][j], False)
-    return ok & ((np.minimum(p, q) + 1 + np.minimum(n - 1 - p, m - 1 - q)) * (num + den) >= num * (n + m))
+    ok &= (np.minimum(p, q) + 1 + np.minimum(n - 1 - p, m - 1 - q)) * (num + den) >= num * (n + m)
+    left = np.flatnonzero(ok)
+    for k in range(0, len(left), 1 << 16):
+        some = left[k : k + (1 << 16)]
+        differ = np.bitwise_count(c["brief"][i[some]] ^ c["brief"][j[some]]).sum(1, dtype=np.int64)
+        both = n[some] + m[some]
+        ok[some] = (both - differ) * (num + den) >= 2 * num * both
+    return ok
+
+
+def centres_of_lists(c: dict[str, np.ndarray], num: int, den: int, star: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of documents and of the first of their list's CENTRES that they could link with.
+
+    Centres of the first round are the documents with the fewest rarer shingles
+    than the list's, which are the likest to all others; then any.
+    """
+    by = c["pos"] / c["n"] if star == 0 else mix(c["node"].view(_U) + _U(star))
+    fresh = np.ones(len(c["h"]), bool)
+    fresh[1:] = (c["h"][1:] != c["h"][:-1]) | (c["piece"][1:] != c["piece"][:-1])
+    run = np.cumsum(fresh) - 1
+    order = np.lexsort((c["node"], by, run))
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(run)))
+    left, x, y = np.arange(len(run)), [], []
+    for turn in range(CENTRES):
+        left = left[size[run[left]] > turn]
+        j = order[first[run[left]] + turn]
+        ok = _unlike(c, left, j, num, den)
+        x.append(left[ok])
+        y.append(j[ok])
+        left = left[~ok]
+    return np.concatenate(x), np.concatenate(y)
 
 
 def pairs_of_lists(c: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -311,63 +346,93 @@ def pairs_of_lists(c: dict[str, np.ndarray], num: int, den: int) -> Iterator[tup
             yield i[ok], j[ok]
 
 
-def contenders(marked: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, of_x, of_y), x < y: the distinct candidate pairs of all lists whose labels of_x and of_y differ."""
-    spark = marked.sparkSession
-    sizes = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("h", "size")
-    mixed = durable(marked.join(sizes, "h"), "mixed-lists")
-    columns = ["h", "node", "label", "n", "pos", "indexed"]
-    pieces = mixed.filter(f"size <= {LIST}").select(*columns, F.lit(0).cast("bigint").alias("piece"), F.lit(0).alias("side"))
-    long = mixed.filter(f"size > {LIST}")
-    if long.limit(1).count():
-        parts = long.groupBy("h", "label").agg(F.count(F.lit(1)).alias("own"))
-        # a label with many documents has blocks of its own, the others share blocks
-        parts = parts.withColumn("kind", F.when(F.col("own") >= LIST // 2, F.col("label")).otherwise(F.lit(-1)))
-        blocks = durable(parts.groupBy("h", "kind").agg(F.ceil(F.sum("own") * 2 / LIST).alias("blocks")), "blocks")
-        kinds = parts.filter("kind >= 0").select("h", "label", "kind")
-        rows = long.join(kinds, ["h", "label"], "left").withColumn("kind", F.coalesce("kind", F.lit(-1))).join(blocks, ["h", "kind"])
-        rows = durable(rows.select(*columns, "kind", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "long-lists")
-        each = blocks.select("h", "kind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-        a, b = each.toDF("h", "kind", "block"), each.toDF("h", "other", "other_block")
-        units = a.join(b, "h").filter("(kind, block) <= (other, other_block) and (kind <> other or kind < 0)")
-        units = durable(units.withColumn("piece", F.xxhash64("kind", "block", "other", "other_block")), "pieces")
-        alone = F.expr("kind = other and block = other_block")
-        first = rows.join(units.withColumn("side", F.when(alone, 0).otherwise(1)).drop("other", "other_block"), ["h", "kind", "block"])
-        second = rows.join(units.filter(~alone).select("h", F.col("other").alias("kind"), F.col("other_block").alias("block"), "piece", F.lit(2).alias("side")), ["h", "kind", "block"])
-        pieces = pieces.union(first.select(*columns, "piece", "side")).union(second.select(*columns, "piece", "side"))
+_ROWS = ["h", "node", "label", "n", "pos", "indexed"]
 
-    names = [*columns, "piece", "side"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+def mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the lists that have unlike labels: with their document's label, and the list's size."""
+    if labels is None:
+        marked = lists.withColumn("label", F.col("node"))
+    else:
+        marked = lists.join(sized(labels).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
+    return durable(marked.join(sized(durable(sizes.select("h", "size"), "sizes")), "h").select(*_ROWS, "size"), "mixed-lists")
+
 
-        def found(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for i, j in pairs_of_lists(c, num, den):
-                if len(i):
-                    swap = c["node"][i] > c["node"][j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k][r]) for k, r in (("node", i), ("node", j), ("label", i), ("label", j))], ["x", "y", "of_x", "of_y"])
+def _in_lists(pieces: DataFrame, sets: DataFrame, find, schema: str) -> DataFrame:
+    """What find gives for runs of whole pieces (h, piece) of lists, whose rows get the brief of their set."""
+    names = [*_ROWS, "piece", "side"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             c |= {k: c[k].astype(np.int64) for k in ("n", "pos")}
+            data, at = _bytes_of(batch.column("brief"))
+            c["brief"] = data[at[0] : at[-1]].view(_U).reshape(len(batch), -1)
             if held is not None:
-                c = {k: np.concatenate([held[k], c[k]]) for k in names}
+                c = {k: np.concatenate([held[k], c[k]]) for k in c}
             # the last piece may go on in the next batch
             last = int(np.flatnonzero((c["h"] != c["h"][-1]) | (c["piece"] != c["piece"][-1])).max(initial=-1)) + 1
-            yield from found({k: v[:last] for k, v in c.items()})
+            yield from find({k: v[:last] for k, v in c.items()})
             held = {k: v[last:] for k, v in c.items()}
         if held is not None:
-            yield from found(held)
+            yield from find(held)
+
+    wide = pieces.join(sets.select("node", "brief"), "node").select(*names, "brief")
+    return wide.repartition(partitions(pieces.sparkSession), "h", "piece").sortWithinPartitions("h", "piece").mapInArrow(run, schema)
+
+
+def proposed(rows: DataFrame, sets: DataFrame, star: int, num: int, den: int) -> DataFrame:
+    """(x, y): each document of mixed() rows with the centre that most of its lists propose."""
 
-    dealt = pieces.repartition(partitions(spark), "h", "piece").sortWithinPartitions("h", "piece")
-    return dealt.mapInArrow(run, "x bigint, y bigint, of_x bigint, of_y bigint").distinct()
+    def find(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(c["h"]):
+            i, j = centres_of_lists(c, num, den, star)
+            yield pa.RecordBatch.from_arrays([pa.array(c["node"][i]), pa.array(c["node"][j])], ["x", "y"])
+
+    some = rows.filter(f"pos < {FIRST} or pmod(h, {SAMPLED}) = 0")
+    pieces = some.select(*_ROWS, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST)).alias("piece"), F.lit(0).alias("side"))
+    votes = _in_lists(pieces, sets, find, "x bigint, y bigint").groupBy("x", "y").agg(F.count(F.lit(1)).alias("lists"))
+    return votes.groupBy("x").agg(F.max(F.struct("lists", "y")).getField("y").alias("y"))
+
+
+def contenders(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, of_x, of_y), x < y: the distinct candidate pairs of mixed() rows, of unlike labels of_x and of_y."""
+    pieces = rows.filter(f"size <= {LIST}").select(*_ROWS, F.lit(0).cast("bigint").alias("piece"), F.lit(0).alias("side"))
+    long = rows.filter(f"size > {LIST}")
+    if long.limit(1).count():
+        parts = long.groupBy("h", "label").agg(F.count(F.lit(1)).alias("own"))
+        # a label with many documents has blocks of its own, the others share blocks
+        parts = parts.withColumn("kind", F.when(F.col("own") >= LIST // 2, F.col("label")).otherwise(F.lit(-1)))
+        blocks = durable(parts.groupBy("h", "kind").agg(F.ceil(F.sum("own") * 2 / LIST).alias("blocks")), "blocks")
+        kinds = parts.filter("kind >= 0").select("h", "label", "kind")
+        placed = long.join(kinds, ["h", "label"], "left").withColumn("kind", F.coalesce("kind", F.lit(-1))).join(blocks, ["h", "kind"])
+        placed = durable(placed.select(*_ROWS, "kind", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "long-lists")
+        each = blocks.select("h", "kind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        a, b = each.toDF("h", "kind", "block"), each.toDF("h", "other", "other_block")
+        units = a.join(b, "h").filter("(kind, block) <= (other, other_block) and (kind <> other or kind < 0)")
+        units = durable(units.withColumn("piece", F.xxhash64("kind", "block", "other", "other_block")), "pieces")
+        alone = F.expr("kind = other and block = other_block")
+        first = placed.join(units.withColumn("side", F.when(alone, 0).otherwise(1)).drop("other", "other_block"), ["h", "kind", "block"])
+        second = placed.join(units.filter(~alone).select("h", F.col("other").alias("kind"), F.col("other_block").alias("block"), "piece", F.lit(2).alias("side")), ["h", "kind", "block"])
+        pieces = pieces.union(first.select(*_ROWS, "piece", "side")).union(second.select(*_ROWS, "piece", "side"))
+
+    def find(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, j in pairs_of_lists(c, num, den):
+            if len(i):
+                swap = c["node"][i] > c["node"][j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found = np.unique(np.stack([c["node"][i], c["node"][j], c["label"][i], c["label"][j]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(4)], ["x", "y", "of_x", "of_y"])
+
+    return _in_lists(pieces, sets, find, "x bigint, y bigint, of_x bigint, of_y bigint").distinct()
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, n, bits, grams) of the wanted classes (id, c, d, node)."""
+    """(node, n, bits, brief, grams) of the wanted classes (id, c, d, node)."""
 
     def found(named: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,44 +443,23 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         c, d = np.frombuffer(signature(own), np.int64).tolist()
                         # an id can stand for several texts
                         if len(own) and (not named or (c, d) == (batch.column("c")[i + j].as_py(), batch.column("d")[i + j].as_py())):
-                            out.append((batch.column("node")[i + j].as_py() if named else c, d, len(own), part_bits(own), own.tobytes()))
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["node", "d", "n", "bits", "grams"])
+                            out.append((batch.column("node")[i + j].as_py() if named else c, d, len(own), part_bits(own), brief(own), own.tobytes()))
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["node", "d", "n", "bits", "brief", "grams"])
 
         return run
 
-    schema = "node bigint, d bigint, n int, bits binary, grams binary"
+    schema = "node bigint, d bigint, n int, bits binary, brief binary, grams binary"
     some = rows.join(sized(durable(wanted.filter("id is not null"), "wanted")), "id").select("text", "c", "d", "node")
     out = some.mapInArrow(found(True), schema).drop("d")
     nameless = wanted.filter("id is null").select("c", "d", "node")
     if nameless.limit(1).count():
         own = rows.filter("id is null").mapInArrow(found(False), schema).withColumnRenamed("node", "c")
-        own = own.groupBy("c", "d").agg(*(F.first(x).alias(x) for x in ("n", "bits", "grams")))
-        out = out.union(own.join(nameless, ["c", "d"]).select("node", "n", "bits", "grams"))
+        own = own.groupBy("c", "d").agg(*(F.first(x).alias(x) for x in ("n", "bits", "brief", "grams")))
+        out = out.union(own.join(nameless, ["c", "d"]).select("node", "n", "bits", "brief", "grams"))
     return durable(out, "sets")
 
 
-def _marked(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """lists with each document's label."""
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    return lists.join(sized(labels).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _proposed(lists: DataFrame, labels: DataFrame | None, star: int, num: int, den: int) -> DataFrame:
-    """(x, y): each document with the centre that most of its lists propose."""
-    marked = _marked(lists.filter(f"pos < {FIRST} or pmod(h, {SAMPLED}) = 0"), labels)
-    # in the first round the document with the fewest rarer shingles than the list's, which is the likest to all others; then any
-    by = F.col("pos") / F.col("n") if star == 0 else F.xxhash64("node", F.lit(star))
-    centre = marked.groupBy("h").agg(F.min(F.struct(by.alias("by"), "node", "n", "pos", "indexed", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-    centre = centre.filter("low < high").select("h", "hub")
-    pairs = marked.join(centre, "h").filter("label <> hub.label").filter(_fitting(num, den, "n", "hub.n"))
-    pairs = pairs.filter("case when n < hub.n then indexed when n > hub.n then hub.indexed else indexed or hub.indexed end")
-    pairs = pairs.filter(f"least(pos, hub.pos) + 1 + least(n - 1 - pos, hub.n - 1 - hub.pos) >= ceil({num} * (n + hub.n) / {num + den})")
-    pairs = pairs.groupBy(F.col("node").alias("x"), F.col("hub.node").alias("y")).agg(F.count(F.lit(1)).alias("lists"))
-    return pairs.groupBy("x").agg(F.max(F.struct("lists", "y")).getField("y").alias("y"))
-
-
 def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
@@ -424,7 +468,7 @@ def _links(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): linked pairs, enough to connect whatever is connected by links."""
     labels, tried, links = None, None, None
     for star in range(STARS):
-        pairs = _proposed(lists, labels, star, num, den)
+        pairs = proposed(mixed(lists, labels), sets, star, num, den)
         if tried is not None:
             pairs = pairs.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tried.toDF("a", "b"), ["a", "b"], "left_anti").select("x", "y")
         # two documents can propose each other
@@ -432,15 +476,15 @@ def _links(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         tried = _both_ways(pairs) if tried is None else tried.union(_both_ways(pairs))
         found = durable(verified(durable(likely(pairs, sets, num, den), "likely"), sets, num, den), "links")
         links = found if links is None else links.union(found)
-        labels = partly(links)
-    pairs = contenders(_marked(lists, labels), num, den).join(tried, ["x", "y"], "left_anti")
+        labels = components(links)
+    pairs = contenders(mixed(lists, labels), sets, num, den).join(tried, ["x", "y"], "left_anti")
     left = durable(likely(pairs, sets, num, den), "contenders")
     # one of each two labels' pairs first: if it is linked, the others tell nothing new
     ends = [F.least("of_x", "of_y"), F.greatest("of_x", "of_y")]
     one = durable(left.groupBy(*ends).agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y"), "one-each")
     found = durable(verified(one, sets, num, den), "links")
     links = links.union(found)
-    labels = sized(partly(links))
+    labels = sized(components(links))
     rest = left.join(one, ["x", "y"], "left_anti").select("x", "y")
     for c in ("x", "y"):
         rest = rest.join(labels.toDF(c, f"of_{c}"), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
@@ -500,5 +544,18 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir), 4, (85, 100)).withColumnRenamed("id", "doc_id")
 
 
+#: All pairs that share a shingle, and what can be reached over those that link.
+ORACLE = r"""
+WITH RECURSIVE
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS grams FROM t WHERE len(w) > 0),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT d.doc_id, coalesce(len(s.grams), 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN s USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
 QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_ngram_jaccard": ORACLE}

@@ -364,5 +364,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir), with_kept=False).drop("kept").withColumnRenamed("id", "doc_id")
 
 
+#: All strings of SPAN bytes, those that start in a document of a smaller id, and the runs that they cover.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, s, h[s + 1 : s + 50] AS bytes FROM (SELECT doc_id, h, unnest(range(0, octet_length(h) - 49)) AS s FROM d)),
+low AS (SELECT bytes, min(doc_id) AS least FROM w GROUP BY bytes HAVING count(*) > 1),
+g AS (SELECT w.doc_id, s FROM w JOIN low USING (bytes) WHERE least < w.doc_id),
+f AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, true) AS fresh FROM g),
+n AS (SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM f),
+r AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM n GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM r),
+c AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, hex(any_value(h)[1 : min(a)]) || string_agg(hex(h[b + 1 : coalesce(next, octet_length(h))]), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), h)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_suffix_dedup": ORACLE}

@@ -130,14 +130,16 @@ def test_pieces_of_lists():
         for k in c:
             c[k].append(values[k])
     c = {k: np.concatenate(v).astype(bool if k == "indexed" else np.int64) for k, v in c.items()}
+    c["brief"] = np.uint64(1) << r.integers(0, 4, (len(c["h"]), 3)).astype(np.uint64)
     got = Counter(frozenset((int(i), int(j))) for x, y in ngram_join.pairs_of_lists(c, num, den) for i, j in zip(x, y, strict=True))
     want = set()
     for i in range(len(c["h"])):
         for j in range(i):
             n, m, p, q = (int(c[k][x]) for k in ("n", "pos") for x in (i, j))
+            differ = int(np.bitwise_count(c["brief"][i] ^ c["brief"][j]).sum())
             same = c["h"][i] == c["h"][j] and c["label"][i] != c["label"][j] and (not c["side"][i] or c["side"][i] != c["side"][j])
             short = c["indexed"][i] and n <= m or c["indexed"][j] and m <= n
-            if same and short and n * den >= m * num and m * den >= n * num and min(p, q) + 1 + min(n - 1 - p, m - 1 - q) >= ngram_join.needed(n, m, num, den):
+            if same and short and n * den >= m * num and m * den >= n * num and min(p, q) + 1 + min(n - 1 - p, m - 1 - q) >= ngram_join.needed(n, m, num, den) and (n + m - differ) * (num + den) >= 2 * num * (n + m):
                 want.add(frozenset((i, j)))
     assert want and got == Counter(want)
 
