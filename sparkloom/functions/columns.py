@@ -38,12 +38,12 @@ def geometric_mean(values: pd.Series) -> float:
 def initials(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Scalar iterator UDF: first characters of the words of each name."""
     for own in names:
-        yield own.map(lambda s: None if s is None else "".join(w[0] for w in s.split()))
+        yield own.str.replace(r"(\S)\S*\s*", r"\1", regex=True).str.strip()
 
 
-@F.udtf(returnType=StructType([StructField("word_no", IntegerType()), StructField("size", LongType())]))
+@F.udtf(returnType=StructType([StructField("word_no", IntegerType()), StructField("size", LongType())]), useArrow=True)
 class WordSizes:
-    """Table function: position and length of each word of a text."""
+    """Table function, whose rows go to and fro as Arrow batches: position and length of each word of a text."""
 
     def eval(self, text: str):
         for i, w in enumerate((text or "").split()):

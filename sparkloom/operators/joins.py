@@ -42,9 +42,18 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: st
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int) -> DataFrame:
-    """Equi join that deals each key of the large side over ``salts`` tasks and repeats the small side as often."""
-    a = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)))
-    b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    """Equi join that deals the hot keys of the large side over ``salts`` tasks and repeats their rows of the small side as often.
+
+    A key is hot if it has more rows than a shuffle partition has on average; of
+    such keys there are fewer than partitions, so they can be broadcast.
+    """
+    counts = large.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(counts.filter(F.col("__n") * n > total).select(on, F.lit(salts).alias("__salts")))
+    turn = F.coalesce("__salts", F.lit(1))
+    a = large.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*large.columns), turn)).drop("__salts")
+    b = small.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), turn - 1).cast("array<bigint>"))).drop("__salts")
     return a.join(b, [on, "__salt"]).drop("__salt")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns
-from sparkloom.operators import joins
-from sparkloom.sources.tables import register, scan, scratch, sink, table
+from sparkloom.operators import joins, windows
+from sparkloom.sources.tables import register, scan, scratch, sink, sink_bucketed, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,9 +196,9 @@ def aggregate_distinct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"))
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def aggregate_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), exact_sum(F.col("l_quantity")).alias("qty"))
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -219,8 +219,41 @@ def aggregate_having(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 4) AS mid, round(quantile_cont(c_acctbal, 0.9), 4) AS high, round(stddev_samp(c_acctbal), 4) AS sd, round(var_pop(c_acctbal), 2) AS var FROM customer GROUP BY c_mktsegment")
 def aggregate_statistics(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("c_acctbal", p), 4)
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(at(0.5).alias("mid"), at(0.9).alias("high"), F.round(F.stddev_samp("c_acctbal"), 4).alias("sd"), F.round(F.var_pop("c_acctbal"), 2).alias("var"))
+    c = table(spark, d, "customer")
+    middle = windows.exact_percentiles(c, "c_mktsegment", "c_acctbal", {"mid": 0.5, "high": 0.9})
+    spread = c.groupBy("c_mktsegment").agg(F.round(F.stddev_samp("c_acctbal"), 4).alias("sd"), F.round(F.var_pop("c_acctbal"), 2).alias("var"))
+    return middle.join(spread, "c_mktsegment").select("c_mktsegment", F.round("mid", 4).alias("mid"), F.round("high", 4).alias("high"), "sd", "var")
+
+
+@query("SELECT c_mktsegment, quantile_disc(c_acctbal, 0.25) AS low, quantile_disc(c_acctbal, 0.5) AS mid, round(median(c_acctbal), 4) AS median FROM customer GROUP BY c_mktsegment")
+def aggregate_percentile_disc(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    own = windows.exact_percentiles(c, "c_mktsegment", "c_acctbal", {"low": 0.25, "mid": 0.5}, discrete=True)
+    return own.join(windows.exact_percentiles(c, "c_mktsegment", "c_acctbal", {"median": 0.5}), "c_mktsegment").withColumn("median", F.round("median", 4))
+
+
+@query("SELECT n_regionkey, quantile_disc(n_nationkey, 0.5) AS mid, median(n_nationkey) AS median FROM nation GROUP BY n_regionkey")
+def aggregate_percentile_small(spark: SparkSession, d: str) -> DataFrame:
+    """Spark's own functions, for groups of a fixed size."""
+    register(spark, d, "nation")
+    return spark.sql("select n_regionkey, cast(percentile_disc(0.5) within group (order by n_nationkey) as int) as mid, median(n_nationkey) as median from nation group by n_regionkey")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS users_near, true AS middle_near FROM events GROUP BY event_type")
+def aggregate_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of a fixed size for each group: distinct users and the median, and whether both are within their stated errors."""
+    e = table(spark, d, "events")
+    own = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("about"), F.percentile_approx("value", 0.5, 10_000).alias("middle"), F.count("value").alias("n"))
+    # five groups, a row each
+    below = e.join(F.broadcast(own.select("event_type", "middle")), "event_type").groupBy("event_type").agg(F.count(F.when(F.col("value") <= F.col("middle"), 1)).alias("upto"), F.count(F.when(F.col("value") < F.col("middle"), 1)).alias("under"))
+    near = (F.col("under") <= 0.501 * F.col("n") + 1) & (F.col("upto") >= 0.499 * F.col("n") - 1)
+    return own.join(below, "event_type").select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("users_near"), near.alias("middle_near"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def aggregate_group_by_all(spark: SparkSession, d: str) -> DataFrame:
+    register(spark, d, "orders")
+    return spark.sql("select o_orderstatus, o_orderpriority, count(*) as n from orders group by all")
 
 
 @query("SELECT event_type, sum(value) FILTER (WHERE value > 50) IS NOT NULL AS has_large, count(*) FILTER (WHERE value > 50) AS large, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
@@ -264,10 +297,27 @@ SELECT event_id, rank() OVER w AS rk, dense_rank() OVER w AS dr, row_number() OV
 round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)
 """)
 def window_ranks(spark: SparkSession, d: str) -> DataFrame:
-    w, u = Window.partitionBy("event_type").orderBy("value"), Window.partitionBy("event_type").orderBy("value", "event_id")
+    own = windows.ranked(table(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "value", "event_id")
+    # the last row of equal values has the largest row number of them: rank plus their number less one
+    ties = own.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("__ties"))
+    own = own.join(ties, ["event_type", "value"])
+    r, total = F.col("__rank"), F.col("__total")
+    return own.select(
+        "event_id", r.alias("rk"), F.col("__dense").alias("dr"), F.col("__row").alias("rn"), windows.tile(F.col("__row"), total, 4).alias("nt"),
+        F.round(F.when(total > 1, (r - 1) / (total - 1)).otherwise(0.0), 6).alias("pr"), F.round((r - 1 + F.col("__ties")) / total, 6).alias("cd"),
+    )
+
+
+@query("""
+SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nt,
+round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)
+""")
+def window_ranks_per_customer(spark: SparkSession, d: str) -> DataFrame:
+    """Spark's own window functions, for many small groups."""
+    w, u = Window.partitionBy("o_custkey").orderBy("o_orderdate"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     b = lambda c: c.cast("bigint")
-    return table(spark, d, "events").select(
-        "event_id", b(F.rank().over(w)).alias("rk"), b(F.dense_rank().over(w)).alias("dr"), b(F.row_number().over(u)).alias("rn"), b(F.ntile(4).over(u)).alias("nt"),
+    return table(spark, d, "orders").select(
+        "o_orderkey", b(F.rank().over(w)).alias("rk"), b(F.dense_rank().over(w)).alias("dr"), b(F.row_number().over(u)).alias("rn"), b(F.ntile(4).over(u)).alias("nt"),
         F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"),
     )
 
@@ -287,8 +337,15 @@ def window_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '2 hours' PRECEDING AND CURRENT ROW) AS n FROM events")
 def window_range(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return windows.trailing_count(own, "event_type", "ts", 7200, "n").select("event_id", "n")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '2 days' PRECEDING AND CURRENT ROW) AS n FROM events")
+def window_range_per_user(spark: SparkSession, d: str) -> DataFrame:
+    """Spark's own range frame, for many small groups."""
     register(spark, d, "events")
-    return spark.sql("select event_id, count(*) over (partition by event_type order by ts range between interval 2 hours preceding and current row) as n from events")
+    return spark.sql("select event_id, count(*) over (partition by user_id order by ts range between interval 2 days preceding and current row) as n from events")
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
@@ -306,6 +363,25 @@ def window_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@query("""
+WITH w AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS b, event_type FROM events), s AS (SELECT b - INTERVAL '30 minutes' AS start, event_type FROM w UNION ALL SELECT b, event_type FROM w)
+SELECT start, event_type, count(*) AS n FROM s GROUP BY start, event_type
+""")
+def window_sliding(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "events").groupBy(F.window("ts", "1 hour", "30 minutes"), "event_type").agg(F.count("*").alias("n"))
+    return own.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes', true) AS fresh FROM events),
+s AS (SELECT user_id, ts, value, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n, max(value) AS high FROM s GROUP BY user_id, no
+""")
+def window_session(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"), F.max("value").alias("high"))
+    return own.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n", "high")
+
+
 # set operations
 
 
@@ -410,6 +486,13 @@ def functions_variant(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def functions_from_json(spark: SparkSession, d: str) -> DataFrame:
+    """With a schema; a field that isn't there is null."""
+    own = F.from_json("props", "k bigint, missing string")
+    return table(spark, d, "events").select("event_id", own.getField("k").alias("k"), own.getField("missing").alias("missing"))
+
+
 @query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, round(list_max(embedding)::DOUBLE, 6) AS high, list_contains(embedding, 0) AS zero FROM embeddings")
 def functions_array(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
@@ -431,6 +514,19 @@ def functions_dot(spark: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(q).select("vec_id", "query_id", F.round(columns.dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
 
 
+@query("""
+SELECT a.vec_id, b.vec_id AS query_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) + 0.0 AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0
+""")
+def functions_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The query set of ids divisible by 20 against all rows, in blocks: each block of queries meets each row once."""
+    e = table(spark, d, "embeddings")
+    asked = e.filter("vec_id % 20 = 0").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+    rows = e.withColumn("block", F.explode(F.lit(list(range(8))).cast("array<bigint>"))).join(asked, "block")
+    found = rows.select("vec_id", F.explode(F.transform("queries", lambda q: F.struct(q["vec_id"].alias("query_id"), (F.round(columns.cosine(F.col("embedding"), q["embedding"]), 4) + 0.0).alias("cosine")))).alias("f"))
+    return found.select("vec_id", "f.query_id", "f.cosine")
+
+
 # user functions
 
 
@@ -439,9 +535,9 @@ def udf_grouped_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(columns.geometric_mean("value"), 4).alias("gm"))
 
 
-@query("SELECT n_nationkey, substr(n_name, 1, 1) AS i FROM nation")
+@query("SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_type, ' '), lambda w: w <> ''), lambda w: w[1]), '') AS i FROM part")
 def udf_scalar(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", columns.initials(F.translate("n_name", " ", "_")).alias("i"))
+    return table(spark, d, "part").select("p_partkey", columns.initials("p_type").alias("i"))
 
 
 @query("SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS word_no, length(w[i]) AS size FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations) t, range(1, len(w) + 1) AS r(i)")
@@ -477,3 +573,20 @@ def source_partitioned(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "partitioned")
     sink(table(spark, d, "orders"), path, "parquet", by=("o_orderstatus",))
     return scan(spark, path).filter("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT r_regionkey || ',' || r_name AS value FROM region")
+def source_text(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "text")
+    sink(table(spark, d, "region").select(F.concat_ws(",", "r_regionkey", "r_name").alias("value")), path, "text")
+    return scan(spark, path, "text")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
+def source_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables bucketed alike, which a join on their buckets' key reads without a shuffle."""
+    own = f"sparkloom_{abs(hash(d)) % 10**8}"
+    sink_bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), f"{own}_orders", 8, "o_orderkey")
+    sink_bucketed(table(spark, d, "lineitem").select("l_orderkey"), f"{own}_lines", 8, "l_orderkey")
+    o, li = spark.table(f"{own}_orders"), spark.table(f"{own}_lines")
+    return o.join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))

@@ -43,7 +43,24 @@ def sink_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> None:
     df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names, or in a temporary one where it names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only on one machine, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or tempfile.mkdtemp(prefix='sparkloom-')).rstrip('/')}/sparkloom-tables/{uuid.uuid4().hex}-{name}"
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="sparkloom-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/sparkloom-tables/{uuid.uuid4().hex}-{name}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there: its lineage is cut, and it can't change between two reads."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,24 +8,28 @@ watermark hasn't closed; the SQL leaves out the same.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from sparkloom.sources.tables import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def events(spark: SparkSession, d: str, delay: str | None = "10 minutes") -> DataFrame:
-    """The events as a stream; watermarks need a timestamp with time zone."""
+def events(spark: SparkSession, d: str, delay: str | None = "10 minutes", files_at_once: int | None = None) -> DataFrame:
+    """The events as a stream; watermarks need a timestamp with time zone.  files_at_once bounds the files of a batch."""
     path = f"{d}/events.parquet"
     # a stream reads a folder or a pattern, so a table that is one file is named by a pattern
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    stream = reader.parquet(f"{d}/event[s].parquet")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.withWatermark("ts", delay) if delay else stream
 
@@ -33,8 +37,7 @@ def events(spark: SparkSession, d: str, delay: str | None = "10 minutes") -> Dat
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and returns the sink's rows."""
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{named.rstrip('/')}/sparkloom-streams/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="sparkloom-stream-")
+    base = scratch(spark, "stream")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
@@ -106,12 +109,49 @@ def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 2)]})
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
 def stream_custom_state(spark: SparkSession, d: str) -> DataFrame:
     """Counts per user in state of its own; the last of each user's updates."""
     own = events(spark, d, None).groupBy("user_id").applyInPandasWithState(_count, "user_id bigint, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{named.rstrip('/')}/sparkloom-streams/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="sparkloom-stream-")
-    writer = own.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, epoch: batch.write.mode("append").parquet(f"{base}/out")).start().awaitTermination()
-    return spark.read.schema(own.schema).parquet(f"{base}/out").groupBy("user_id").agg(F.max("n").alias("n"))
+    return updates(own).groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+
+
+def updates(df: DataFrame) -> DataFrame:
+    """Runs the stream over what is there in update mode and returns all batches' rows; a batch that is repeated replaces what it wrote before."""
+    spark, base = df.sparkSession, scratch(df.sparkSession, "stream")
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+class LastSeen(StatefulProcessor):
+    """Of each key the number of rows and the largest value so far, in two values of state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n bigint, high double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, high = self.seen.get() if self.seen.exists() else (0, float("-inf"))
+        for b in rows:
+            n, high = n + len(b), max(high, float(b["value"].max()))
+        self.seen.update((n, high))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "high": [high]})
+
+    def close(self) -> None:
+        pass
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS high FROM events GROUP BY user_id")
+def stream_transform_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stateful processor, whose state is kept by RocksDB."""
+    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, kind)
+    try:
+        own = events(spark, d, None).groupBy("user_id").transformWithStateInPandas(LastSeen(), "user_id bigint, n bigint, high double", "Update", "None")
+        return updates(own).groupBy("user_id").agg(F.max("n").alias("n"), F.max("high").alias("high"))
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -35,3 +35,10 @@ def test_salted(spark):
     large = spark.createDataFrame([(0, i) for i in range(50)] + [(1, i) for i in range(5)], "k int, i int")
     small = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, s string")
     assert joins.salted_join(large, small, "k", 3).groupBy("s").count().orderBy("s").collect() == [("a", 50), ("b", 5)]
+
+
+def test_salted_joins_only_hot_keys_anew(spark):
+    large = spark.createDataFrame([(0, i) for i in range(60)] + [(k, k) for k in range(1, 9)] + [(None, 1)], "k int, i int")
+    small = spark.createDataFrame([(k, str(k)) for k in range(10)], "k int, s string")
+    out = joins.salted_join(large, small, "k", 3)
+    assert out.count() == 68 and out.filter("k = 0").count() == 60 and out.columns == ["k", "i", "s"]
