@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+#: Paths below the shared folder that this process has given out and not deleted.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder
-    is made, and used for checkpoints too.
+    Only on one machine (tests), where none is named, a temporary folder is made,
+    and used for checkpoints too; on a cluster executors would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         path = spark._jvm.org.apache.hadoop.fs.Path(named)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -33,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; everything the operators write is under sparkloom-scratch."""
-    return f"{shared_dir(spark)}/sparkloom-scratch/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_dir(spark)}/sparkloom-scratch/{uuid.uuid4().hex}-{name}"
+    _WRITTEN.append(path)
+    return path
 
 
 def durable(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -70,10 +77,17 @@ def sized(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what the operators wrote to the shared folder; earlier results can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkloom-scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written() -> list[str]:
+    """What the operators have written to the shared folder and nothing has deleted."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes these paths, or all that the operators wrote; results that read them can't be read afterwards."""
+    for name in written() if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(name)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,9 +1,12 @@
 """Exact deduplication by a distributed content sort; DataFrame functions only.
 
 1. A bounded sample of (first 48 characters, hash, id) of the normalised texts
-   gives splitters.  As the id is part of the key, a group of copies of any
-   size is cut into several ranges.
-2. Each row finds its range by binary search, and one shuffle sends it there.
+   gives at most SPLITTERS splitters.  As the id is part of the key, a group of
+   copies of any size is cut into several ranges.
+2. Each row finds its range by binary search.  Where more ranges are wanted than
+   there are splitters, a range is cut again by the hash, and rows that agree with
+   a splitter, whose group may be of any size, by the id.  One shuffle sends each
+   row to its range.
 3. Spark's external sort orders a range by (first characters, hash, text, id),
    so equal texts are neighbours; ``lag`` compares each full text with the one
    before it.
@@ -21,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LAST, documents, durable, id_key, id_text, partitions, sized
+from sparkloom.llm.common import documents, durable, id_key, id_text, partitions, sized
 
-SAMPLES_PER_RANGE = 24
+SAMPLES_PER_RANGE, SPLITTERS = 24, 1024
 PREFIX = 48
 
 
@@ -62,11 +65,13 @@ def range_of(cuts: list[tuple[str, int, int]]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), step)
 
 
-def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, splits: int = SPLITTERS) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row of docs."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
-    ranges = ranges or 4 * partitions(spark)
+    wanted = ranges or 4 * partitions(spark)
+    ranges = min(wanted, splits)
+    finer = -(-wanted // ranges)
     cuts = splitters(rows, ranges)
     keyed = rows.select("id", id_key().alias("key"), normalised(F.col("text")).alias("norm"))
     keyed = keyed.withColumns({"prefix": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
@@ -77,36 +82,34 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         edge = F.lit(False)
     keyed = keyed.withColumn("edge", edge)
-    inside = Window.partitionBy("range").orderBy("prefix", "hash", "norm", "key")
+    if finer > 1:
+        again = F.pmod(F.when(F.col("edge"), F.xxhash64("key")).otherwise(F.xxhash64("hash")), F.lit(finer))
+        keyed = keyed.withColumn("range", F.col("range") * finer + again)
+    last = F.asc_nulls_last("id")
+    inside = Window.partitionBy("range").orderBy("prefix", "hash", "norm", last)
     runs = keyed.withColumn("first", F.coalesce(F.lag("norm").over(inside) != F.col("norm"), F.lit(True)))
     runs = runs.withColumn("run", F.sum(F.col("first").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.select("id", "key", "range", "run", "edge", F.sha2("norm", 256).alias("sha"), F.when(F.col("edge") & F.col("first"), F.col("norm")).alias("edge_text"))
+    runs = runs.select("id", "range", "run", "edge", F.sha2("norm", 256).alias("sha"), F.when(F.col("edge") & F.col("first"), F.col("norm")).alias("edge_text"))
     own = Window.partitionBy("range", "run")
     slim = durable(
         runs.select(
             "id", "range", "run", "edge", "sha", "edge_text",
-            F.min("key").over(own).alias("low"),
+            F.min("id").over(own).alias("low"),
             F.count(F.lit(1)).over(own).alias("n"),
-            F.row_number().over(own.orderBy("key")).alias("place"),
+            F.row_number().over(own.orderBy(last)).alias("place"),
         ),
         "dedup-runs",
     )
     # runs at splitters: at most a few for each splitter, whatever the number of rows
     at_edge = slim.filter("edge and edge_text is not null")
-    whole = at_edge.groupBy("edge_text").agg(F.min(F.struct("low", "range", "run")).alias("best"), F.sum("n").alias("all_n"))
+    whole = at_edge.groupBy("edge_text").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "range", "run")).alias("best"), F.sum("n").alias("all_n"))
     joined = at_edge.join(whole, "edge_text").select(
         "range", "run", F.col("best.low").alias("all_low"), F.col("all_n"),
         ((F.col("best.range") == F.col("range")) & (F.col("best.run") == F.col("run"))).alias("best_run"),
     )
     inner = slim.filter("not edge").select("id", "low", "n", (F.col("place") == 1).alias("kept"), "sha")
     outer = slim.filter("edge").join(joined, ["range", "run"]).select("id", F.col("all_low").alias("low"), F.col("all_n").alias("n"), (F.col("best_run") & (F.col("place") == 1)).alias("kept"), "sha")
-    return inner.union(outer).select(
-        "id",
-        F.when(F.col("low") < F.lit(LAST), F.col("low")).alias("keep_id"),
-        F.col("n").alias("group_size"),
-        "kept",
-        F.col("sha").alias("text_sha256"),
-    )
+    return inner.union(outer).select("id", F.col("low").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,8 +15,8 @@ digits) after the sums of the bins before, so no leaf, however large, is
 gathered in one task.
 
 Defined cases: null or empty text has no tokens, and is taken with the prefix it
-stands in; rows that repeat an id (or have a null id) count as one document;
-null domain, language or source are the empty string; a leaf of weight 0 gets
+stands in; rows that repeat an id count as one document, and so do rows without
+an id that agree in text, language and source; null domain, language or source are the empty string; a leaf of weight 0 gets
 nothing; an empty table gives an empty result.
 """
 
@@ -39,6 +39,12 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("bigint")
 
 
+def unit_key(id_col: str, text_col: str) -> Column:
+    """What tells documents apart: the id, or without one the row's own values."""
+    own = F.md5(F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s"), F.col(text_col).cast("string").alias("t"))))
+    return F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.concat(F.lit("null "), own))
+
+
 def _weight(level: int, weights: dict[tuple[str, ...], int]) -> Column:
     out = F.lit(1)
     for path, w in weights.items():
@@ -69,35 +75,36 @@ def budgets(leaves: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weigh
     return leaves.join(root, list(LEVELS)).select(*leaves.columns, F.floor("given").alias("budget"))
 
 
-def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict[tuple[str, ...], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, weights: dict[tuple[str, ...], int] | None = None, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """The documents taken, one row for each epoch: id, epoch, domain, lang, source, tokens, budget (of the leaf)."""
     named = docs.select(
+        unit_key(id_col, text_col).alias("key"),
         F.col(id_col).cast("bigint").alias("id"),
         F.coalesce(F.expr(DOMAIN) if domain is None else domain, F.lit("")).alias("domain"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         n_words(F.col(text_col)).alias("tokens"),
     )
-    units = durable(named.groupBy("id").agg(F.min(F.struct(*LEVELS)).alias("leaf"), F.sum("tokens").alias("tokens")).select("id", "leaf.*", "tokens"), "units")
+    units = durable(named.groupBy("key", "id").agg(F.min(F.struct(*LEVELS)).alias("leaf"), F.sum("tokens").alias("tokens")).select("key", "id", "leaf.*", "tokens"), "units")
     leaves = durable(budgets(units.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), share, epochs, weights).withColumnRenamed("tokens", "all_tokens"), "budgets")
     turn = units.withColumn("epoch", F.explode(F.lit(list(range(epochs)))))
-    turn = turn.withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.lit("null")))))
+    turn = turn.withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "key")))
     turn = turn.withColumn("bin", F.substring("order", 1, BINS))
     leaf_bin = [*LEVELS, "epoch", "bin"]
     bins = turn.groupBy(*leaf_bin).agg(F.sum("tokens").alias("bin_tokens"))
     before = Window.partitionBy(*LEVELS, "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.join(leaves, list(LEVELS)).withColumn("before", F.col("epoch") * F.col("all_tokens") + F.coalesce(F.sum("bin_tokens").over(before), F.lit(0)))
     bins = bins.filter("before <= budget").select(*leaf_bin, "before", "budget")
-    within = Window.partitionBy(*leaf_bin).orderBy("order", "id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*leaf_bin).orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0)
     taken = turn.join(bins, leaf_bin).withColumn("upto", F.col("before") + F.sum("tokens").over(within)).filter("upto <= budget")
-    return taken.select("id", "epoch", *LEVELS, "tokens", "budget")
+    return taken.select(*(["key"] if with_key else []), "id", "epoch", *LEVELS, "tokens", "budget")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix() takes, once for each epoch; same columns."""
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).select(F.col("id").alias("__taken"))
-    return docs.join(taken, F.col(id_col).cast("bigint").eqNullSafe(F.col("__taken"))).drop("__taken")
+    taken = mix(docs, **options, with_key=True).select(F.col("key").alias("__taken"))
+    own = unit_key(options.get("id_col", "doc_id"), options.get("text_col", "text"))
+    return docs.withColumn("__own", own).join(taken, F.col("__own") == F.col("__taken")).drop("__own", "__taken")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

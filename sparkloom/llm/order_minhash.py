@@ -48,11 +48,8 @@ def kmers(points: np.ndarray, k: int = K) -> np.ndarray:
 def numbered(own: np.ndarray) -> np.ndarray:
     """The occurrence number of each k-mer: how many equal ones stand before it."""
     n = len(own)
-    bits = _U(max(1, int(n - 1).bit_length()))
-    keyed = (own >> bits << bits) | np.arange(n, dtype=_U)
-    keyed.sort()
-    heads = keyed >> bits
-    places = (keyed & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    places = np.argsort(own, kind="stable")
+    heads = own[places]
     fresh = np.empty(n, bool)
     fresh[0] = True
     np.not_equal(heads[1:], heads[:-1], out=fresh[1:])

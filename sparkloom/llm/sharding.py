@@ -2,8 +2,11 @@
 
 Language, source and size are quantised to BITS bits each; the Hilbert index of
 that cell orders the documents, so that a shard holds few values of each and a
-reader can skip shards by their ranges.  Equal texts form a group, which takes
-the cell of its smallest id and stays in one shard.
+reader can skip shards by their ranges.  A category's cell is its place among the
+shares of all rows, the most frequent first, so that cells are about evenly
+filled; those beyond the first CATEGORIES share what is left by hash.  Equal
+texts form a group, which takes the cell of its smallest id and stays in one
+shard.
 
 1. Rows are range-partitioned and sorted by (index, text hash, id) and get their
    place in the whole order by prefix sums over the partitions' counts.
@@ -12,6 +15,9 @@ the cell of its smallest id and stays in one shard.
    two) are taken apart, which is the case for a group larger than a shard.
 3. All other rows fill what is left of the shards in curve order.
 
+Rows meet their groups by broadcast while groups of several rows are few; beyond
+that groups of more than a HEAVY-th of all rows, of which there are fewer than
+HEAVY, still do, and only the others' rows are shuffled by the text's hash.
 Only ids, sizes, hashes and indexes are shuffled, never texts.
 
 Defined cases: null text is empty (size 1); null language or source is the empty
@@ -26,9 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable, id_key, partitions, running_offsets, ship
+from sparkloom.llm.common import BROADCAST_ROWS, documents, durable, id_key, partitions, running_offsets, ship
 
-SHARDS, BITS = 16, 5
+SHARDS, BITS, CATEGORIES, HEAVY = 16, 5, 256, 1000
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -59,9 +65,32 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _category(c: Column) -> Column:
-    """BITS bits of a category's hash."""
-    return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int") / F.lit(1 << (8 - BITS))
+def _category(docs: DataFrame, name: str) -> Column:
+    """BITS bits of a category: its place among the shares of all rows."""
+    own = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    counts = docs.groupBy(own.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # at most CATEGORIES rows, each with the number of all rows
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    known, before = [], 0
+    for value, n in counts.orderBy(F.desc("n"), "value").limit(CATEGORIES).collect():
+        known.append((value, before * (1 << BITS) // every))
+        before += n
+    rest = F.lit(before / max(1, every)) + F.lit(1 - before / max(1, every)) * F.pmod(F.xxhash64(own), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    cell = F.least(F.floor(rest * (1 << BITS)).cast("int"), F.lit((1 << BITS) - 1))
+    if not known:
+        return cell
+    at = F.array_position(F.lit([v for v, _ in known]), own)
+    return F.when(at > 0, F.get(F.lit([c for _, c in known]), at.cast("int") - 1)).otherwise(cell)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, total: int, columns: list[str]) -> DataFrame:
+    """rows (hash, ...) with the columns of their group (hash, n, ...), null for rows that have none; groups of one row aren't in groups."""
+    own = groups.select("hash", *columns)
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(own), "hash", "left")
+    heavy = F.broadcast(groups.filter(F.col("n") * HEAVY > total).select("hash", *columns))
+    light = rows.join(heavy.select("hash"), "hash", "left_anti").join(own, "hash", "left")
+    return light.unionByName(rows.join(heavy, "hash").select(*light.columns))
 
 
 def _magnitude(c: Column) -> Column:
@@ -84,19 +113,21 @@ def shards(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: s
         (F.octet_length(text).cast("bigint") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("hash"),
-        F.struct(*(_category(F.col(c)).cast("int").alias(f"c{j}") for j, c in enumerate(by)), _magnitude(F.octet_length(text) + 1).alias("c")).alias("cell"),
+        F.struct(*(_category(docs, c).cast("int").alias(f"c{j}") for j, c in enumerate(by)), _magnitude(F.octet_length(text) + 1).alias("c")).alias("cell"),
     )
-    rows = rows.select("id", "size", "text_crc32", "hash", index("cell").alias("own"))
-    groups = rows.groupBy("hash").agg(F.min(F.struct(id_key().alias("key"), "own")).getField("own").alias("curve"), F.count(F.lit(1)).alias("n"))
+    rows = durable(rows.select("id", "size", "text_crc32", "hash", index("cell").alias("own")), "cells")
+    total = rows.count()
+    groups = rows.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "own")).getField("own").alias("curve"), F.count(F.lit(1)).alias("n"))
+    groups = durable(groups.filter("n > 1"), "groups")
     order = ["curve", "hash", "key"]
-    full = rows.join(groups, "hash").select("id", id_key().alias("key"), "size", "text_crc32", "hash", "curve", "n")
+    full = with_groups(rows, groups, total, ["curve", "n"])
+    full = full.select("id", id_key().alias("key"), "size", "text_crc32", "hash", F.coalesce("curve", "own").alias("curve"), F.coalesce("n", F.lit(1)).alias("n"))
     place = F.monotonically_increasing_id()
     ordered = full.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     ordered = ordered.select("id", "size", "text_crc32", "hash", "n", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("local"))
     ordered = durable(ordered, "curve")
 
     counts = running_offsets(ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "part", "rows")
-    total = counts.agg(F.sum("rows")).first()[0] or 0
     q, r = divmod(total, n)
     sizes = [q + (s < r) for s in range(n)]
     starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
@@ -114,11 +145,12 @@ def shards(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: s
     upto = Window.partitionBy("home").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     fits = sorted(tuple(x) for x in classes.withColumn("upto", F.sum("rows").over(upto)).collect())
     kept = {(home, c): rows for home, c, rows, upto in fits if upto <= sizes[home]}
-    whole = several.filter(F.concat_ws(":", "home", "class").isin([f"{h}:{c}" for h, c in kept])).select("hash", "home")
+    whole = several.filter(F.concat_ws(":", "home", "class").isin([f"{h}:{c}" for h, c in kept])).select("hash", "n", "home")
+    whole = durable(whole, "whole")
     free = [sizes[s] - sum(rows for (home, _), rows in kept.items() if home == s) for s in range(n)]
     free_starts = np.concatenate([[0], np.cumsum(free)]).tolist()
 
-    marked = durable(placed.join(whole, "hash", "left").select("id", "size", "text_crc32", "part", "local", "home"), "marked")
+    marked = durable(with_groups(placed.drop("n"), whole, total, ["home"]).select("id", "size", "text_crc32", "part", "local", "home"), "marked")
     within = Window.partitionBy("part").orderBy("local").rowsBetween(Window.unboundedPreceding, -1)
     loose = running_offsets(marked.groupBy("part").agg(F.count(F.when(F.col("home").isNull(), 1)).alias("rows")), "part", "rows")
     turn = F.col("before") + F.coalesce(F.sum(F.col("home").isNull().cast("int")).over(within), F.lit(0))

@@ -2,7 +2,7 @@
 
 A file holds documents in ascending key order:
 
-    data blocks | index | Bloom filter | meta | footer (56 bytes)
+    data blocks | index | Bloom filter | footer (56 bytes)
 
 A key is one byte (0, or 1 for a null id, which comes last) and the id as a
 big-endian 64-bit integer with its sign bit flipped, so byte order is id order.
@@ -13,10 +13,11 @@ nothing.  Blocks are compressed with zstandard and carry a crc32.  The sparse
 index has the last key, place and length of each block, for binary search; the
 Bloom filter answers most lookups of absent keys without reading a block.
 
-Rows are range-partitioned by (id, hash of the text), each task writes one
-shard under a temporary name and renames it when it is whole, so a repeated
-task replaces the file with the same bytes.  Files go to the shared folder by
-pyarrow's filesystems (local, HDFS, S3, GCS).
+Rows are range-partitioned by (id, hash of the text), and each attempt of a task
+writes one shard under a name of its own.  The table that is returned names the
+files of the attempts that count, so what a lost attempt has left is never read,
+and nothing is renamed, which object stores can't do at once.  Files go to the
+shared folder by pyarrow's filesystems (local, HDFS, S3, GCS).
 
 Defined cases: null text is the end id alone; rows that repeat an id are all
 kept, in the order of their texts' hashes; an empty table has no shards.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable, id_key, id_text, partitions, running_offsets, scratch_path
+from sparkloom.llm.common import documents, durable, id_text, partitions, running_offsets, scratch_path
 from sparkloom.llm.shingles import mix
 
 END_ID = 1
@@ -208,7 +209,8 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Writes the shards below folder; one row per shard (SHARDS), in key order of shard."""
     rows = id_text(docs, id_col, text_col)
     n = shards or partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, id_key(), F.xxhash64("text")).sortWithinPartitions(id_key(), F.xxhash64("text")).select("id", "text")
+    order = [F.asc_nulls_last("id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -220,12 +222,11 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         width = 2 if own.narrow and end_id < 1 << 16 else 4
         shard, writer, sink = task.partitionId(), None, None
         files, root = fs.FileSystem.from_uri(folder)
-        final = f"{root}/{shard:06d}.sst"
-        trial = f"{final}.{task.taskAttemptId()}.tmp"
+        name = f"{shard:06d}-{task.taskAttemptId()}.sst"
         for batch in batches:
             if writer is None:
                 files.create_dir(root, recursive=True)
-                sink = files.open_output_stream(trial)
+                sink = files.open_output_stream(f"{root}/{name}")
                 writer = Writer(sink, width)
             for i, flat, cuts in own.encode(batch.column(1), end_id):
                 data, at = flat.astype(f"<u{width}").tobytes(), (cuts * width).tolist()
@@ -234,8 +235,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if writer is not None:
             writer.close()
             sink.close()
-            files.move(trial, final)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{shard:06d}.sst"], "rows": [writer.rows], "n_tokens": [writer.tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{name}"], "rows": [writer.rows], "n_tokens": [writer.tokens]})
 
     return durable(ordered.mapInArrow(write, SHARDS), "shards")
 

@@ -18,9 +18,9 @@ def norm(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 40])
-def test_exact(odd, ranges):
-    got = exact_dedup.dedup_groups(odd, ranges=ranges).collect()
+@pytest.mark.parametrize(("ranges", "splits"), [(1, 9), (3, 9), (40, 99), (40, 5)])
+def test_exact(odd, ranges, splits):
+    got = exact_dedup.dedup_groups(odd, ranges=ranges, splits=splits).collect()
     rows = [(r[0], norm(r[1])) for r in odd_rows()]
     groups: dict = {}
     for i, t in rows:
@@ -34,6 +34,25 @@ def test_exact(odd, ranges):
     assert len(kept) == len(groups) and all(r.id == r.keep_id for r in kept)
 
 
+LAST = 2**63 - 1
+
+
+@pytest.mark.parametrize("ranges", [1, 12])
+def test_exact_of_the_largest_ids(spark, ranges):
+    rows = [(LAST, "a"), (None, "a"), (LAST, "b"), (None, "c"), (None, "c"), (-(2**63), "d"), (LAST - 1, "d")]
+    got = exact_dedup.dedup_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), ranges=ranges).collect()
+    want = [(LAST, LAST, 2, True), (None, LAST, 2, False), (LAST, LAST, 1, True), (-(2**63), -(2**63), 2, True), (LAST - 1, -(2**63), 2, False), (None, None, 2, True), (None, None, 2, False)]
+    assert Counter((r.id, r.keep_id, r.group_size, r.kept) for r in got) == Counter(want)
+
+
+def test_exact_of_a_hot_text(spark):
+    """One text in most rows: its ranges are cut by id, and their runs joined."""
+    rows = [(i, "hot text") for i in range(500)] + [(1000 + i, f"t {i % 7}") for i in range(40)]
+    got = exact_dedup.dedup_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), ranges=64, splits=8).collect()
+    assert Counter((r.keep_id, r.group_size) for r in got) == Counter([(0, 500)] * 500 + [(1000 + i % 7, 6 if i % 7 < 5 else 5) for i in range(40)])
+    assert sum(r.kept for r in got) == 8 and all(r.kept == (r.id == r.keep_id) for r in got)
+
+
 def test_exact_apply_to_repeated_ids(spark):
     rows = [(1, "a b"), (1, "a  b"), (2, "a\tb"), (None, "c d"), (None, "c\nd"), (1, "e")]
     out = exact_dedup.apply(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -166,6 +185,23 @@ def test_lone_postings_go_when_counters_are_full(spark):
     assert ngram_join.shared(found, 4, 5).count() == 0
 
 
+def test_groups_of_the_largest_ids_and_none(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(LAST, text), (LAST - 1, text + " x"), (None, text + " y"), (None, "no one else has this text at all"), (-(2**63), "a b c d e f")]
+    got = Counter(tuple(r) for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, (85, 100)).collect())
+    assert got == brute_groups(rows, 4, 85, 100) and (LAST, 57, LAST - 1) in got
+
+
+def test_groups_of_long_texts(spark):
+    """Texts of more than a slice each."""
+    r = np.random.default_rng(4)
+    own = [f"v{i}" for i in r.integers(0, 10**6, 100_000)]
+    rows = [(5, " ".join(own)), (3, " ".join(own[:95_000])), (9, " ".join(own[:80_000])), (7, " ".join(own[40_000:]))]
+    assert all(len(t) > 1 << 18 for _, t in rows) and len(rows[0][1]) > 1 << 19
+    got = Counter(tuple(x) for x in ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, (85, 100)).collect())
+    assert got == brute_groups(rows, 4, 85, 100) and len({c for _, _, c in got}) == 3
+
+
 def test_groups_apply(odd, empty):
     out = ngram_join.apply(odd)
     assert out.columns == odd.columns

@@ -142,8 +142,8 @@ def test_budgets(spark):
 
 
 def test_mix(spark, odd, empty):
-    got = mixing.mix(odd, share=0.6).collect()
-    assert len({(r.id, r.epoch) for r in got}) == len(got)
+    got = mixing.mix(odd, share=0.6, with_key=True).collect()
+    assert len({(r.key, r.epoch) for r in got}) == len(got)
     for leaf in {(r.domain, r.lang, r.source) for r in got}:
         own = [r for r in got if (r.domain, r.lang, r.source) == leaf]
         assert sum(r.tokens for r in own) <= own[0].budget
@@ -152,6 +152,61 @@ def test_mix(spark, odd, empty):
     assert mixing.apply(empty).count() == 0
 
 
+def brute_mix(rows, share, epochs, seed=mixing.SEED):
+    """Leaves' budgets by bisection, then each leaf's longest prefix of its documents in every epoch's order, in plain loops."""
+    import re
+
+    units: dict = {}
+    for key, domain, lang, source, text in rows:
+        leaf, n = (domain, lang or "", source or ""), len([w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w])
+        old = units.get(key, (leaf, 0))
+        units[key] = (min(leaf, old[0]), old[1] + n)
+    tokens: Counter = Counter()
+    for leaf, n in units.values():
+        tokens[leaf] += n
+    given = {(): share * sum(tokens.values())}
+    for level in range(3):
+        after = {}
+        for path, b in given.items():
+            own = sorted({x[: level + 1] for x in tokens if x[:level] == path})
+            caps = [epochs * sum(n for x, n in tokens.items() if x[: level + 1] == o) for o in own]
+            after |= dict(zip(own, fill(b, [(c, mixing.WEIGHTS.get(o, 1)) for c, o in zip(caps, own, strict=True)]), strict=True))
+        given = after
+    out = Counter()
+    for leaf in tokens:
+        used, budget = 0, int(given[leaf] + 1e-6)
+        for epoch in range(epochs):
+            for key in sorted((k for k, (x, _) in units.items() if x == leaf), key=lambda k: hashlib.md5(f"{seed}:{epoch}:{k}".encode()).hexdigest()):
+                used += units[key][1]
+                if used <= budget:
+                    out[(key, epoch, *leaf, units[key][1])] += 1
+    return out
+
+
+@pytest.mark.parametrize(("share", "epochs"), [(0.37, 1), (0.8, 2), (1.3, 2), (1.0, 1)])
+def test_mix_equals_loops(spark, share, epochs):
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        lang, source = [("en", "s1"), ("en", "s2"), ("de", "s3"), ("fr", "s4"), (None, None)][int(r.choice(5, p=[0.5, 0.2, 0.15, 0.1, 0.05]))]
+        rows.append((i if i % 10 else None, " ".join(["w"] * int(r.integers(0, 30))) + f" t{i}", lang, source))
+    rows += [rows[10]] * 2 + [(1, "again with the same id", "en", "s1"), (None, None, "en", "s1"), (None, "twice", None, "s2"), (None, "twice", None, "s2"), (None, "twice", "s2", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    keys = [(x.key, x.domain, x.lang, x.source, x.text) for x in df.select(mixing.unit_key("doc_id", "text").alias("key"), mixing.F.expr(mixing.DOMAIN).alias("domain"), "lang", "source", "text").collect()]
+    got = Counter((x.key, x.epoch, x.domain, x.lang, x.source, x.tokens) for x in mixing.mix(df, share=share, epochs=epochs, with_key=True).collect())
+    want = brute_mix(keys, share, epochs)
+    assert got == want
+    # the rows themselves come out as often as their unit is taken, in their own language and source
+    taken = Counter()
+    for key, *_ in want.elements():
+        taken[key] += 1
+    out = Counter((x.doc_id, x.text, x.lang, x.source) for x in mixing.apply(df, share=share, epochs=epochs).collect())
+    expected = Counter()
+    for (key, *_), row in zip(keys, rows, strict=True):
+        expected[row] += taken[key]
+    assert out == +expected
+
+
 def brute_sketch(text):
     """Plain loops over all k-mers and orders."""
     n = len(text)
@@ -201,6 +256,28 @@ def test_fingerprints(odd, empty):
     assert order_minhash.with_next(empty).count() == 0
 
 
+def test_every_next_document(spark):
+    """All columns in descending order of id, over the ends of partitions and from the last document to the first."""
+    r = np.random.default_rng(11)
+    base = "".join(r.choice(list("abcdefgh é"), 700))
+    texts = [base, base[:400] + "".join(r.choice(list("xyz "), 300)), "", "abc", base[200:] + base[:200], base, "short one", "".join(r.choice(list("日本語 "), 90))] * 3 + ["q" * 600_000 + base]
+    rows = [(int(i) * 3 - 20, t) for i, t in zip(r.permutation(len(texts)), texts, strict=True)]
+    got = {x.id: x for x in order_minhash.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    assert len(got) == len(rows)
+    share = lambda a, b: float(len(a) == len(b)) if len(a) != len(b) or not len(a) else sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    some = 0
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(t) // 3
+        e = t[: len(t) - n] + after[:n]
+        a, b, c = (order_minhash.sketch(x).tolist() for x in (t, e, after))
+        assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in a) and got[i].edited_fingerprint == "".join(f"{x:08x}" for x in b)
+        assert got[i].near_edited == pytest.approx(share(a, b)) and got[i].near_next == pytest.approx(share(a, c))
+        some += 0 < got[i].near_edited < 1
+    assert some > 5
+
+
 def test_hilbert_steps_to_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     at = sharding.hilbert(cells, 3)
@@ -222,6 +299,67 @@ def test_shards(odd, empty, n):
     assert sharding.shards(empty, n).count() == 0
 
 
+def brute_shards(rows, n):
+    """Shards and slots in plain loops: the whole order, groups at home while they fit, all others in what is left."""
+    cells = []
+    for j in (2, 3):
+        counts = Counter(x[j] or "" for x in rows)
+        first, before = {}, 0
+        for v, m in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            first[v] = before * 32 // len(rows)
+            before += m
+        cells.append([first[x[j] or ""] for x in rows])
+    sizes = [len((x[1] or "").encode()) + 1 for x in rows]
+    curve = sharding.hilbert(np.array([*cells, [min(31, s.bit_length()) for s in sizes]]).T, sharding.BITS).tolist()
+    hashes = [hashlib.md5((x[1] or "").encode()).hexdigest() for x in rows]
+    groups: dict = {}
+    for k, h in enumerate(hashes):
+        groups.setdefault(h, []).append(k)
+    last = lambda i: 2**63 - 1 if i is None else i
+    lead = {h: min(own, key=lambda k: (rows[k][0] is None, last(rows[k][0]), curve[k])) for h, own in groups.items()}
+    order = sorted(range(len(rows)), key=lambda k: (curve[lead[hashes[k]]], hashes[k], last(rows[k][0])))
+    place = {k: p for p, k in enumerate(order)}
+    q, r = divmod(len(rows), n)
+    room = [q + (s < r) for s in range(n)]
+    ends = np.cumsum(room).tolist()
+    home, by_class = {}, {}
+    for h, own in groups.items():
+        if len(own) > 1:
+            home[h] = sum(e <= min(place[k] for k in own) + len(own) // 2 for e in ends)
+            by_class.setdefault((home[h], len(own).bit_length()), []).append(h)
+    kept: set = set()
+    left = list(room)
+    for s in range(n):
+        upto = 0
+        for c in sorted(c for t, c in by_class if t == s):
+            upto += sum(len(groups[h]) for h in by_class[s, c])
+            if upto <= room[s]:
+                kept |= set(by_class[s, c])
+                left[s] -= sum(len(groups[h]) for h in by_class[s, c])
+    free, turn, out, slots = np.cumsum(left).tolist(), 0, Counter(), Counter()
+    for k in order:
+        if hashes[k] in kept:
+            shard = home[hashes[k]]
+        else:
+            shard, turn = sum(e <= turn for e in free), turn + 1
+        out[(rows[k][0], sizes[k], shard, slots[shard])] += 1
+        slots[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_shards_equal_loops(spark, monkeypatch, few):
+    """With groups that are broadcast, and with groups that are shuffled but for the heaviest."""
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(sharding, "HEAVY", 20)
+    r = np.random.default_rng(7)
+    texts = [f"text {i} " + "y" * int(r.integers(0, 400)) for i in range(150)]
+    rows = [(i, texts[int(r.integers(0, 150)) if i % 3 else int(r.integers(0, 3))], str(r.choice(["en", "de", "fr"])), f"s{r.integers(0, 9)}") for i in range(400)]
+    rows += [(1000 + i, "hot", "en", "s1") for i in range(90)]
+    got = Counter((x.id, x.size, x.shard, x.slot) for x in sharding.shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 8).collect())
+    assert got == brute_shards(rows, 8)
+
+
 def test_windows_hold_every_short_span():
     """Words up to half a window and more apart are seen together wherever they stand."""
     text = b" ".join(b"w%d" % i for i in range(101))
