@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable, id_text, partitions, sized
+from sparkloom.llm.common import documents, durable, id_text, partitions, sized, tidy
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import mix, shingle_sets, signature
 
@@ -90,6 +90,7 @@ def measured(rows: DataFrame, k: int) -> DataFrame:
         # the narrowest integers that hold a slice's counts
         blobs = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in np.split(counts, SLICES)]
         yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["id", "n", "c", "d", "slice", "counts"])
+        tidy()
 
     return durable(rows.mapInArrow(run, "id bigint, n int, c bigint, d bigint, slice int, counts binary"), "measured")
 
@@ -144,6 +145,8 @@ def postings(rows: DataFrame, k: int, num: int, den: int, sent, frequent: int =
                     h, f, c = np.concatenate(hs).view(np.int64), np.concatenate(fs).astype(np.int64) - usual, np.concatenate(cs)
                     salt = np.where(f > frequent, 1 + (c.view(_U) % np.maximum(1, f // frequent).astype(_U)).astype(np.int32), 0).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(c), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ps))], ["h", "salt", "c", "n", "pos"])
+        seen.clear()
+        tidy()
 
     return rows.mapInArrow(run, "h bigint, salt int, c bigint, n int, pos int")
 
@@ -446,6 +449,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                             out.append((batch.column("node")[i + j].as_py() if named else c, d, len(own), part_bits(own), brief(own), own.tobytes()))
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["node", "d", "n", "bits", "brief", "grams"])
+            tidy()
 
         return run
 

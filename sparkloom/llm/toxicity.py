@@ -39,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable, id_text
+from sparkloom.llm.common import documents, durable, id_text, tidy
 from sparkloom.llm.shingles import _LOWER, mix, text_slices, words_in
 
 HIDDEN, CLASS_DIM, WORD_DIM, CHAR_DIM, CHAR_HIDDEN, ATTENTION = 8, 6, 4, 6, 4, 8
 WINDOW, STRIDE, CHARS = 24, 8, 16
-VOCABULARY, BUCKETS = 1 << 16, 1 << 12
+VOCABULARY, BUCKETS, WORDS = 1 << 16, 1 << 12, 1 << 17
 CLASSES = (-8.0, -4.0, -2.5, -1.5, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 11.0, 16.0)
 NEUTRAL = 4
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 64 << 20
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 3000, 32 << 20
 EPOCHS, BATCH, RATE, FOLDS, DECAY = 8, 256, 0.01, 5, 1e-4
 #: The part of the labelled texts that only calibrates, if it has so many toxic ones.
 TEST_FOLD, TEST_TOXIC = 0, 30
@@ -80,11 +80,13 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):  # 1 / (1 + infinity) is the 0 that is meant
+        return 1 / (1 + np.exp(-x))
 
 
 def _tanh(x: np.ndarray) -> np.ndarray:
-    return 2 / (1 + np.exp(-2 * np.clip(x, -15, 15))) - 1
+    with np.errstate(over="ignore"):
+        return 2 / (1 + np.exp(-2 * x)) - 1
 
 
 class Texts:
@@ -103,12 +105,11 @@ class Texts:
             self.last = np.minimum(self.first + CHARS, end)
             self.at = upto[self.at]
 
-    def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The characters and length of each different word, and which of them each word is."""
-        _, one, which = np.unique(self.hashes, return_index=True, return_inverse=True)
-        size = self.last[one] - self.first[one]
-        at = np.minimum(self.first[one][:, None] + np.arange(CHARS), max(0, len(self.data) - 1))
-        return np.where(np.arange(CHARS) < size[:, None], self.data[at], 0).astype(np.uint8), size, which
+    def characters(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters (word, CHARS), zero after the end, and lengths of words."""
+        first, size = self.first[words], (self.last - self.first)[words]
+        at = np.minimum(first[:, None] + np.arange(CHARS), max(0, len(self.data) - 1))
+        return np.where(np.arange(CHARS) < size[:, None], self.data[at], 0).astype(np.uint8), size
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and length of each window; every word is in one, most in three, and so is every span of WINDOW - STRIDE + 1 words."""
@@ -187,6 +188,55 @@ def _spelled(chars: np.ndarray, size: np.ndarray, m: dict, keep: bool = False):
     return states[-1], (chars.T, back, mask, kept)
 
 
+def _spelled_at_once(chars: np.ndarray, size: np.ndarray, m: dict) -> np.ndarray:
+    """What _spelled gives for words of descending size: a step of the chains has the words that are long enough, which stand in front."""
+    table = (m["C"] @ m["Wc"] + m["bc"]).astype(np.float32).reshape(256, 3, 2, CHAR_HIDDEN)
+    ahead, back = (np.ascontiguousarray(table[:, :, k]) for k in (0, 1))
+    u, w, rows = m["Uc"], _C2, np.arange(len(size))
+    h = np.zeros((len(size), w), np.float32)
+    for t in range(CHARS):
+        k = int(np.searchsorted(-size, -t, "left"))
+        if not k:
+            break
+        gates = np.empty((k, 3, 2, CHAR_HIDDEN), np.float32)
+        gates[:, :, 0], gates[:, :, 1] = ahead[chars[:k, t]], back[chars[rows[:k], size[:k] - 1 - t]]
+        gates, old = gates.reshape(k, 3 * w), h[:k]
+        hu = old @ u
+        zr = _sigmoid(gates[:, : 2 * w] + hu[:, : 2 * w])
+        c = _tanh(gates[:, 2 * w :] + zr[:, w:] * hu[:, 2 * w :])
+        h[:k] = c + zr[:, :w] * (old - c)
+    return h
+
+
+class Spelling:
+    """What the characters of words add to their gates; a word is spelled once, as long as there are no more than WORDS of them."""
+
+    def __init__(self, m: dict):
+        self.m, self.n = m, 0
+        self.gates = np.empty((1 << 12, 3 * _H2), np.float32)
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, texts: Texts) -> np.ndarray:
+        m = self.m
+        own, one, which = np.unique(texts.hashes, return_index=True, return_inverse=True)
+        if self.n + len(own) > WORDS:
+            self.__init__(m)
+        place = np.minimum(np.searchsorted(self.hashes, own), max(0, self.n - 1))
+        new = self.hashes[place] != own if self.n else np.ones(len(own), bool)
+        if new.any():
+            words = one[new][np.argsort(-(texts.last - texts.first)[one[new]], kind="stable")]
+            added = _spelled_at_once(*texts.characters(words), m) @ m["W"][CLASS_DIM + WORD_DIM :] + m["b"]
+            end = self.n + len(words)
+            while end > len(self.gates):
+                self.gates = np.concatenate([self.gates, np.empty_like(self.gates)])
+            self.gates[self.n : end] = added
+            hashes, at = np.concatenate([self.hashes, texts.hashes[words]]), np.concatenate([self.at, np.arange(self.n, end)])
+            order = np.argsort(hashes)
+            self.hashes, self.at, self.n = hashes[order], at[order], end
+            place = np.searchsorted(self.hashes, own)
+        return self.gates[self.at[place][which]]
+
+
 def _aligned(x: np.ndarray, forward: np.ndarray) -> np.ndarray:
     """Turns the backward chain's columns round in time (its own inverse)."""
     return np.where(forward, x, x[::-1])
@@ -268,7 +318,7 @@ class Trainer:
         return float(-np.log(np.where(y > 0, p, 1 - p) + 1e-9).mean())
 
 
-def scores(texts: Texts, m: dict, number: np.ndarray | None = None) -> np.ndarray:
+def scores(texts: Texts, m: dict, spelling: Spelling, number: np.ndarray | None = None) -> np.ndarray:
     """The largest window logit of each text, NO_EVIDENCE without windows; number: classes of the words, if not the model's."""
     out = np.full(len(texts.at) - 1, NO_EVIDENCE)
     text, start, length = texts.windows()
@@ -276,10 +326,8 @@ def scores(texts: Texts, m: dict, number: np.ndarray | None = None) -> np.ndarra
         return out
     if number is None:
         number = _classes(m["vocabulary"], m["classes"], texts.hashes)
-    chars, size, which = texts.different()
-    spelled = _spelled(chars, size, m)[0] @ m["W"][CLASS_DIM + WORD_DIM :] + m["b"]
-    gates = np.concatenate([m["E"][number], m["H"][bucket_of(texts.hashes)]], axis=1) @ m["W"][: CLASS_DIM + WORD_DIM] + spelled[which]
-    forward, backward = np.flatnonzero(_FORWARD), np.flatnonzero(~_FORWARD)
+    gates = np.concatenate([m["E"][number], m["H"][bucket_of(texts.hashes)]], axis=1) @ m["W"][: CLASS_DIM + WORD_DIM] + spelling.of(texts)
+    forward, backward = (np.ascontiguousarray(gates.reshape(-1, 3, 2, HIDDEN)[:, :, k]) for k in (0, 1))
     parts = np.empty(len(text), np.float32)
     order = np.argsort(-length, kind="stable")
     for i in range(0, len(order), 1024):
@@ -287,9 +335,9 @@ def scores(texts: Texts, m: dict, number: np.ndarray | None = None) -> np.ndarra
         size = length[some]
         full = size[-1] == WINDOW
         word = start[some][None, :] + np.minimum(np.arange(WINDOW)[:, None], size[None, :] - 1)
-        own = np.empty((WINDOW, len(some), 3 * _H2), np.float32)
-        own[:, :, forward] = gates[word][:, :, forward]
-        own[:, :, backward] = gates[word[::-1]][:, :, backward]
+        own = np.empty((WINDOW, len(some), 3, 2, HIDDEN), np.float32)
+        own[:, :, :, 0], own[:, :, :, 1] = forward[word], backward[word[::-1]]
+        own = own.reshape(WINDOW, len(some), 3 * _H2)
         mask, chain_mask = (None, None) if full else _masks(size)
         states, _ = _steps(own, chain_mask, m["U"], False)
         parts[some] = _pooled(states, mask, m)[0]
@@ -306,6 +354,7 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
     raw = column.to_pylist()
     chosen = [i for i, t in enumerate(raw) if t and seen.setdefault(t, i) == i]
     column, toxic = pa.array([raw[i] for i in chosen], pa.large_string()), toxic[chosen]
+    del raw, seen
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     runs = [(i, Texts(data, offsets)) for i, _, data, offsets in text_slices(column)]
@@ -330,6 +379,8 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
     bad, good = (x[best].sum(1, keepdims=True) - x[best] for x in parts)
     n_bad, n_good = (t.sum() - t for t in totals)
     others = np.digitize(evidence(bad, good, n_bad, n_good), CLASSES)
+    del docs, words, place, parts, bad, good, found
+    tidy()
 
     def left_out(i: int, t: Texts) -> np.ndarray:
         """Classes of a run's words from the folds that don't hold the text."""
@@ -354,8 +405,7 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
         span = np.minimum(start[pick][:, None] + np.arange(WINDOW), (start + size)[pick][:, None] - 1)
         number.append(own[span])
         hashes.append(t.hashes[span])
-        at = np.minimum(t.first[span][:, :, None] + np.arange(CHARS), max(0, len(t.data) - 1))
-        words.append(np.where(np.arange(CHARS) < (t.last - t.first)[span][:, :, None], t.data[at], 0).astype(np.uint8))
+        words.append(t.characters(span.ravel())[0].reshape(*span.shape, CHARS))
         length.append(size[pick])
         y.append(toxic[i + text[pick]])
         seen_part.append(fold[i + text[pick]] != TEST_FOLD)
@@ -374,7 +424,8 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
             trainer.step(number[some].T, bucket_of(hashes[some]).T, shown, which.reshape(len(some), WINDOW).T, chars, (chars > 0).sum(1), length[some], y[some])
     m = trainer.m | {"vocabulary": vocabulary, "classes": classes}
     # calibration: a logistic fit of the label on the largest window logit
-    x = np.concatenate([scores(t, m, left_out(i, t)) for i, t in runs])
+    spelling = Spelling(m)
+    x = np.concatenate([scores(t, m, spelling, left_out(i, t)) for i, t in runs])
     apart = fold == TEST_FOLD
     if toxic[apart].sum() < TEST_TOXIC:
         apart[:] = True
@@ -408,6 +459,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if rows:
             table = pa.Table.from_batches(rows).sort_by("id")
             model = fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(np.int64), weight)
+            del rows, table
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # a bounded number of rows and bytes, so one task can hold them
@@ -419,14 +472,17 @@ def score(rows: DataFrame, model: dict | None) -> DataFrame:
     """(id, score) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = Spelling(model) if model else None
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column(1)):
                 if model is None:
                     p = np.zeros(j - i)
                 else:
                     a, b = model["scale"]
-                    p = _sigmoid(a * scores(Texts(data, offsets), model) + b)
+                    p = _sigmoid(a * scores(Texts(data, offsets), model, spelling) + b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p, pa.float64())], ["id", "score"])
+        del spelling
+        tidy()
 
     return rows.mapInArrow(run, "id bigint, score double")
 
@@ -450,6 +506,7 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = Spelling(model) if model else None
         for batch in batches:
             if model is None:
                 yield batch
@@ -457,9 +514,11 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             keep = []
             a, b = model["scale"]
             for _, _, data, offsets in text_slices(batch.column(at)):
-                keep.append(_sigmoid(a * scores(Texts(data, offsets), model) + b) < REJECT)
+                keep.append(_sigmoid(a * scores(Texts(data, offsets), model, spelling) + b) < REJECT)
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
+        del spelling
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

@@ -444,7 +444,7 @@ def test_scores():
     whole = toxicity.Texts(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
     m["vocabulary"] = np.unique(whole.hashes)[::3]
     m["classes"] = r.integers(0, len(toxicity.CLASSES) + 1, len(m["vocabulary"]))
-    assert np.allclose(toxicity.scores(whole, m), [brute_score(t, m) for t in texts], atol=1e-4)
+    assert np.allclose(toxicity.scores(whole, m, toxicity.Spelling(m)), [brute_score(t, m) for t in texts], atol=1e-4)
 
 
 def test_training_with_repeated_ids(spark):
