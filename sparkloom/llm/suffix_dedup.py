@@ -43,7 +43,7 @@ from sparkloom.llm.anchors import LEFT, SPAN, Anchors, K, as_words, common_prefi
 from sparkloom.llm.common import LAST, documents, id_text, partitions, tidy
 from sparkloom.llm.shingles import mix, text_slices
 
-SAMPLE, DENSE, FINER = 64, 256, 4
+SAMPLE, DENSE = 64, 256
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 _HASHES = "bucket int, part int, n int, hashes binary, several binary"
@@ -169,11 +169,11 @@ def sampled_splitters(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.nda
     share = min(1.0, SAMPLE * buckets / n) if n else 1.0
     found = rows.sample(share, 5).mapInArrow(lead, "lead binary, window binary").toArrow()
 
-    def cut(column: str, size: int, ranges: int) -> np.ndarray:
+    def cut(column: str, size: int) -> np.ndarray:
         own = sorted(found.column(column).to_pylist())
-        return np.unique(np.array([own[len(own) * j // ranges] for j in range(1, ranges)] if own else [], f"S{size}"))
+        return np.unique(np.array([own[len(own) * j // buckets] for j in range(1, buckets)] if own else [], f"S{size}"))
 
-    return cut("lead", K, FINER * buckets), cut("window", SPAN, buckets)
+    return cut("lead", K), cut("window", SPAN)
 
 
 def _bytes(column: pa.ChunkedArray) -> np.ndarray:
