@@ -71,7 +71,9 @@ def needed(n: int, m: int, num: int, den: int) -> int:
 
 
 def measured(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, c, d, slice, counts): c and d are the set's signature; rows with a slice hold counts of shingles instead."""
+    """(id, t, u, n, c, d, slice, counts) of rows (id, text, t, u): c and d are the set's signature; rows with a slice hold counts of shingles instead."""
+
+    names = ["id", "t", "u", "n", "c", "d", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
@@ -83,16 +85,16 @@ def measured(rows: DataFrame, k: int) -> DataFrame:
                     np.add.at(counts, (np.concatenate(sets) >> _SHIFT).astype(np.int64), np.uint32(1))
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, m), pa.array(n), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    ["id", "n", "c", "d", "slice", "counts"],
+                    [*(batch.column(x).slice(i, m) for x in (0, 2, 3)), pa.array(n), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    names,
                 )
         none = pa.nulls(SLICES, pa.int64())
         # the narrowest integers that hold a slice's counts
         blobs = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in np.split(counts, SLICES)]
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], ["id", "n", "c", "d", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(SLICES, pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names)
         tidy()
 
-    return durable(rows.mapInArrow(run, "id bigint, n int, c bigint, d bigint, slice int, counts binary"), "measured")
+    return durable(rows.mapInArrow(run, "id bigint, t bigint, u bigint, n int, c bigint, d bigint, slice int, counts binary"), "measured")
 
 
 def rarity(seen: DataFrame) -> np.ndarray:
@@ -497,12 +499,12 @@ def _links(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def joined(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every row (id, n, c, d), the classes of equal sets (c, d, id, n, node), and verified links (u, v) between their nodes."""
+    """Every row (id, t, u, n, c, d; t and u are hashes of the text), the classes of equal sets (c, d, id, n, node), and verified links (u, v) between their nodes."""
     num, den = threshold
     rows = id_text(docs, id_col, text_col)
-    seen = measured(rows, k)
+    seen = measured(rows.withColumns({"t": F.xxhash64("text"), "u": F.xxhash64("text", F.lit(1))}), k)
     sent = docs.sparkSession.sparkContext.broadcast(rarity(seen))
-    placed = seen.filter("slice is null").select("id", "n", "c", "d")
+    placed = seen.filter("slice is null").select("id", "t", "u", "n", "c", "d")
     classes = placed.filter("n > 0").groupBy("c", "d").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     indexing = f"n + 1 - cast(ceil({2 * num} * cast(n as bigint) / {num + den}) as int)"
@@ -517,16 +519,23 @@ def joined(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, tex
     return placed, classes, links.union(named.join(ties, "id").filter("node <> u").select("u", F.col("node").alias("v")))
 
 
-def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs; linked when Jaccard >= threshold (a fraction)."""
-    placed, classes, links = joined(docs, k, threshold, id_col, text_col, frequent)
-    labels = components(links)
+def _components(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str, frequent: int = FREQUENT) -> DataFrame:
+    """(id, t, u, n, group, component) of every row: the number of its component and the smallest id in it; no group without shingles."""
+    placed, classes, found = joined(docs, k, threshold, id_col, text_col, frequent)
+    labels = components(found)
     known = durable(classes.select("node", "id").join(labels, "node"), "labelled")
     least = known.groupBy("label").agg(F.min("id").alias("least"))
-    tops = sized(durable(known.join(least, "label").select("node", "least"), "least-ids"))
-    own = durable(classes.select("c", "d", F.col("id").alias("own"), "node").join(tops, "node", "left").select("c", "d", F.when(F.col("least").isNull(), F.col("own")).otherwise(F.col("least")).alias("component")), "components-of-classes")
-    out = placed.join(sized(own), ["c", "d"], "left")
-    return out.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    tops = sized(durable(known.join(least, "label").select("node", "label", "least"), "least-ids"))
+    own = classes.select("c", "d", F.col("id").alias("own"), "node").join(tops, "node", "left")
+    own = own.select("c", "d", F.coalesce("label", "node").alias("group"), F.when(F.col("label").isNull(), F.col("own")).otherwise(F.col("least")).alias("component"))
+    out = placed.join(sized(durable(own, "components-of-classes")), ["c", "d"], "left")
+    return out.select("id", "t", "u", "n", "group", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs; linked when Jaccard >= threshold (a fraction)."""
+    out = _components(docs, k, threshold, id_col, text_col, frequent)
+    return out.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -538,10 +547,23 @@ def links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_c
 
 
 def apply(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, and all without an id."""
-    found = groups(docs, k, threshold, id_col, text_col)
-    gone = sized(durable(found.filter("id is not null and id <> component_id").select(F.col("id").alias("__gone")).distinct(), "near-copies"))
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
+    """docs with one row of each component, that of the smallest id (of several, or without ids, that of the smallest hash of its text); rows without shingles stay."""
+    found = durable(_components(docs, k, threshold, id_col, text_col).filter("n > 0"), "rows-of-groups")
+    row = [F.col("id").isNull().alias("none"), "id", "t", "u"]
+    best = found.groupBy("group").agg(F.min(F.struct(*row)).alias("best"))
+    several = found.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("group")
+    some = found.join(sized(durable(several, "several")), "group", "left_semi").join(best, "group")
+    some = durable(some.select(*(F.col(c).alias(f"__{c}") for c in ("id", "t", "u")), (F.struct(*row) == F.col("best")).alias("__best")), "near-copies")
+    text = F.col(text_col).cast("string")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t")) & (F.xxhash64(text, F.lit(1)) == F.col("__u"))
+    out = docs.join(sized(durable(some.filter("not __best").drop("__best").distinct(), "gone")), same, "left_anti")
+    # rows that repeat the one that stays
+    again = some.filter("__best").groupBy("__id", "__t", "__u").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    again = durable(again, "repeated")
+    if again.count():
+        once = out.join(sized(again), same, "left_semi").withColumn("__text", text).dropDuplicates([id_col, "__text"]).drop("__text")
+        out = out.join(sized(again), same, "left_anti").union(once)
+    return out
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,8 @@ def shingles(t, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def brute_groups(rows, k, num, den):
+def brute_components(rows, k, num, den):
+    """Lists of the rows of each component."""
     sets = [shingles(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -86,11 +87,18 @@ def brute_groups(rows, k, num, den):
             linked = both and den * both >= num * (len(sets[i]) + len(sets[j]) - both)
             if linked or rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]:
                 root[top(i)] = top(j)
-    ids: dict = {}
-    for i, (d, _) in enumerate(rows):
-        ids.setdefault(top(i), []).append(d)
-    least = {t: min((x for x in own if x is not None), default=None) for t, own in ids.items()}
-    return Counter((d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows))
+    out: dict = {}
+    for i in range(len(rows)):
+        out.setdefault(top(i), []).append(i)
+    return list(out.values())
+
+
+def brute_groups(rows, k, num, den):
+    out = Counter()
+    for own in brute_components(rows, k, num, den):
+        least = min((rows[i][0] for i in own if rows[i][0] is not None), default=None)
+        out.update((rows[i][0], len(shingles(rows[i][1], k)), least) for i in own)
+    return out
 
 
 @pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 4, 5)])
@@ -203,8 +211,17 @@ def test_groups_of_long_texts(spark):
 
 
 def test_groups_apply(odd, empty):
+    """One row of each component stays, also of rows without ids and of rows that repeat an id."""
     out = ngram_join.apply(odd)
     assert out.columns == odd.columns
+    rows = [r[:2] for r in odd_rows()]
+    groups = brute_components(rows, 5, 4, 5)
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert sum(kept.values()) == len(groups)
+    for own in groups:
+        ids = [rows[i][0] for i in own if rows[i][0] is not None]
+        found = {rows[i] for i in own if kept[rows[i]]}
+        assert len(found) == 1 and next(iter(found))[0] == min(ids, default=None)
     assert ngram_join.apply(empty).count() == 0 and ngram_join.groups(empty).count() == 0
 
 
