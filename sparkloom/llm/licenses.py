@@ -231,14 +231,16 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
         return bound(F.split(segment["text"], " "), of_words)
 
-    rows = docs.select(*keep, F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER), "[^a-z0-9\n]+", " ").alias("__norm"))
+    rows = docs.select(*keep, F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9\n]+", " ")).alias("__norm"))
     rows = rows.withColumn("__whole", clean(F.col("__norm")))
+    rows = rows.withColumn("__may", holds_any(parts_of(set(needed))) & holds_any(needed))
     units = F.array_distinct(F.concat(F.array("__whole"), F.transform(F.split("__norm", "\n *(?:\n *)+"), clean), F.transform(F.split("__norm", "\n"), lambda line: F.trim(line))))
     rows = rows.select(
         *keep,
         F.when(F.col("__whole") == "", 0).otherwise(F.length("__whole") - F.length(F.replace(F.col("__whole"), F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n_words"),
-        F.filter(units, lambda u: F.arrays_overlap(F.split(u, " "), F.lit(telling))).alias("__units"),
-        *([F.when(holds_any(parts_of(set(needed))) & holds_any(needed), F.struct("__norm", "__whole")).alias("__search")] if windows else []),
+        # a unit that matches holds one of the bigrams needed, and most texts hold none
+        F.when(F.col("__may"), F.filter(units, lambda u: F.arrays_overlap(F.split(u, " "), F.lit(telling)))).otherwise(F.lit([]).cast("array<string>")).alias("__units"),
+        *([F.when(F.col("__may"), F.struct("__norm", "__whole")).alias("__search")] if windows else []),
     )
     rows = rows.withColumn("__grams", F.transform("__units", grams))
     rows = rows.withColumn("__found", F.filter(F.zip_with(F.transform("__grams", scores), "__units", lambda s, u: F.struct(s["dice"].alias("dice"), s["name"].alias("name"), u.alias("unit"))), lambda s: s["dice"] > 0))
@@ -272,7 +274,7 @@ u AS (SELECT doc_id, unnest(list_distinct(list_concat([whole],
         list_transform(regexp_split_to_array(norm, '\n *(\n *)+'), lambda x: trim(regexp_replace(x, '[ \n]+', ' ', 'g'))),
         list_transform(string_split(norm, chr(10)), lambda x: trim(x))))) AS unit FROM w),
 g AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(string_split(unit, ' '))), lambda i: string_split(unit, ' ')[i] || ' ' || string_split(unit, ' ')[i + 1])) AS own
-      FROM u WHERE regexp_matches(unit, 'licen|bsd|mit|permission|copyright|public|apache|commons')),
+      FROM u),
 s AS (SELECT doc_id, unit, name, CAST(2 AS DOUBLE) * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM g, templates WHERE len(list_intersect(own, grams)) > 0),
 m AS (SELECT doc_id, unit, name, dice FROM s WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, name) = 1),
 f AS (SELECT doc_id, count(*) AS n_units, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS dice FROM m GROUP BY doc_id),
