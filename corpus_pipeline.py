@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from sparkloom.llm.common import documents, durable
+from sparkloom.llm.common import documents, durable, release, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 on shingles of five words, the document with the smallest id."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more on shingles of five words, the document with the smallest id."""
     return ngram_join.apply(docs)
 
 
@@ -47,8 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result written before the next stage reads it."""
-    docs = documents(spark, sf_dir)
+    """The stages applied to documents, each result written before the next stage reads it and what led to it deleted."""
+    docs, others = documents(spark, sf_dir), written()
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)
+        # the last path is that of docs
+        release(spark, [p for p in written()[:-1] if p not in others])
     return STAGES[-1][1](spark, docs, sf_dir)
