@@ -15,8 +15,8 @@
    the list they come from, are made distinct, and are verified once.  The suffix
    filter: both sets are cut at fixed pivots of the hash range into parts, and at
    least as many shingles differ as parts whose sizes differ in parity.  Lists
-   carry the parity of BRIEF parts, pairs then get four to eight parts for each
-   shingle.  Pairs that pass are merged.
+   carry the parity of BRIEF parts, and pairs of the last step get four to eight
+   parts for each shingle before they are merged.
 4. Only reachability is asked for, so pairs that links have joined already aren't
    candidates.  In each of STARS rounds every document tries the centre that most
    of its lists propose, the first of a list's CENTRES that passes the filters.
@@ -49,7 +49,7 @@ COUNTERS = 1 << 20
 SLICES = 64
 FREQUENT = 20_000
 #: Rounds of stars, and one in how many lists (by hash) takes part in them, besides those of a set's first shingles.
-STARS, SAMPLED, FIRST, CENTRES = 2, 4, 4, 8
+STARS, SAMPLED, FIRST, CENTRES = 1, 4, 4, 8
 #: Parts whose parity goes with each posting of a list that has unlike labels.
 BRIEF = 1024
 #: Documents of a list that are compared in one piece, and lists short enough to be compared many at a time.
@@ -361,7 +361,7 @@ def mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         marked = lists.join(sized(labels).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-    return durable(marked.join(sized(durable(sizes.select("h", "size"), "sizes")), "h").select(*_ROWS, "size"), "mixed-lists")
+    return durable(marked.join(sizes.select("h", "size"), "h").select(*_ROWS, "size"), "mixed-lists")
 
 
 def _in_lists(pieces: DataFrame, sets: DataFrame, find, schema: str) -> DataFrame:
@@ -480,7 +480,7 @@ def _links(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         # two documents can propose each other
         pairs = durable(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y"), "pairs")
         tried = _both_ways(pairs) if tried is None else tried.union(_both_ways(pairs))
-        found = durable(verified(durable(likely(pairs, sets, num, den), "likely"), sets, num, den), "links")
+        found = durable(verified(pairs, sets, num, den), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
     pairs = contenders(mixed(lists, labels), sets, num, den).join(tried, ["x", "y"], "left_anti")
@@ -506,6 +506,9 @@ def joined(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, tex
     sent = docs.sparkSession.sparkContext.broadcast(rarity(seen))
     placed = seen.filter("slice is null").select("id", "t", "u", "n", "c", "d")
     classes = placed.filter("n > 0").groupBy("c", "d").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    # numbered in the order of ids, so a component's smallest node has its smallest id
+    by_id = F.asc_nulls_last("id")
+    classes = classes.repartitionByRange(partitions(docs.sparkSession), by_id).sortWithinPartitions(by_id)
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     indexing = f"n + 1 - cast(ceil({2 * num} * cast(n as bigint) / {num + den}) as int)"
     lists = shared(postings(rows, k, num, den, sent, frequent), num, den).join(sized(classes.select("c", "n", "node")), ["c", "n"])
@@ -523,9 +526,7 @@ def _components(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str
     """(id, t, u, n, group, component) of every row: the number of its component and the smallest id in it; no group without shingles."""
     placed, classes, found = joined(docs, k, threshold, id_col, text_col, frequent)
     labels = components(found)
-    known = durable(classes.select("node", "id").join(labels, "node"), "labelled")
-    least = known.groupBy("label").agg(F.min("id").alias("least"))
-    tops = sized(durable(known.join(least, "label").select("node", "label", "least"), "least-ids"))
+    tops = sized(durable(labels.join(classes.select(F.col("node").alias("label"), F.col("id").alias("least")), "label"), "least-ids"))
     own = classes.select("c", "d", F.col("id").alias("own"), "node").join(tops, "node", "left")
     own = own.select("c", "d", F.coalesce("label", "node").alias("group"), F.when(F.col("label").isNull(), F.col("own")).otherwise(F.col("least")).alias("component"))
     out = placed.join(sized(durable(own, "components-of-classes")), ["c", "d"], "left")
