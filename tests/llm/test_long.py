@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from sparkloom.llm import exact_dedup, licenses, mixing, packing, sharding, sstable, toxicity
-from sparkloom.llm.common import id_text, scratch_path
+from sparkloom.llm.common import scratch_path
+from sparkloom.llm.shingles import text_slices
 
 N = 330_000
 
@@ -61,14 +63,13 @@ def test_tokens(spark, docs, rows):
     assert {i: b"".join(x for _, x in sorted(own)) for i, own in pieces.items()} == {i: x.tobytes() + np.array([packing.END_ID], "<u4").tobytes() for i, x in ids.items()}
 
 
-def test_toxicity(spark):
-    """Toxic words at the end of a long text count."""
-    r = random.Random(2)
-    own = [(i, " ".join(f"word{r.randrange(300)}" for _ in range(40)) + (" vile" if i % 4 == 0 else "")) for i in range(400)]
-    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in own], "doc_id bigint, toxic int")
-    model = toxicity.train(spark.createDataFrame(own, "doc_id bigint, text string"), marks)
-    clean = " ".join(f"word{r.randrange(300)}" for _ in range(330_000))
-    texts = spark.createDataFrame([(1, clean), (2, clean + " vile"), (3, "vile " + clean)], "doc_id bigint, text string")
-    got = {x.id: x.score for x in toxicity.score(id_text(texts), model).collect()}
-    # the largest of 41,000 windows' scores is high for a model that has seen 268 texts, and higher with a toxic word at either end
-    assert toxicity.REJECT <= min(got[2], got[3]) and got[1] < min(got[2], got[3])
+def test_toxicity(rows):
+    """A long text's score is the largest of its windows', each scored as a text of its own."""
+    m = toxicity.Trainer(4).m
+    scale = np.random.default_rng(3)
+    m = m | {"H": scale.standard_normal(m["H"].shape).astype(np.float32), "vocabulary": np.zeros(0, np.uint64), "classes": np.zeros(0, np.int64)}
+    words = rows[0][1].replace("'", " ").split()[:150_000]
+    score = lambda texts: np.concatenate([toxicity.scores(toxicity.Texts(d, o), m, toxicity.Spelling(m)) for _, _, d, o in text_slices(pa.array(texts))])
+    whole = score([" ".join(words)])
+    parts = score([" ".join(words[i : i + toxicity.WINDOW]) for i in range(0, len(words) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)])
+    assert len(whole) == 1 and whole[0] == pytest.approx(parts.max(), abs=1e-4) and parts.std() > 0.01
