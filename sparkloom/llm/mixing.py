@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable
+from sparkloom.llm.common import documents, durable, sized
 
 SEED, EPOCHS, SHARE, BINS = 11, 2, 0.8, 3
 #: Integer weights by path in the tree; what isn't named has weight 1.
@@ -102,9 +102,11 @@ def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, epo
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix() takes, once for each epoch; same columns."""
-    taken = mix(docs, **options, with_key=True).select(F.col("key").alias("__taken"))
+    taken = mix(docs, **options, with_key=True).groupBy(F.col("key").alias("__taken")).agg(F.count(F.lit(1)).cast("int").alias("__times"))
     own = unit_key(options.get("id_col", "doc_id"), options.get("text_col", "text"))
-    return docs.withColumn("__own", own).join(taken, F.col("__own") == F.col("__taken")).drop("__own", "__taken")
+    # texts move only if there are too many keys to broadcast
+    out = docs.withColumn("__own", own).join(sized(durable(taken, "taken")), F.col("__own") == F.col("__taken"))
+    return out.select(*(out[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__epoch")).drop("__epoch")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,6 +264,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
                 out.append(overlap_reaches(a, b, needed(len(a), len(b), num, den)))
             yield batch.select([0, 1]).filter(pa.array(out, pa.bool_())).rename_columns(["u", "v"])
+        tidy()
 
     own = sets.select("node", "grams")
     some = sized(pairs)
@@ -385,6 +386,8 @@ def _in_lists(pieces: DataFrame, sets: DataFrame, find, schema: str) -> DataFram
             held = {k: v[last:] for k, v in c.items()}
         if held is not None:
             yield from find(held)
+        held = c = None
+        tidy()
 
     wide = pieces.join(sets.select("node", "brief"), "node").select(*names, "brief")
     return wide.repartition(partitions(pieces.sparkSession), "h", "piece").sortWithinPartitions("h", "piece").mapInArrow(run, schema)
