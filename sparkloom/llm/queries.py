@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import exact_dedup, licenses, mixing, ngram_join, order_minhash, packing, sharding, sstable, suffix_dedup, toxicity
+from sparkloom.llm import best_fit, clustering, collocations, exact_dedup, licenses, mixing, ngram_join, order_minhash, packing, sharding, sstable, suffix_dedup, toxicity
 
-MODULES = (ngram_join, exact_dedup, licenses, mixing, suffix_dedup, sstable, toxicity, order_minhash, sharding, packing)
+MODULES = (ngram_join, exact_dedup, licenses, mixing, suffix_dedup, sstable, toxicity, order_minhash, sharding, packing, best_fit, collocations, clustering)
 
 
 def queries() -> dict:
