@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordering import same, shuffle_partitions, sized
+from sparkloom.sources.tables import durable
+
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, by: list[str], take: list[str], tolerance: str | None = None) -> DataFrame:
     """Each left row with the last right row of the same ``by`` whose ``on`` isn't later; unmatched left rows have nulls.
@@ -61,3 +67,38 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     """The first k rows of each group; Spark turns the rank filter into a group limit before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k).drop("__rank")
+
+
+def asof_ranged(left: DataFrame, right: DataFrame, on: str, by: list[str], take: list[str], tolerance: str | None = None) -> DataFrame:
+    """As asof_backward, for keys of any size, or none at all (``by`` empty): the stream is range-partitioned by key and time.
+
+    Within a partition the last right row is carried on by a window.  What a partition's
+    first key has at its beginning comes from the partitions before: each hands on its
+    last right row of each key that goes on, at most two rows for each partition, and a
+    window over these finds the last one that isn't null.  Null keys are a key like
+    others, rows without a time match nothing.
+    """
+    packed = F.struct(F.col(on).alias("__at"), *(F.col(c).alias(c) for c in take))
+    kind = right.select(packed.alias("p")).schema["p"].dataType
+    marked = left.withColumns({"__side": F.lit(1), "__last": F.lit(None).cast(kind)})
+    rights = right.filter(F.col(on).isNotNull()).select(*by, on, F.lit(0).alias("__side"), packed.alias("__last"))
+    both = marked.unionByName(rights, allowMissingColumns=True).withColumn("__tie", F.monotonically_increasing_id())
+    order = [on, "__side", "__last", "__tie"]
+    # __tie parts rows of one time; the order of right rows of one time is that of what is taken
+    n = shuffle_partitions(left)
+    placed = durable(both.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()), "asof")
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn("__found", F.last("__last", ignorenulls=True).over(inside))
+    ends = placed.groupBy("__part", *by).agg(F.max(F.when(F.col("__last").isNotNull(), F.struct(F.col(on).alias("at"), F.col("__last").alias("row")))).getField("row").alias("__end"))
+    groups = Window.partitionBy(*by)
+    carried = ends.withColumn("__parts", F.count(F.lit(1)).over(groups)).filter("__parts > 1")
+    earlier = groups.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.withColumn("__carried", F.last("__end", ignorenulls=True).over(earlier)).filter("__carried is not null")
+    # a key in several partitions is the first or last one of each
+    carried = durable(carried.select(F.col("__part").alias("__of"), *(F.col(c).alias(f"__by_{c}") for c in by), "__carried"), "carried")
+    same_group = reduce(and_, [same(c, f"__by_{c}") for c in by], F.col("__part") == F.col("__of"))
+    out = found.filter("__side = 1").join(sized(carried), same_group, "left")
+    out = out.withColumn("__best", F.when(F.col(on).isNotNull(), F.coalesce("__found", "__carried")))
+    if tolerance is not None:
+        out = out.withColumn("__best", F.when(F.col("__best.__at") >= F.col(on) - F.expr(f"interval {tolerance}"), F.col("__best")))
+    return out.select(*left.columns, *(F.col(f"__best.{c}").alias(c) for c in take))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordering import numbered
 from sparkloom.sources.tables import durable
 
 
@@ -70,3 +71,22 @@ def trailing_count(df: DataFrame, by: str, at: str, seconds: int, name: str) ->
     both = df.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__span", span + F.when(F.col("__own"), 0).otherwise(1))
     w = Window.partitionBy(by, "__span").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
     return both.withColumn(name, F.count(F.lit(1)).over(w)).filter("__own").select(*df.columns, name)
+
+
+def row_frame(df: DataFrame, by: list[str], order: list[Column], preceding: int, following: int, columns: dict[str, Column], rows: int = 100_000) -> DataFrame:
+    """df with aggregates over ``preceding`` rows before to ``following`` rows after each row of its group, the row included; groups of any size.
+
+    ``order`` must tell rows apart.  Rows are numbered within their group and fall into
+    runs of ``rows``; each run also gets the rows of its neighbours that its own frames
+    reach, so a window over runs sees whole frames and no task holds a group.
+    """
+    if preceding < 0 or following < 0:
+        raise ValueError("a frame has the row itself and counts rows from it")
+    own = numbered(df, by, order)
+    run = lambda x: F.floor(x / rows).cast("bigint")
+    # a row is seen by those up to ``following`` before and ``preceding`` after it
+    first, last = run(F.greatest(F.col("__row") - following, F.lit(0))), run(F.col("__row") + preceding)
+    spread = own.withColumn("__run", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy(*by, "__run").orderBy("__row").rowsBetween(-preceding, following)
+    out = spread.withColumns({name: c.over(w) for name, c in columns.items()})
+    return out.filter(F.col("__run") == run(F.col("__row"))).select(*df.columns, *columns)

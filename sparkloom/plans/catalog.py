@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sparkloom.plans import relational
+from sparkloom.plans import ordered, relational
 from sparkloom.streaming import events
 
-MODULES = (relational, events)
+MODULES = (relational, ordered, events)
 
 
 def queries() -> dict[str, Callable]:
