@@ -163,33 +163,57 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         """body of the value, which is worked out once."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
+    def distinct(found: Column) -> Column:
+        """By strings, of which Spark keeps a hash set; structs would be compared all with all."""
+        texts = F.array_distinct(F.transform(found, lambda x: F.concat_ws("\n", x["name"], x["dice"].cast("string"), x["unit"])))
+        return F.transform(F.transform(texts, lambda t: F.split(t, "\n")), lambda p: F.struct(F.get(p, F.lit(1)).cast("double").alias("dice"), F.get(p, F.lit(0)).alias("name"), F.get(p, F.lit(2)).alias("unit")))
+
     def holds_any(strings) -> Column:
         return reduce(or_, (F.contains("__whole", F.lit(x)) for x in sorted(strings)))
 
-    def name_of(unit: Column, found: Column) -> Column:
-        return F.get(F.filter(found, lambda x: x["unit"] == unit), F.lit(0))["name"]
+    def with_names(found: Column, body) -> Column:
+        """body of a function that gives the name of a unit that matches, null for others: a short list is read through, a long one searched by halves."""
+
+        def of_sorted(known_units: Column) -> Column:
+            def name_of(unit: Column) -> Column:
+                step = lambda low, width: F.when(F.get(known_units, low + width)["unit"] <= unit, low + width).otherwise(low)  # noqa: E731  null beyond the last
+                near = F.get(known_units, F.reduce(F.lit([1 << k for k in reversed(range(24))]), F.lit(0), step))
+                few = F.get(F.filter(known_units, lambda x: x["unit"] == unit), F.lit(0))["name"]
+                return F.when(F.size(known_units) <= 16, few).when(near["unit"] == unit, near["name"])
+
+            return body(name_of)
 
-    def segments(norm: Column, whole: Column, found: Column) -> Column:
+        return bound(F.array_sort(F.transform(found, lambda x: F.struct(x["unit"].alias("unit"), x["name"].alias("name")))), of_sorted)
+
+    def segments(norm: Column, whole: Column, name_of) -> Column:
         """Runs of words to search: (text, key, names), the names being those of the matching units around it."""
+        around_all = F.struct(F.array_compact(F.array(name_of(whole))).alias("names"))
+
+        def lines(paragraph: Column, outer: Column) -> Column:
+            def of_paragraph(p: Column) -> Column:
+                def item(text: Column) -> Column:
+                    def named(m: Column) -> Column:
+                        key = F.when(m["name"].isNotNull(), text).when(p["name"].isNotNull(), p["text"]).otherwise(F.lit(""))
+                        return F.struct(text.alias("text"), key.alias("key"), F.concat(F.array_compact(F.array(m["name"], p["name"])), outer["names"]).alias("names"))
+
+                    return bound(F.struct(name_of(text).alias("name")), named)
 
-        def lines(paragraph: Column) -> Column:
-            own = clean(paragraph)
+                return F.transform(F.transform(F.split(paragraph, "\n"), lambda line: F.trim(line)), item)
 
-            def item(line: Column) -> Column:
-                text = F.trim(line)
-                mine, around = name_of(text, found), name_of(own, found)
-                key = F.when(mine.isNotNull(), text).when(around.isNotNull(), own).otherwise(F.lit(""))
-                return F.struct(text.alias("text"), key.alias("key"), F.array_compact(F.array(mine, around, name_of(whole, found))).alias("names"))
+            return bound(clean(paragraph), lambda own: bound(F.struct(own.alias("text"), name_of(own).alias("name")), of_paragraph))
 
-            return F.transform(F.split(paragraph, "\n"), item)
+        def runs(items: Column) -> Column:
+            """Neighbours with one key as one run."""
+            starts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | (F.get(items, i)["key"] != F.get(items, i - 1)["key"]))
 
-        def joined(done: Column, x: Column) -> Column:
-            last = F.get(done, F.size(done) - 1)
-            more = F.struct(F.concat_ws(" ", last["text"], x["text"]).alias("text"), x["key"].alias("key"), x["names"].alias("names"))
-            return F.when(last["key"] == x["key"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(x)))
+            def run(first: Column, after: Column) -> Column:
+                texts = F.transform(F.slice(items, first + 1, F.coalesce(after, F.size(items)) - first), lambda x: x["text"])
+                return F.struct(F.array_join(texts, " ").alias("text"), F.get(items, first)["key"].alias("key"), F.get(items, first)["names"].alias("names"))
 
-        items = F.filter(F.flatten(F.transform(F.split(norm, "\n *(?:\n *)+"), lines)), lambda x: x["text"] != "")
-        return F.reduce(items, F.lit(None).cast("array<struct<text:string,key:string,names:array<string>>>"), lambda done, x: F.when(done.isNull(), F.array(x)).otherwise(joined(done, x)))
+            return F.when(F.size(items) > 0, bound(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.size(s)), run)))
+
+        items = bound(around_all, lambda outer: F.flatten(F.transform(F.split(norm, "\n *(?:\n *)+"), lambda p: lines(p, outer))))
+        return bound(F.filter(items, lambda x: x["text"] != ""), runs)
 
     def reaching(own: Column, t: Column, names: Column) -> Column:
         """The windows that reach the threshold, as structs that sort by score, length, and whether the name is another than the unit's."""
@@ -223,12 +247,24 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
         def of_grams(words: Column, own: Column) -> Column:
             likely = F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], own)) >= F.greatest(t["low"], F.lit(1)))
-            found = F.array_sort(F.flatten(F.transform(likely, lambda t: reaching(own, t, segment["names"]))))
-            apart = lambda a, b: (a["start"] - a["less"] <= b["start"] - 1) | (b["start"] - b["less"] <= a["start"] - 1)  # noqa: E731  windows of words
-            chosen = F.reduce(found, F.slice(found, 1, 0), lambda done, x: F.when(F.exists(done, lambda y: ~apart(x, y)), done).otherwise(F.concat(done, F.array(x))))
+            found = F.flatten(F.transform(likely, lambda t: reaching(own, t, segment["names"])))
+            by_place = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("at"), (x["start"] - x["less"]).alias("upto"), x.alias("window"))))
+            chosen = bound(by_place, lambda places: bound(heads(places), lambda first: F.flatten(F.zip_with(first, F.slice(first, 2, F.size(first)), lambda a, b: best_apart(F.slice(places, a + 1, F.coalesce(b, F.size(places)) - a))))))
             chosen = F.filter(chosen, lambda x: x["other"])
             return F.transform(chosen, lambda x: F.struct((-x["minus"]).alias("dice"), x["name"].alias("name"), F.array_join(F.slice(words, x["start"] + 1, 1 - x["less"]), " ").alias("unit")))
 
+        def heads(places: Column) -> Column:
+            """Where windows begin that none before reaches: clusters of overlapping ones are searched each by itself."""
+            start = F.struct(F.lit(-1).alias("upto"), F.lit(0).alias("n"), F.lit([]).cast("array<int>").alias("first"))
+            more = lambda a, x: F.struct(F.greatest(a["upto"], x["upto"]).alias("upto"), (a["n"] + 1).alias("n"), F.when(x["at"] > a["upto"], F.concat(a["first"], F.array(a["n"]))).otherwise(a["first"]).alias("first"))
+            return F.reduce(places, start, more)["first"]
+
+        def best_apart(cluster: Column) -> Column:
+            """Of overlapping windows the best."""
+            apart = lambda a, b: (a["start"] - a["less"] <= b["start"] - 1) | (b["start"] - b["less"] <= a["start"] - 1)  # noqa: E731  windows of words
+            ordered = F.array_sort(F.transform(cluster, lambda x: x["window"]))
+            return bound(ordered, lambda found: F.reduce(found, F.slice(found, 1, 0), lambda done, x: F.when(F.exists(done, lambda y: ~apart(x, y)), done).otherwise(F.concat(done, F.array(x)))))
+
         return bound(F.split(segment["text"], " "), of_words)
 
     rows = docs.select(*keep, F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9\n]+", " ")).alias("__norm"))
@@ -246,8 +282,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     rows = rows.withColumn("__found", F.filter(F.zip_with(F.transform("__grams", scores), "__units", lambda s, u: F.struct(s["dice"].alias("dice"), s["name"].alias("name"), u.alias("unit"))), lambda s: s["dice"] > 0))
     if windows:
         search, found = F.col("__search"), F.col("__found")
-        inner = F.flatten(F.transform(segments(search["__norm"], search["__whole"], found), best_windows))
-        rows = rows.withColumn("__found", F.when(search.isNotNull(), F.array_distinct(F.concat(found, F.coalesce(inner, F.slice(found, 1, 0))))).otherwise(found))
+        inner = F.flatten(F.transform(with_names(found, lambda name_of: segments(search["__norm"], search["__whole"], name_of)), best_windows))
+        rows = rows.withColumn("__found", F.when(search.isNotNull(), distinct(F.concat(found, F.coalesce(inner, F.slice(found, 1, 0))))).otherwise(found))
     rows = rows.withColumn("__best", best_of(F.col("__found")))
     return rows.select(
         *keep,
@@ -265,7 +301,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quoted(n)}, [{', '.join(quoted(g) for g in sorted(bigrams_of(t)))}])" for n, t in TEMPLATES)
+    values = ", ".join(f"({quoted(n)}, [{', '.join(quoted(g) for g in sorted(bigrams_of(t)))}])" for n, t in TEMPLATES + TEXTS)
     return rf"""
 WITH templates(name, grams) AS (VALUES {values}),
 n AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\n]+', ' ', 'g') AS norm FROM documents),

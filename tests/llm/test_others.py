@@ -1,5 +1,7 @@
 """Licences, mixing, fingerprints, sharding and toxicity against brute force."""
 
+import random
+import re
 import hashlib
 import zlib
 from collections import Counter
@@ -12,25 +14,82 @@ from sparkloom.llm import licenses, mixing, order_minhash, sharding, toxicity
 from .conftest import odd_rows
 
 
-def brute_scan(text):
-    t = (text or "").replace("\r", " ")
+def norms(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    import re
+    return re.sub(r"[^a-z0-9\n]+", " ", low)
+
+
+def clean(x):
+    return re.sub(r"[ \n]+", " ", x).strip(" ")
+
 
-    norm = re.sub(r"[^a-z0-9\n]+", " ", low)
-    clean = lambda x: re.sub(r"[ \n]+", " ", x).strip(" ")
+def brute_units(text, templates):
+    """(dice, name) of the units that match."""
+    norm = norms(text)
     units = {clean(norm), *(clean(p) for p in re.split(r"\n *(?:\n *)+", norm)), *(x.strip(" ") for x in norm.split("\n"))}
-    found = []
+    grams = [(n, licenses.bigrams_of(x)) for n, x in templates]
+    found = {}
     for u in units:
         own = licenses.bigrams_of(u)
-        best = max(((2 * len(own & licenses.bigrams_of(x)) / (len(own) + len(licenses.bigrams_of(x))), n) for n, x in licenses.TEMPLATES), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
+        best = max(((2 * len(own & g) / (len(own) + len(g)), n) for n, g in grams), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
         if own and best[0] >= licenses.THRESHOLD:
-            found.append(best)
-    del t
+            found[u] = best
+    return found
+
+
+def summary(found):
     if not found:
         return None, 0.0, "", 0
-    top = max(s for s, _ in found)
-    return min(n for s, n in found if s == top), top, ",".join(sorted({n for _, n in found})), len(found)
+    top = max(s for s, *_ in found)
+    return min(n for s, n, *_ in found if s == top), top, ",".join(sorted({n for _, n, *_ in found})), len(found)
+
+
+def brute_scan(text):
+    return summary(list(brute_units(text, licenses.TEMPLATES).values()))
+
+
+def brute_query(text, templates=licenses.TEMPLATES + licenses.TEXTS):
+    """Units and windows of a whole document by loops."""
+    found = brute_units(text, templates)
+    norm = norms(text)
+    out = {(d, n, u) for u, (d, n) in found.items()}
+    if not any(g in f" {clean(norm)} " for n, t in templates for g in (f" {x} " for x in licenses.telling_bigrams(licenses.bigrams_of(t), licenses.THRESHOLD))):
+        return summary(sorted(out))
+    name = lambda u: found[u][1] if u in found else None
+    segments: list = []
+    for p in re.split(r"\n *(?:\n *)+", norm):
+        for line in p.split("\n"):
+            line = line.strip(" ")
+            if line:
+                mine, around = name(line), name(clean(p))
+                key = line if mine else clean(p) if around else ""
+                if segments and segments[-1][1] == key:
+                    segments[-1][0] += " " + line
+                else:
+                    segments.append([line, key, {mine, around, name(clean(norm))} - {None}])
+    for text, _, names in segments:
+        words, some = text.split(), []
+        own = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for n, t in templates:
+            grams = licenses.bigrams_of(t)
+            hits = [g in grams for g in own]
+            for i in range(len(own)):
+                if not hits[i]:
+                    continue
+                seen, both = set(), 0
+                for k in range(min(len(own) - i, licenses.size_bounds(len(grams), licenses.THRESHOLD)[1])):
+                    if own[i + k] not in seen:
+                        seen.add(own[i + k])
+                        both += hits[i + k]
+                    dice = 2 * both / (len(seen) + len(grams))
+                    if hits[i + k] and dice >= licenses.THRESHOLD:
+                        some.append((-dice, -1 - k, n not in names, n, i))
+        chosen = []
+        for x in sorted(some):
+            if all(x[4] - x[1] < y[4] or y[4] - y[1] < x[4] for y in chosen):
+                chosen.append(x)
+        out |= {(-x[0], x[3], " ".join(words[x[4] : x[4] - x[1] + 1])) for x in chosen if x[2]}
+    return summary(sorted(out))
 
 
 def test_licences(spark, odd, empty):
@@ -84,6 +143,53 @@ def test_windows_of_matching_lines(spark):
     assert got[0][2] == 2 and got[2][2] == brute_scan("Released under the MIT License.\nand")[3]
 
 
+def test_windows_of_whole_documents(spark, sf):
+    """The query's own scan over documents into which notices and licence texts are put: in lines, wrapped, one after another, among repeated ones."""
+    r = random.Random(12)
+    docs = [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    known = licenses.TEMPLATES + licenses.TEXTS
+    texts = []
+    for d in docs:
+        words = d[:3000].split(" ")
+        for _ in range(r.randint(0, 4)):
+            t = r.choice(known)[1]
+            if r.random() < 0.5:
+                own = t.split(" ")
+                for _ in range(len(own) // 12):
+                    own[r.randrange(len(own))] = r.choice(["\n", "other", "the", "\n\n"])
+                t = " ".join(own)
+            words.insert(r.randint(0, len(words)), r.choice(["\n", "", "\n\n"]) + t + r.choice(["\n", "", "\n\n"]))
+        texts.append(" ".join(words))
+    texts += [" and ".join(r.choice(licenses.TEMPLATES)[1] for _ in range(30)), "\n".join(f"{r.choice(licenses.TEMPLATES)[1]} no {i}" for i in range(40)), "\n".join([licenses.TEXTS[3][1]] * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.license, r.dice, r.licenses, r.n_units) for r in licenses.scan(df, known, windows=True).collect()}
+    want = {i: brute_query(t) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum(x[3] > 0 for x in want.values()) > 25 and max(x[3] for x in want.values()) > 17
+
+
+def test_scan_is_linear_in_lines(spark):
+    """One paragraph of ten times as many lines, with notices in some of them, takes about ten times as long."""
+    import time
+
+    r = random.Random(2)
+
+    def seconds(n):
+        lines = [" ".join(r.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(6)) for _ in range(n)]
+        for i in range(0, n, n // 40):
+            lines[i] += " released under the MIT License. and so on"
+        lines[n // 2] = "Released under the MIT License."
+        df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string")
+        began = time.perf_counter()
+        got = licenses.scan(df, licenses.TEMPLATES + licenses.TEXTS, windows=True).collect()
+        assert got[0].licenses == "MIT"
+        return time.perf_counter() - began
+
+    seconds(400)
+    few, many = seconds(4000), seconds(40_000)
+    assert many < 25 * few + 5
+
+
 def test_query_scans_windows(spark, tmp_path):
     spark.createDataFrame([(1, "Copyright (c) 2020 Jane Doe. Licensed under the MIT License.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.license, r.dice) for r in licenses.op3_license_scan(spark, str(tmp_path)).collect()] == [("MIT", 1.0)]
