@@ -37,10 +37,11 @@ from sparkloom.llm.common import documents, durable, partitions, running_offsets
 LEAST, LONGEST, TOP = 100, 5, 2000
 LOCAL, TOKENS, SLICE = 65_535, 1 << 20, 1 << 19
 #: Keys that a task sorts at once, and sampled keys for each range.
-KEYS, SAMPLE, SPLITTERS = 1 << 21, 64, 1024
+KEYS, SAMPLE, SPLITTERS = 1 << 20, 64, 1024
+_ID_BITS = 40
 #: Of f occurrences of a phrase among n words, whose parts occur l and r times; decimals hold products past 64 bits.
 SCORE = "(1000 * cast(f as decimal(16,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
-CHUNKS = "chunk bigint, tail int, ids binary, words array<struct<lang:string,word:string,n:bigint>>"
+CHUNKS = "chunk bigint, tail int, size int, ids binary, words array<struct<lang:string,word:string,n:bigint>>"
 _FROM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t"
 _TO = b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
 _CLEAN = bytes.maketrans(_FROM, _TO)
@@ -69,6 +70,17 @@ def _slices(text: bytes, size: int) -> Iterator[bytes]:
         at = to
 
 
+def squeezed(rows: np.ndarray) -> bytes:
+    """Rows of numbers, compressed byte by byte of all rows: leading bytes hardly change, and the others are unlike each other."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1).T.tobytes()
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def opened(data: pa.Scalar, n: int, width: int) -> np.ndarray:
+    """n rows of width bytes."""
+    return np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n).T if n else np.zeros((0, width), np.uint8)
+
+
 class Chunk:
     """A run of texts as numbers of its own dictionary."""
 
@@ -107,11 +119,11 @@ class Chunk:
         counts = np.bincount(ids[self.carried :], minlength=len(self.names) + 1)[1:]
         words = [pa.array([x for x, _ in self.names], pa.string()), pa.array([w for _, w in self.names], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
         words = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.StructArray.from_arrays(words, ["lang", "word", "n"]))
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([tail], pa.int32()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), words], ["chunk", "tail", "ids", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([tail], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([squeezed(ids.astype("<u2")[:, None])], pa.binary()), words], ["chunk", "tail", "size", "ids", "words"])
 
 
 def encoded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", local: int = LOCAL, tokens: int = TOKENS) -> DataFrame:
-    """The texts in chunks (CHUNKS); ids are little-endian 16-bit numbers, word number k is the k-th of words."""
+    """The texts in chunks (CHUNKS); ids are squeezed 16-bit numbers, word number k is the k-th of words."""
     if not 2 * LONGEST <= local <= LOCAL:
         raise ValueError(f"local lies between {2 * LONGEST} and {LOCAL}")
     ship(docs.sparkSession)
@@ -232,7 +244,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     listed = chunks.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", F.col("at").cast("int").alias("at"), "w.lang", "w.word", "w.n")
     langs = durable(listed.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
     frequent = listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    frequent = durable(frequent.select("lang", "word", "f", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "words")
+    # frequent words get small numbers, which take less room when compressed
+    frequent = durable(frequent.orderBy(F.desc("f")).select("lang", "word", "f", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "words")
     before = running_offsets(frequent.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "part", "rows").select("part", "before")
     # one row for each partition that wrote words
     words = frequent.join(F.broadcast(before), "part").select("lang", "word", "f", (F.col("before") + F.col("place") + 1).alias("id"))
@@ -243,13 +256,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
 
     def bound(part: Column) -> DataFrame:
         """Chunks with the numbers of their own words."""
-        numbers = listed.filter(part).join(own_words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("numbers"))
-        return chunks.filter(part).select("chunk", "tail", "ids").join(numbers, "chunk").select("tail", "ids", F.col("numbers.at").alias("at"), F.col("numbers.id").alias("number"))
+        numbers = listed.filter(part).join(own_words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.shiftleft(F.col("at").cast("bigint"), _ID_BITS) + F.col("id")).alias("numbers"))
+        return chunks.filter(part).select("chunk", "tail", "size", "ids").join(numbers, "chunk").drop("chunk")
 
     def looked_up(row: dict) -> tuple[np.ndarray, int]:
-        table = np.zeros(LOCAL + 1, np.int64)
-        table[row["at"].values.to_numpy() + 1] = row["number"].values.to_numpy()
-        return table[np.frombuffer(row["ids"].as_buffer(), "<u2")], row["tail"].as_py()
+        table, both = np.zeros(LOCAL + 1, np.int64), row["numbers"].values.to_numpy()
+        table[(both >> _ID_BITS) + 1] = both & ((1 << _ID_BITS) - 1)
+        ids = np.ascontiguousarray(opened(row["ids"], row["size"].as_py(), 2)).view("<u2").ravel()
+        return table[ids], row["tail"].as_py()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
         for batch in batches:
@@ -282,9 +296,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
             bucket = bucket_of(keys, splitters, finer)
             found, start = np.unique(bucket, return_index=True)
             cuts = list(zip(start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
-            # byte by byte, as the leading ones hardly change
-            rows = [keys[a:b].T.tobytes() for a, b in cuts], [n[a:b].astype("<u4").tobytes() for a, b in cuts]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], ["bucket", "keys", "n"])
+            rows = [squeezed(keys[a:b]) for a, b in cuts], [squeezed(n[a:b].astype("<u4")[:, None]) for a, b in cuts]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([b - a for a, b in cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], ["bucket", "size", "keys", "n"])
 
         parts, held = [], 0
         for ids, tail in each(batches):
@@ -295,14 +308,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
             if held >= KEYS:
                 yield sent(parts)
                 parts, held = [], 0
+                tidy()
         if held:
             yield sent(parts)
         tidy()
 
     def summed(table: pa.Table) -> pa.Table:
-        n = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("n")]
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(LONGEST * width, -1).T for x in table.column("keys")])
-        keys, n = counted(keys, np.concatenate(n).astype(np.int64))
+        size = table.column("size").to_pylist()
+        n = np.concatenate([np.ascontiguousarray(opened(x, k, 4)).view("<u4").ravel() for x, k in zip(table.column("n"), size, strict=True)]).astype(np.int64)
+        keys, n = counted(np.concatenate([opened(x, k, LONGEST * width) for x, k in zip(table.column("keys"), size, strict=True)]), n)
         out = {"key": [], "m": [], "f": []}
         for m, prefix, f in runs(keys, n, width, least):
             out["key"] += [p.tobytes() for p in prefix]
@@ -311,7 +325,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
         tidy()
         return pa.table({"key": pa.array(out["key"], pa.binary()), "m": pa.array(out["m"], pa.int32()), "f": pa.array(out["f"], pa.int64())})
 
-    found = bound(F.lit(True)).mapInArrow(dealt, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(summed, "key binary, m int, f bigint")
+    found = bound(F.lit(True)).mapInArrow(dealt, "bucket int, size int, keys binary, n binary").groupBy("bucket").applyInArrow(summed, "key binary, m int, f bigint")
     phrases = durable(found.groupBy("key", "m").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrases")
     return words.select("key", "lang", "word", "f"), phrases, langs, width
 
