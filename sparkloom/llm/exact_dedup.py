@@ -1,11 +1,12 @@
 """Exact deduplication by a distributed content sort; DataFrame functions only.
 
-1. A bounded sample of (first 48 characters, hash, id) of the normalised texts
-   gives at most SPLITTERS splitters.  As the id is part of the key, a group of
-   copies of any size is cut into several ranges.
+1. A bounded sample of (first 48 characters, hash, lot) of the normalised texts
+   gives at most SPLITTERS splitters.  The lot is a hash of the row's place in its
+   task, so a group of copies of any size is cut into several ranges, even if its
+   rows have one id or none.
 2. Each row finds its range by binary search.  Where more ranges are wanted than
    there are splitters, a range is cut again by the hash, and rows that agree with
-   a splitter, whose group may be of any size, by the id.  One shuffle sends each
+   a splitter, whose group may be of any size, by the lot.  One shuffle sends each
    row to its range.
 3. Spark's external sort orders a range by (first characters, hash, text, id),
    so equal texts are neighbours; ``lag`` compares each full text with the one
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable, id_key, id_text, partitions, sized
+from sparkloom.llm.common import documents, durable, id_text, partitions, sized
 
 SAMPLES_PER_RANGE, SPLITTERS = 24, 1024
 PREFIX = 48
@@ -35,6 +36,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def lot():
+    """A number that parts rows which agree in all columns; it decides where rows are compared, not with which result."""
+    return F.xxhash64(F.monotonically_increasing_id())
+
+
 def splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int, int]]:
     """At most ranges - 1 keys that cut the rows into even runs, from a sample of SAMPLES_PER_RANGE * ranges rows."""
     n = rows.count()
@@ -43,7 +49,7 @@ def splitters(rows: DataFrame, ranges: int) -> list[tuple[str, int, int]]:
     some = rows.sample(min(1.0, SAMPLES_PER_RANGE * ranges / n), 17) if n > SAMPLES_PER_RANGE * ranges else rows
     norm = normalised(F.col("text"))
     keys = sorted(
-        ((p, h, i) for p, h, i in some.select(F.substring(norm, 1, PREFIX), F.xxhash64(norm), id_key()).collect()),
+        ((p, h, i) for p, h, i in some.select(F.substring(norm, 1, PREFIX), F.xxhash64(norm), lot()).collect()),
         key=lambda k: (k[0].encode(), k[1], k[2]),
     )
     return sorted({keys[len(keys) * j // ranges] for j in range(1, ranges)}, key=lambda k: (k[0].encode(), k[1], k[2])) if keys else []
@@ -73,7 +79,7 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = min(wanted, splits)
     finer = -(-wanted // ranges)
     cuts = splitters(rows, ranges)
-    keyed = rows.select("id", id_key().alias("key"), normalised(F.col("text")).alias("norm"))
+    keyed = rows.select("id", lot().alias("key"), normalised(F.col("text")).alias("norm"))
     keyed = keyed.withColumns({"prefix": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm")})
     keyed = keyed.withColumn("range", range_of(cuts))
     if cuts:

@@ -43,7 +43,7 @@ from sparkloom.llm.anchors import LEFT, SPAN, Anchors, K, as_words, common_prefi
 from sparkloom.llm.common import LAST, documents, id_text, partitions, tidy
 from sparkloom.llm.shingles import mix, text_slices
 
-SAMPLE, DENSE = 64, 256
+SAMPLE, DENSE, SPLITTERS = 64, 256, 1024
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 _HASHES = "bucket int, part int, n int, hashes binary, several binary"
@@ -135,15 +135,25 @@ class Part:
         # groups are in the order of their bytes, and so of their buckets
         self.w_row, self.w_first_id = rows[lead], self.w_id[lead]
 
-    def dense_buckets(self, splitters: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splitters, np.ascontiguousarray(self.w_row).view(f"S{SPAN}").ravel(), "right")
+    def dense_dealt(self, splitters: np.ndarray, finer: int) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of suffixes at window starts in the order in which they are sent, and their buckets."""
+        return in_buckets(self.w_row, splitters, finer)
 
-    def dealt(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def dealt(self, splitters: np.ndarray, finer: int) -> tuple[np.ndarray, np.ndarray]:
         """The groups in the order in which they are sent, and their buckets."""
-        lead = np.ascontiguousarray(self.right[self.first][:, :K]).view(f"S{K}").ravel()
-        bucket = np.searchsorted(splitters, lead, "right")
-        order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
+        return in_buckets(np.ascontiguousarray(self.right[self.first][:, :K]), splitters, finer)
+
+
+def in_buckets(rows: np.ndarray, splitters: np.ndarray, finer: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by bucket, and their buckets in that order; the range between two splitters is ``finer`` buckets, by a hash of the row."""
+    bucket = np.searchsorted(splitters, np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), "right")
+    if finer > 1:
+        own = np.zeros(len(rows), _U)
+        for w in as_words(rows):
+            own = mix(own * _U(0xD1342543DE82EF95) + w + _U(1))
+        bucket = bucket * finer + (own % _U(finer)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -152,7 +162,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def sampled_splitters(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """K leading bytes that cut suffixes at anchors into even ranges, and SPAN bytes that cut those at window starts, from at most SAMPLE * buckets of each."""
+    """K leading bytes that cut suffixes at anchors into even ranges, and SPAN bytes that cut those at window starts, from about SAMPLE * buckets of each."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,12 +266,20 @@ def _by_kind(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
     return sorted((b, a) for k, b, a in found if k == kind)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, dense: int = DENSE) -> DataFrame:
-    """One row per document (RESULT); kept is what is left of its bytes, null unless with_kept."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, dense: int = DENSE, splits: int = SPLITTERS) -> DataFrame:
+    """One row per document (RESULT); kept is what is left of its bytes, null unless with_kept.
+
+    There are at most ``splits`` splitters, however many buckets; what lies between two
+    of them is cut again by a hash of the leading bytes.
+    """
     rows = id_text(docs, id_col, text_col)
     buckets = partitions(docs.sparkSession)
-    splitters, dense_splitters = sampled_splitters(rows, buckets)
-    place = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(2 * buckets)).cast("int")
+    ranges = min(buckets, splits)
+    finer = -(-buckets // ranges)
+    splitters, dense_splitters = sampled_splitters(rows, ranges)
+    # rows without id are told apart by their place
+    lot = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    place = F.pmod(F.xxhash64("id", F.octet_length("text"), lot), F.lit(2 * buckets)).cast("int")
     moved = rows.select(place.alias("part"), "id", F.coalesce("text", F.lit("")).alias("text")).repartition(buckets, "part")
 
     def hashes(table: pa.Table) -> pa.Table:
@@ -289,13 +307,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("rows", pa.binary()))})
         part = Part(table)
         part.share(_by_kind(answers, 0), buckets)
-        order, bucket = part.dealt(splitters)
+        order, bucket = part.dealt(splitters, finer)
         chosen = part.first[order]
         out = np.concatenate([part.right[chosen], part.left[chosen], part.low[chosen, None].astype(np.uint8), part.high[chosen, None].astype(np.uint8), np.ascontiguousarray(part.first_id[order]).view(np.uint8).reshape(-1, 8)], axis=1)
-        windows = np.concatenate([part.w_row, np.ascontiguousarray(part.w_first_id).view(np.uint8).reshape(-1, 8)], axis=1)
+        w_order, w_bucket = part.dense_dealt(dense_splitters, finer)
+        windows = np.concatenate([part.w_row[w_order], np.ascontiguousarray(part.w_first_id[w_order]).view(np.uint8).reshape(-1, 8)], axis=1)
         number, sent = table.column("part")[0].as_py(), {n: [] for n in ("bucket", "part", "kind", "n", "rows")}
         # buckets of suffixes at window starts come after those of suffixes at anchors
-        for kind, rows, of in ((1, out, bucket), (2, windows, len(splitters) + 1 + part.dense_buckets(dense_splitters))):
+        for kind, rows, of in ((1, out, bucket), (2, windows, (len(splitters) + 1) * finer + w_bucket)):
             found, start = np.unique(of, return_index=True)
             for x, a, b in zip(found.tolist(), start, np.append(start[1:], len(of))[: len(start)], strict=True):
                 for name, value in zip(sent, (x, number, kind, b - a, rows[a:b].tobytes()), strict=True):
@@ -312,7 +331,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.table({n: pa.array([], kinds[k]) for n, k in names})
         part = Part(table)
         part.share(_by_kind(answers, 0), buckets)
-        order, _ = part.dealt(splitters)
+        order, _ = part.dealt(splitters, finer)
         masks = np.zeros(len(part.first), np.uint32)
         given = b"".join(a for _, a in _by_kind(answers, 1))
         masks[order] = np.frombuffer(given, "<u4")
@@ -320,8 +339,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = ((np.uint64(1) << (part.high + 1).astype(_U)) - (np.uint64(1) << part.low.astype(_U))).astype(np.uint32)
         own = np.where(part.own_id > part.first_id[part.group], whole, masks[part.group])
         bits = [np.unpackbits(np.frombuffer(a, np.uint8)) for _, a in _by_kind(answers, 2)]
-        sizes = np.unique(part.dense_buckets(dense_splitters), return_counts=True)[1]
-        smaller = np.concatenate([b[:n] for b, n in zip(bits, sizes, strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
+        w_order, w_bucket = part.dense_dealt(dense_splitters, finer)
+        sizes = np.unique(w_bucket, return_counts=True)[1]
+        smaller = np.zeros(len(w_order), bool)
+        smaller[w_order] = np.concatenate([b[:n] for b, n in zip(bits, sizes, strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
         w_gone = (part.w_id > part.w_first_id[part.w_group]) | smaller[part.w_group]
         w_slices = np.searchsorted(part.w_at[:, 0], np.arange(len(part.slices) + 1))
         out = {n: [] for n, _ in names}

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import documents, durable, id_text, tidy
@@ -440,8 +440,12 @@ def fit(column: pa.Array, toxic: np.ndarray, weight: tuple[float, float] = (1.0,
     return m | {"scale": (float(a), float(b))}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The model from labels (doc_id, toxic) of rows outside the held-out third; one executor task fits it, and only the model comes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> dict | None:
+    """The model from labels (doc_id, toxic) of rows outside the held-out third; one executor task fits it, and only the model comes to the driver.
+
+    Of at most MAX_TOXIC + MAX_CLEAN labelled texts, those are left out that don't fit
+    into what is left of max_bytes.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = durable(known.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").alias("toxic")), "labels")
     n = dict(known.groupBy("toxic").count().collect())
@@ -450,8 +454,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = parts[0].union(parts[1])
     found = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text").alias("text"))
     found = durable(found, "learned")
-    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id"))
-    fitting = found.select("id", upto.alias("upto")).filter(f"upto <= {MAX_BYTES}").select("id")
+    # in the order of hashes, each row that still fits; at most MAX_TOXIC + MAX_CLEAN numbers
+    sizes = found.agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("id").alias("hash"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")))).alias("rows"))
+    none = F.struct(F.lit(0).cast("bigint").alias("bytes"), F.lit([]).cast("array<bigint>").alias("ids"))
+    take = lambda a, x: F.when(a["bytes"] + x["bytes"] <= max_bytes, F.struct((a["bytes"] + x["bytes"]).alias("bytes"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
+    fitting = sizes.select(F.explode(F.reduce("rows", none, take)["ids"]).alias("id"))
     weight = tuple(max(1.0, n.get(v, 0) / most) for v, most in ((0, MAX_CLEAN), (1, MAX_TOXIC)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import anchors, exact_dedup, ngram_join, suffix_dedup
+from sparkloom.llm.common import written
 from sparkloom.llm.components import components
 
 from .conftest import odd_rows
@@ -53,6 +55,28 @@ def test_exact_of_a_hot_text(spark):
     assert sum(r.kept for r in got) == 8 and all(r.kept == (r.id == r.keep_id) for r in got)
 
 
+@pytest.mark.parametrize("key", ["cast(null as bigint)", "cast(7 as bigint)"])
+def test_exact_copies_of_one_id_are_many_tasks(spark, key):
+    """100,000 copies without id, or with one id, are cut into ranges like others."""
+    rows = spark.range(100_000).selectExpr(f"{key} as doc_id", "'a hot text' as text")
+    for ranges, splits in ((16, 1024), (16, 4)):
+        got = exact_dedup.dedup_groups(rows, ranges=ranges, splits=splits)
+        runs = spark.read.parquet(next(p for p in reversed(written()) if p.endswith("dedup-runs")))
+        sizes = [r["count"] for r in runs.groupBy("range").count().collect()]
+        assert sum(sizes) == 100_000 and max(sizes) < 25_000
+        whole = got.agg({"group_size": "min", "id": "count"}).first()
+        assert whole[0] == 100_000 and got.filter("kept").count() == 1
+
+
+def test_suffixes_of_copies_without_id_are_many_tasks(spark):
+    """Rows that agree in all columns lie in several parts; without id none repeats another."""
+    text = "a passage of more than fifty bytes that all of the rows have in common"
+    rows = spark.range(400).selectExpr("cast(null as bigint) as doc_id", f"'{text}' as text").union(spark.createDataFrame([(3, text)], "doc_id bigint, text string"))
+    got = suffix_dedup.deduplicated(rows)
+    assert Counter((r.id, r.n_removed) for r in got.collect()) == Counter({(None, len(text)): 400, (3, 0): 1})
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
 def test_exact_apply_to_repeated_ids(spark):
     rows = [(1, "a b"), (1, "a  b"), (2, "a\tb"), (None, "c d"), (None, "c\nd"), (1, "e")]
     out = exact_dedup.apply(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -255,7 +279,10 @@ def brute_cut(rows, n=50):
 
 def test_suffixes(odd, empty):
     got = Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(odd).collect())
-    assert got == brute_cut([r[:2] for r in odd_rows()])
+    want = brute_cut([r[:2] for r in odd_rows()])
+    assert got == want
+    # ranges cut again by a hash
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(odd, splits=1).collect()) == want
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
@@ -282,13 +309,13 @@ def test_suffixes_of_long_texts(spark):
     assert got == brute_cut(rows)
 
 
-@pytest.mark.parametrize("dense", [0, 1, 256])
-def test_suffixes_of_shared_passages(spark, dense):
+@pytest.mark.parametrize(("dense", "splits"), [(0, 1024), (1, 1024), (256, 1024), (0, 1), (1, 3)])
+def test_suffixes_of_shared_passages(spark, dense, splits):
     r = np.random.default_rng(2)
     text = lambda n: "".join(r.choice(list("ab c"), n))
     shared = [text(n) for n in (49, 50, 51, 80, 300)]
     rows = [(int(i), text(int(r.integers(0, 200))) + shared[i % 5] + text(int(r.integers(0, 99))) + shared[(i * 7) % 5] * (i % 3)) for i in r.permutation(60)]
-    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), dense=dense).collect())
+    got = Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), dense=dense, splits=splits).collect())
     assert got == brute_cut(rows)
 
 

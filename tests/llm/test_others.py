@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import licenses, mixing, order_minhash, sharding, toxicity
 
@@ -561,6 +562,19 @@ def test_training_with_repeated_ids(spark):
     assert all(np.array_equal(models[0][k], models[1][k]) for k in models[0])
 
 
+def test_training_leaves_out_only_what_does_not_fit(spark):
+    """One labelled text above the bound, first in the order of hashes, doesn't empty the training set."""
+    rows = [(i, f"{'vile' if i % 4 == 0 else 'fine'} w{i % 7} x{i % 9}") for i in range(90)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(90)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = marks.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 5000)).otherwise(F.col("text")))
+    model, without = toxicity.train(long, marks, max_bytes=20_000), toxicity.train(docs.filter(F.col("doc_id") != first), marks, max_bytes=20_000)
+    assert model is not None and all(np.array_equal(model[k], without[k]) for k in model if k != "scale")
+    got = {x.id: x.score for x in toxicity.score(toxicity.id_text(docs), model).collect()}
+    assert np.mean([got[i] for i in range(0, 90, 4)]) > np.mean([got[i] for i in range(1, 90, 4)]) + 0.3
+
+
 def test_held_out_accuracy(spark):
     r = np.random.default_rng(8)
     words = np.array([f"w{i}" for i in range(400)])
