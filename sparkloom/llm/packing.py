@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, durable, id_text, running_offsets
+from sparkloom.llm.common import documents, durable, id_text, running_offsets, tidy
 
 LENGTH, END_ID = 4096, 2
 PIECES = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -46,6 +46,7 @@ def tokenised(rows: DataFrame, end_id: int = END_ID, vocabulary: str | None = No
                     ["part", "id", "at", "n", "wide", "ids"],
                 )
                 at += int(cuts[-1])
+        tidy()
 
     return rows.mapInArrow(encode, "part bigint, id bigint, at bigint, n bigint, wide boolean, ids binary")
 
