@@ -68,6 +68,8 @@ def pieces_of(rows: DataFrame, length: int, end_id: int, vocabulary: str | None,
                     ],
                     ["part", "id", "piece", "start", "length", "number", "ids_crc32", "ids"],
                 )
+            # or two batches are held while the next one comes
+            del batch
         tidy()
 
     return rows.mapInArrow(encode, CUT)

@@ -46,6 +46,8 @@ def tokenised(rows: DataFrame, end_id: int = END_ID, vocabulary: str | None = No
                     ["part", "id", "at", "n", "wide", "ids"],
                 )
                 at += int(cuts[-1])
+            # or two batches are held while the next one comes
+            del batch
         tidy()
 
     return rows.mapInArrow(encode, "part bigint, id bigint, at bigint, n bigint, wide boolean, ids binary")

@@ -20,9 +20,10 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
+from sparkloom.llm.common import tidy
 from sparkloom.llm.shingles import text_slices, words_in
 
-WORDS, SLICE = 900_000, 1 << 18
+WORDS, SLICE = 500_000, 1 << 18
 _SPACES = b"\x20\t\n\x0b\x0c\r"
 _U = np.uint64
 _CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -90,7 +91,7 @@ class Encoder:
     def clear(self) -> None:
         self.words = Table(1 << 16)
         self.n, self.used = 0, 0
-        self.at, self.size, self.then = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.at, self.size, self.then = (np.zeros(1 << 16, np.int32) for _ in range(3))
         self.pool = np.zeros(1 << 18, np.uint32)
 
     def add(self, at: np.ndarray | int, size: np.ndarray | int, then: np.ndarray | int, n: int) -> range:
@@ -105,7 +106,7 @@ class Encoder:
     def put(self, ids, sizes) -> range:
         """Puts ids into the pool, as entries of these sizes."""
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         sizes = np.asarray(sizes, np.int64)
         self.used += len(ids)
@@ -179,10 +180,10 @@ class Encoder:
         """The ids of entries, and where each text's begin (plus the end)."""
         then = self.then[numbers]
         two = np.flatnonzero(then >= 0)
-        size = self.size[numbers]
+        size = self.size[numbers].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size + np.where(then >= 0, self.size[then], 0))])
         numbers = np.insert(numbers, two + 1, then[two])
-        size = self.size[numbers]
+        size = self.size[numbers].astype(np.int64)
         total = np.cumsum(size)
         ids = self.pool[np.repeat(self.at[numbers] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
         return ids, upto[at]
@@ -226,4 +227,6 @@ def encoder(path: str | None = None) -> Encoder:
         path = public_tokenizers.path("word_bpe_49k.json")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        # what reading the vocabulary took
+        tidy()
     return _ENCODERS[path]
