@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from sparkloom.plans import ordered, relational
-from sparkloom.streaming import events
+from sparkloom.streaming import events, timers
 
-MODULES = (relational, ordered, events)
+MODULES = (relational, ordered, events, timers)
 
 
 def queries() -> dict[str, Callable]:

@@ -116,14 +116,28 @@ def stream_custom_state(spark: SparkSession, d: str) -> DataFrame:
     return updates(own).groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
 
 
-def updates(df: DataFrame) -> DataFrame:
+def updates(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Runs the stream over what is there in update mode and returns all batches' rows; a batch that is repeated replaces what it wrote before."""
-    spark, base = df.sparkSession, scratch(df.sparkSession, "stream")
+    spark = spark or df.sparkSession
+    base = scratch(spark, "stream")
     writer = df.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def stateful_session(spark: SparkSession, idle_batches: bool = True) -> SparkSession:
+    """A session of the same application whose state lies in RocksDB; other streams and the caller's settings stay as they are.
+
+    Batches without rows move timers in event time; with times of the clock they would never end, so these do without.
+    """
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 class LastSeen(StatefulProcessor):
     """Of each key the number of rows and the largest value so far, in two values of state."""
 
@@ -144,14 +158,5 @@ class LastSeen(StatefulProcessor):
 @query("SELECT user_id, count(*) AS n, max(value) AS high FROM events GROUP BY user_id")
 def stream_transform_state(spark: SparkSession, d: str) -> DataFrame:
     """The same by a stateful processor, whose state is kept by RocksDB."""
-    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, kind)
-    try:
-        own = events(spark, d, None).groupBy("user_id").transformWithStateInPandas(LastSeen(), "user_id bigint, n bigint, high double", "Update", "None")
-        return updates(own).groupBy("user_id").agg(F.max("n").alias("n"), F.max("high").alias("high"))
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    own = events(stateful_session(spark), d, None).groupBy("user_id").transformWithStateInPandas(LastSeen(), "user_id bigint, n bigint, high double", "Update", "None")
+    return updates(own, spark).groupBy("user_id").agg(F.max("n").alias("n"), F.max("high").alias("high"))

@@ -2,12 +2,13 @@
 
 import datetime
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.sources import tables
-from sparkloom.streaming import events
+from sparkloom.streaming import events, timers
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -54,3 +55,53 @@ def test_a_cluster_must_name_the_shared_folder():
         tables.shared_folder(Session)
     Context.master = "local[2]"
     assert os.path.isdir(tables.shared_folder(Session))
+
+
+def stamp(m):
+    return datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=m)
+
+
+def test_inactivity_with_late_rows_and_a_restart(spark, tmp_path):
+    """The stream stops after each file and goes on from its checkpoint; a row that is late but in time prevents an alert."""
+    base, folder = str(tmp_path / "base"), tmp_path / "in"
+    # user m % 3; an alert after 30 minutes; delay 10 minutes
+    batches = [[0, 1, 3], [38], [31, 46], [200], [2, 203], [400]]
+    seen: list = []
+    os.makedirs(folder)
+    for k, minutes in enumerate(batches):
+        written(spark, tmp_path / f"b{k}", [minutes])
+        os.makedirs(folder / "events.parquet", exist_ok=True)
+        os.rename(tmp_path / f"b{k}/events.parquet/0.parquet", folder / f"events.parquet/{k}.parquet")
+        own = timers.inactivity(events.events(events.stateful_session(spark), str(folder)), 30 * 60)
+        out = timers.run_to(spark, own, base)
+        seen.append(sorted((r.user_id, r.last_micros) for r in out.collect()))
+    told = {(u, (datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=t) - stamp(0)).seconds // 60) for u, t in seen[-1]}
+    # 31 comes after 38, before the watermark passes it, and follows 1 within 30 minutes; 2 comes behind the watermark and is dropped
+    assert told == {(0, 3), (1, 46), (2, 38), (2, 203)}
+    assert len(seen[-1]) == len(set(seen[-1]))
+    # nothing is told before the watermark allows it, and nothing is taken back
+    assert seen[0] == [] and all(set(a) <= set(b) for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_state_is_forgotten(spark, tmp_path):
+    """An id that comes again after its time to live counts as new; within it, it doesn't."""
+    base, folder = str(tmp_path / "base"), tmp_path / "in"
+    os.makedirs(folder)
+
+    def step(k, milliseconds, pause=0):
+        time.sleep(pause)
+        written(spark, tmp_path / f"b{k}", [[7, 8]])
+        os.makedirs(folder / "events.parquet", exist_ok=True)
+        os.rename(tmp_path / f"b{k}/events.parquet/0.parquet", folder / f"events.parquet/{k}.parquet")
+        rows = events.events(events.stateful_session(spark, False), str(folder), None)
+        return timers.run_to(spark, timers.seen_lately(rows, milliseconds, 2), base).count()
+
+    assert [step(0, 4000), step(1, 4000), step(2, 4000, 6)] in ([2, 2, 4], [2, 4, 6])
+    base = str(tmp_path / "other")
+    assert [step(3, 3_600_000), step(4, 3_600_000)] == [2, 2]
+
+
+def test_stateful_streams_leave_the_session_alone(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    assert "RocksDB" in events.stateful_session(spark).conf.get(key) and spark.conf.get(key) == before
