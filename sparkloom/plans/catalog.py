@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sparkloom.plans import ordered, relational
+from sparkloom.plans import ordered, relational, stored
 from sparkloom.streaming import events, timers
 
-MODULES = (relational, ordered, events, timers)
+MODULES = (relational, ordered, stored, events, timers)
 
 
 def queries() -> dict[str, Callable]:
