@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,15 +25,6 @@ def json_number(text: Column, path: str) -> Column:
     return F.get_json_object(text, path).try_cast("bigint")
 
 
-@F.pandas_udf(DoubleType())
-def geometric_mean(values: pd.Series) -> float:
-    """Grouped aggregate: the geometric mean of positive values."""
-    import numpy as np
-
-    own = values[values > 0]
-    return float(np.exp(np.log(own).mean())) if len(own) else 0.0
-
-
 @F.pandas_udf(StringType())
 def initials(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Scalar iterator UDF: first characters of the words of each name."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import columns
+from sparkloom.functions import aggregates, columns
 from sparkloom.operators import joins, windows
 from sparkloom.sources.tables import register, scan, scratch, sink, sink_bucketed, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Vectors of a query block, about a quarter of a kilobyte each.
+QUERIES_AT_ONCE = 256
 
 
 def query(sql: str):
@@ -519,10 +523,12 @@ SELECT a.vec_id, b.vec_id AS query_id, round(list_dot_product(a.embedding::DOUBL
 FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0
 """)
 def functions_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """The query set of ids divisible by 20 against all rows, in blocks: each block of queries meets each row once."""
+    """The query set of ids divisible by 20 against all rows; as many blocks of QUERIES_AT_ONCE queries as there are, each of which meets each row once."""
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id % 20 = 0").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    rows = e.withColumn("block", F.explode(F.lit(list(range(8))).cast("array<bigint>"))).join(asked, "block")
+    asked = e.filter("vec_id % 20 = 0")
+    blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    packed = asked.groupBy(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "block")
     found = rows.select("vec_id", F.explode(F.transform("queries", lambda q: F.struct(q["vec_id"].alias("query_id"), (F.round(columns.cosine(F.col("embedding"), q["embedding"]), 4) + 0.0).alias("cosine")))).alias("f"))
     return found.select("vec_id", "f.query_id", "f.cosine")
 
@@ -532,7 +538,8 @@ def functions_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, round(exp(avg(ln(value)) FILTER (WHERE value > 0)), 4) AS gm FROM events GROUP BY event_type")
 def udf_grouped_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(columns.geometric_mean("value"), 4).alias("gm"))
+    """Groups of any size: states are made in each task and merged."""
+    return aggregates.geometric_means(table(spark, d, "events"), "event_type", "value", "gm").withColumn("gm", F.round("gm", 4))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_type, ' '), lambda w: w <> ''), lambda w: w[1]), '') AS i FROM part")
@@ -585,8 +592,8 @@ def source_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
 def source_bucketed(spark: SparkSession, d: str) -> DataFrame:
     """Two tables bucketed alike, which a join on their buckets' key reads without a shuffle."""
-    own = f"sparkloom_{abs(hash(d)) % 10**8}"
-    sink_bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), f"{own}_orders", 8, "o_orderkey")
-    sink_bucketed(table(spark, d, "lineitem").select("l_orderkey"), f"{own}_lines", 8, "l_orderkey")
+    own = f"sparkloom_{hashlib.md5(d.encode()).hexdigest()[:8]}"
+    sink_bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), f"{own}_orders", scratch(spark, "orders"), 8, "o_orderkey")
+    sink_bucketed(table(spark, d, "lineitem").select("l_orderkey"), f"{own}_lines", scratch(spark, "lines"), 8, "l_orderkey")
     o, li = spark.table(f"{own}_orders"), spark.table(f"{own}_lines")
     return o.join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))

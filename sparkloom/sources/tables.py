@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Paths that this process has given out in the shared folder and not deleted.
+_WRITTEN: list[str] = []
 FORMATS = ("parquet", "orc", "csv", "json", "text")
 
 
@@ -38,9 +40,10 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = (
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
-def sink_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> None:
-    """Saves df as a table bucketed and sorted by keys, so that later joins and aggregates on them need no shuffle."""
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+def sink_bucketed(df: DataFrame, name: str, path: str, buckets: int, *keys: str) -> None:
+    """Saves df below path as a table bucketed and sorted by keys, so that later joins and aggregates on them need no shuffle; a table of that name makes way."""
+    df.sparkSession.sql(f"drop table if exists {name}")
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,7 +59,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/sparkloom-tables/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark)}/sparkloom-tables/{uuid.uuid4().hex}-{name}"
+    _WRITTEN.append(path)
+    return path
+
+
+def written() -> list[str]:
+    """The paths that scratch() gave out and nothing has deleted."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes these paths, or all that scratch() gave out; results that read them can't be read afterwards."""
+    for name in written() if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(name)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -47,3 +47,49 @@ def test_dot_takes_every_query_row(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(r) for r in catalog.queries()["functions_dot"](spark, str(tmp_path)).collect())
     assert got == [(0, 0, 0.0), (0, 0, 0.0), (0, 0, 1.0), (0, 0, 1.0), (1, 0, 2.0), (1, 0, 3.0)]
+
+
+def test_cosine_blocks_follow_the_queries(spark, tmp_path, monkeypatch):
+    from sparkloom.plans import relational
+
+    rows = [(i, [float(i % 7), 1.0]) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = sorted(tuple(r) for r in catalog.queries()["functions_cosine"](spark, str(tmp_path)).collect())
+    monkeypatch.setattr(relational, "QUERIES_AT_ONCE", 3)
+    got = sorted(tuple(r) for r in catalog.queries()["functions_cosine"](spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 400 * 20
+
+
+def test_bucketed_tables_are_replaced_and_need_no_shuffle(spark, sf):
+    from sparkloom.sources import tables
+
+    for _ in range(2):
+        df = catalog.queries()["source_bucketed"](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "hashpartitioning(o_orderkey" not in plan and "hashpartitioning(l_orderkey" not in plan
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith("sparkloom_") and not t.isTemporary]
+    assert len(names) == 2
+    before = len(tables.written())
+    own = tables.durable(spark.range(3).toDF("x"), "some")
+    path = tables.written()[-1]
+    assert len(tables.written()) == before + 1 and own.count() == 3
+    tables.release(spark, [path])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+
+def test_funnel_arguments(spark):
+    from sparkloom.functions.tables import Funnel
+
+    from pyspark.sql import functions as F
+
+    spark.udtf.register("funnel_of", F.udtf(Funnel))
+    spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, 0, k), u, t) for k, (u, t) in enumerate([(7, "b"), (7, "a"), (7, "a"), (7, "b"), (None, "a"), (8, "c")])], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string").createOrReplaceTempView("funnel_rows")
+    one = spark.sql("select * from funnel_of(table(funnel_rows), 'a')")
+    two = spark.sql("select * from funnel_of(table(funnel_rows), 'a,b')")
+    assert one.columns == ["user_id", "first_a"] and two.columns == ["user_id", "first_a", "first_b"]
+    minutes = {r.user_id: (r.first_a and r.first_a.minute, r.first_b and r.first_b.minute) for r in two.collect()}
+    assert minutes == {7: (1, 3), None: (4, None), 8: (None, None)}
+    for wrong in ("'a,a'", "cast(null as string)"):
+        with pytest.raises(Exception, match="steps"):
+            spark.sql(f"select * from funnel_of(table(funnel_rows), {wrong})").collect()
