@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sketches
+from sparkloom.sources.replay import NAME, ReplaySource
 from sparkloom.sources.tables import scratch, table
 from sparkloom.sources.upserts import snapshot, upsert
 
@@ -62,3 +63,24 @@ def sketch_weeks(spark: SparkSession, d: str) -> DataFrame:
     wide = sketches.RANK_ERROR * F.col("n") + 1
     middle = (F.col("under") <= 0.5 * F.col("n") + wide) & (F.col("upto") >= 0.5 * F.col("n") - wide)
     return near.join(rank, ["week", "event_type"]).select("week", "event_type", "n", (F.abs(F.col("about") - F.col("users")) <= sketches.COUNT_ERROR * F.col("users") + 1).alias("users_near"), middle.alias("middle_near"))
+
+
+@query("SELECT event_type, count(*) AS n, max(ts) AS last FROM events GROUP BY event_type")
+def source_python(spark: SparkSession, d: str) -> DataFrame:
+    """The events through a data source in Python, written by its sink and read again."""
+    spark.dataSource.register(ReplaySource)
+    path = scratch(spark, "replayed")
+    table(spark, d, "events").select("event_type", "ts").write.format(NAME).mode("append").save(path)
+    return spark.read.format(NAME).load(path).groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_python(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of a data source in Python, every seventh row a block late, into its own sink; windows over what the sink holds."""
+    spark.dataSource.register(ReplaySource)
+    path, base = scratch(spark, "events"), scratch(spark, "stream")
+    table(spark, d, "events").write.parquet(path)
+    own = spark.readStream.format(NAME).option("rows", "997").option("late", "7").load(path).select("event_id", "ts", "event_type")
+    out = own.writeStream.format(NAME).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True)
+    out.start().awaitTermination()
+    return spark.read.format(NAME).load(f"{base}/out").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
