@@ -136,4 +136,4 @@ def test_sql(spark, duck, sf, name):
 
 def test_each_operator_has_a_query():
     names = queries.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
