@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import documents, durable, id_text, partitions, sized, tidy
@@ -356,13 +356,19 @@ _ROWS = ["h", "node", "label", "n", "pos", "indexed"]
 
 
 def mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the lists that have unlike labels: with their document's label, and the list's size."""
+    """Rows of the lists that have unlike labels: with their document's label, and the list's size.
+
+    A list's size comes from one row for each of its salts and goes back to the
+    rows by list and salt, so a frequent shingle's list never meets in one task.
+    """
     if labels is None:
         marked = lists.withColumn("label", F.col("node"))
     else:
         marked = lists.join(sized(labels).toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-    return durable(marked.join(sizes.select("h", "size"), "h").select(*_ROWS, "size"), "mixed-lists")
+    own = marked.groupBy("h", "salt").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    whole = Window.partitionBy("h")
+    sizes = own.select("h", "salt", F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"), F.sum("size").over(whole).alias("size"))
+    return durable(marked.join(sizes.filter("low < high").select("h", "salt", "size"), ["h", "salt"]).select(*_ROWS, "size"), "mixed-lists")
 
 
 def _in_lists(pieces: DataFrame, sets: DataFrame, find, schema: str) -> DataFrame:
@@ -515,7 +521,7 @@ def joined(docs: DataFrame, k: int, threshold: tuple[int, int], id_col: str, tex
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     indexing = f"n + 1 - cast(ceil({2 * num} * cast(n as bigint) / {num + den}) as int)"
     lists = shared(postings(rows, k, num, den, sent, frequent), num, den).join(sized(classes.select("c", "n", "node")), ["c", "n"])
-    lists = durable(lists.select("h", "node", F.col("n").cast("bigint").alias("n"), "pos", F.expr(f"pos < {indexing}").alias("indexed")), "lists")
+    lists = durable(lists.select("h", "salt", "node", F.col("n").cast("bigint").alias("n"), "pos", F.expr(f"pos < {indexing}").alias("indexed")), "lists")
     sent.destroy()
     sets = _sets(rows, classes.join(lists.select("node").distinct(), "node", "left_semi").select("id", "c", "d", "node"), k)
     links = _links(lists, sets, num, den)

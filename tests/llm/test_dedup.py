@@ -159,6 +159,26 @@ def test_groups_of_near_copies(spark, monkeypatch):
     assert 0 < len(tried) == len(set(tried)) < 90 * 89 / 4
 
 
+def test_sizes_of_a_frequent_list(spark):
+    """A list with many salts gets its whole size, and no task of the join holds all of its rows."""
+    hot = [(7, salt, 1000 * salt + i) for salt in range(1, 21) for i in range(500)]
+    short = [(h, 0, 50_000 + 2 * h + i) for h in range(100, 200) for i in range(2)]
+    same = [(8, 0, 60_000), (8, 0, 60_000)]
+    rows = [(h, salt, node, 10, 0, True) for h, salt, node in hot + short + same]
+    lists = spark.createDataFrame(rows, "h bigint, salt int, node bigint, n bigint, pos int, indexed boolean")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ngram_join.mixed(lists, None)
+        assert sorted((r.h, r.node, r["size"]) for r in got.collect()) == sorted((h, node, 10_000 if h == 7 else 2) for h, _, node in hot + short)
+        most = max(r["count"] for r in got.filter("h = 7").groupBy(F.input_file_name()).count().collect())
+        assert most < 10_000 * 0.6
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_links(spark, odd):
     """Verified links are links of the brute force, and connect what it connects."""
     rows = [r[:2] for r in odd_rows()]
