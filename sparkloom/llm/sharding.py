@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BROADCAST_ROWS, documents, durable, id_key, partitions, running_offsets, ship
+from sparkloom.llm.common import BROADCAST_ROWS, documents, durable, id_key, partitions, running_offsets, ship, sized
 
 SHARDS, BITS, CATEGORIES, HEAVY = 16, 5, 256, 1000
 
@@ -159,8 +159,8 @@ def shards(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: s
     dealt = durable(dealt, "dealt")
     parts = dealt.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("rows"))
     parts = parts.select("part", "shard", F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    # at most n rows for each partition
-    return dealt.join(F.broadcast(parts), ["part", "shard"]).select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"))
+    # at most n rows for each partition: counted, as there can be many of both
+    return dealt.join(sized(durable(parts, "parts")), ["part", "shard"]).select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"))
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
