@@ -15,11 +15,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays; null if one has length 0."""
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def json_number(text: Column, path: str) -> Column:
     """A number in a JSON text; null if it isn't there or isn't one."""
     return F.get_json_object(text, path).try_cast("bigint")

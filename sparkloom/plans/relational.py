@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import aggregates, columns
-from sparkloom.operators import joins, windows
+from sparkloom.operators import joins, vectors, windows
 from sparkloom.sources.tables import register, scan, scratch, sink, sink_bucketed, table
 
 QUERIES: dict = {}
@@ -523,14 +523,9 @@ SELECT a.vec_id, b.vec_id AS query_id, round(list_dot_product(a.embedding::DOUBL
 FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0
 """)
 def functions_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """The query set of ids divisible by 20 against all rows; as many blocks of QUERIES_AT_ONCE queries as there are, each of which meets each row once."""
-    e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id % 20 = 0")
-    blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    packed = asked.groupBy(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "block")
-    found = rows.select("vec_id", F.explode(F.transform("queries", lambda q: F.struct(q["vec_id"].alias("query_id"), (F.round(columns.cosine(F.col("embedding"), q["embedding"]), 4) + 0.0).alias("cosine")))).alias("f"))
-    return found.select("vec_id", "f.query_id", "f.cosine")
+    """The query set of ids divisible by 20 against all rows, in tiles of QUERIES_AT_ONCE queries and some rows."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return vectors.cosines(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", QUERIES_AT_ONCE)
 
 
 # user functions

@@ -60,6 +60,25 @@ def test_cosine_blocks_follow_the_queries(spark, tmp_path, monkeypatch):
     assert got == want and len(got) == 400 * 20
 
 
+def test_cosines_of_odd_vectors_in_many_tiles(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import vectors
+
+    rows = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [-4.0, 3.0]), (6, []), (7, [4.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for queries, stripe in ((1, 2), (100, 100)):
+        out = vectors.cosines(df, df.filter("vec_id in (0, 1, 5)"), "vec_id", "embedding", queries, stripe)
+        got = {(r.vec_id, r.query_id): plain(r.cosine) for r in out.collect()}
+        assert len(got) == len(rows) * 3 and out.count() == len(rows) * 3
+        assert [got[i, 0] for i in range(8)] == ["1", "nan", "None", "None", "None", "0", "None", "0.96"]
+        assert got[1, 1] == "nan" and got[5, 1] == "nan" and got[7, 5] == "-0.28"
+    # many tasks, although the tables are small
+    many = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    out = vectors.cosines(many, many.filter("vec_id < 100"), "vec_id", "embedding", 10, 10)
+    assert out.count() == 40_000 and out.groupBy(F.spark_partition_id().alias("p")).count().count() > 20
+
+
 def test_bucketed_tables_are_replaced_and_need_no_shuffle(spark, sf):
     from sparkloom.sources import tables
 
