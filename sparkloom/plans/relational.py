@@ -163,8 +163,10 @@ def join_salted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)")
 def subquery_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are ranked before the lateral step: for a limit inside it, Spark sorts the table and then deals it anew by customer, which keeps no order."""
     register(spark, d, "customer", "orders")
-    return spark.sql("select c_custkey, o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1)")
+    ranked = "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc nulls last, o_orderkey nulls last) as place from orders"
+    return spark.sql(f"with ranked as ({ranked}) select c_custkey, o_orderkey from customer, lateral (select o_orderkey from ranked where o_custkey = c_custkey and place = 1)")
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49) GROUP BY o_orderpriority")

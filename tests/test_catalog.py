@@ -21,6 +21,10 @@ def rows(names, data):
     return sorted(tuple(plain(r[i]) for i in order) for r in data)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_plan(spark, duck, sf, name):
     df = catalog.queries()[name](spark, sf)
@@ -79,6 +83,17 @@ def test_cosines_of_odd_vectors_in_many_tiles(spark):
     assert out.count() == 40_000 and out.groupBy(F.spark_partition_id().alias("p")).count().count() > 20
 
 
+def test_lateral_limit_is_ordered_by_its_window(spark, tmp_path):
+    """The first order of each customer doesn't hang on the order in which a shuffle delivers rows; nulls come last."""
+    spark.createDataFrame([(1,), (2,), (3,), (None,)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(None, 1, 5.0), (10, 1, 5.0), (11, 1, None), (9, 1, 5.0), (12, 2, None), (13, 2, -1.0), (14, None, 9.0)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    df = catalog.queries()["subquery_lateral"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 9), (2, 13)]
+    windows = [line for line in plan_of(df).splitlines() if "windowspecdefinition" in line]
+    assert windows and all("o_totalprice" in line for line in windows)
+
+
 def test_bucketed_tables_are_replaced_and_need_no_shuffle(spark, sf):
     from sparkloom.sources import tables
 
