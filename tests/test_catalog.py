@@ -94,6 +94,12 @@ def test_lateral_limit_is_ordered_by_its_window(spark, tmp_path):
     assert windows and all("o_totalprice" in line for line in windows)
 
 
+def test_sketches_are_apart_from_the_exact_count(spark, sf):
+    """Beside a distinct count Spark groups by the counted value too, so there would be a sketch for each user."""
+    plan = plan_of(catalog.queries()["aggregate_approximate"](spark, sf))
+    assert plan.count("approx_count_distinct") and not [x for x in plan.splitlines() if "keys=[event_type" in x and "user_id" in x.split("functions=")[0] and "approx" in x]
+
+
 def test_bucketed_tables_are_replaced_and_need_no_shuffle(spark, sf):
     from sparkloom.sources import tables
 
