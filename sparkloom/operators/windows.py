@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ordering import numbered
+from sparkloom.operators.ordering import numbered, same, shuffle_partitions, sized
 from sparkloom.sources.tables import durable
 
 
@@ -63,14 +63,29 @@ def exact_percentiles(df: DataFrame, by: str, value: str, at: dict[str, float],
 def trailing_count(df: DataFrame, by: str, at: str, seconds: int, name: str) -> DataFrame:
     """df with the number of rows of the same ``by`` in the given seconds up to each row's time, itself included.
 
-    Time is cut into spans of that length; a row is counted in its own span and
-    the next, so groups are split by time and each span is a task's work.
+    That is the number of rows up to its time less those before the frame, and both are
+    running sums over the group's times and their frames' beginnings, in order.  These are
+    range-partitioned, summed within partitions, and the sums of the partitions before are
+    added; so the work is that of sorting, however many rows a frame has, and no task
+    holds a group.  Rows without a time are a frame of their own.
     """
     micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01', cast({at} as timestamp_ntz))")
-    span = F.floor(micros / (seconds * 1_000_000)).cast("bigint")
-    both = df.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__span", span + F.when(F.col("__own"), 0).otherwise(1))
-    w = Window.partitionBy(by, "__span").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return both.withColumn(name, F.count(F.lit(1)).over(w)).filter("__own").select(*df.columns, name)
+    own = df.withColumn("__at", micros)
+    counts = durable(own.groupBy(by, "__at").agg(F.count(F.lit(1)).alias("__rows")), "counts")
+    ends = lambda place, after, rows: F.struct(place.alias("place"), F.lit(after).alias("after"), rows.alias("rows"))
+    ends = F.array(ends(F.col("__at"), 1, F.col("__rows")), ends(F.col("__at") - seconds * 1_000_000, 0, F.lit(0).cast("bigint")))
+    steps = counts.filter("__at is not null").select(by, "__at", F.explode(ends).alias("__end")).select(by, "__at", "__end.*")
+    placed = durable(steps.repartitionByRange(shuffle_partitions(df), by, "place", "after").withColumn("__part", F.spark_partition_id()), "steps")
+    # one row for each partition and group it holds
+    earlier = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("__part", by).agg(F.sum("rows").alias("__sum"))
+    before = before.select(F.col("__part").alias("__of"), F.col(by).alias("__by"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part", by).orderBy("place", "after").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("__sum", F.sum("rows").over(inside)).join(sized(durable(before, "before")), (F.col("__part") == F.col("__of")) & same(by, "__by"))
+    sums = F.col("__sum") + F.col("__before")
+    found = summed.groupBy(by, "__at").agg(F.sum(F.when(F.col("after") == 1, sums).otherwise(-sums)).alias(name))
+    found = found.unionByName(counts.filter("__at is null").withColumnRenamed("__rows", name)).select(F.col(by).alias("__by"), F.col("__at").alias("__time"), name)
+    return own.join(found, same(by, "__by") & same("__at", "__time")).select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
 def row_frame(df: DataFrame, by: list[str], order: list[Column], preceding: int, following: int, columns: dict[str, Column], rows: int = 100_000) -> DataFrame:

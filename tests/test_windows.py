@@ -55,3 +55,15 @@ def test_trailing_count(spark, data):
     df = spark.createDataFrame([(g, start + datetime.timedelta(seconds=s), i) for i, (g, s) in enumerate(data)], "g string, t timestamp_ntz, i int")
     got = {r.i: r.n for r in windows.trailing_count(df, "g", "t", 60, "n").collect()}
     assert got == {i: sum(h == g and s - 60 <= u <= s for h, u in data) for i, (g, s) in enumerate(data)}
+
+
+def test_trailing_count_of_equal_and_missing_times(spark):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda s: None if s is None else start + datetime.timedelta(seconds=s)
+    data = [("a", 0)] * 5 + [("a", 60), ("a", 61), ("a", None), ("a", None), (None, 0), (None, 30), ("b", None)]
+    df = spark.createDataFrame([(g, at(s), i) for i, (g, s) in enumerate(data)], "g string, t timestamp_ntz, i int")
+    out = windows.trailing_count(df, "g", "t", 60, "n")
+    near = lambda s, u: s is u if None in (s, u) else s - 60 <= u <= s
+    assert {r.i: r.n for r in out.collect()} == {i: sum(h == g and near(s, u) for h, u in data) for i, (g, s) in enumerate(data)}
+    # no frame is counted row by row
+    assert "RangeFrame" not in out._jdf.queryExecution().executedPlan().toString()
