@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ordering import same, shuffle_partitions, sized
+from sparkloom.operators.ordering import cell_join, same, shuffle_partitions, sized
 from sparkloom.sources.tables import durable
 
 
@@ -35,16 +35,17 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, by: list[str], tak
     return out.select(*left.columns, *(F.col(f"__last.{c}").alias(c) for c in take))
 
 
-def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float, cell: int = 4096) -> DataFrame:
     """Pairs with low <= value < high.
 
     Values fall into bins of the given width and intervals into all bins they
     touch, which makes it an equi join with a residual filter; width should be
-    about the usual length of an interval.
+    about the usual length of an interval.  A bin with many rows is cut into cells, and
+    there are as many tasks as the pairs ask for.
     """
     a = left.withColumn("__bin", F.floor(F.col(value) / width))
     b = right.filter(f"{low} < {high}").withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return a.join(b, "__bin").filter((F.col(low) <= F.col(value)) & (F.col(value) < F.col(high))).drop("__bin")
+    return cell_join(a, b, ["__bin"], cell).filter((F.col(low) <= F.col(value)) & (F.col(value) < F.col(high))).drop("__bin")
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: str, salts: int) -> DataFrame:

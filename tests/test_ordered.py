@@ -130,6 +130,17 @@ def test_inequalities_of_empty_sides_and_kinds(spark):
         inequality.inequality_join(a, a, ("x", "<", "x"), ("y", ">", "y"))
 
 
+def test_pairs_make_tasks(spark, monkeypatch):
+    """A small table with many pairs is dealt by its pairs, not by its bytes."""
+    a = spark.range(500).select(F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("x"))
+    b = spark.range(500).select(F.col("id").alias("j"), F.lit(0.0).alias("low"), F.lit(10.0).alias("high"))
+    monkeypatch.setattr(ordering, "PAIRS", 5000)
+    out = joins.range_join(a, b, "x", "low", "high", 20.0, 50)
+    assert out.count() == 250_000
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(per_task) > 20 and max(per_task) < 50_000
+
+
 # as-of joins
 
 
