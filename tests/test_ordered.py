@@ -141,6 +141,16 @@ def test_pairs_make_tasks(spark, monkeypatch):
     assert len(per_task) > 20 and max(per_task) < 50_000
 
 
+def test_short_spans_meet_at_their_own_level(spark, monkeypatch):
+    """One long span on each side must not bring all short ones of its bins together."""
+    a = spark.range(640).select(F.col("id").alias("i"), F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(1).select(F.lit(-1), F.lit(0), F.lit(640)))
+    b = a.toDF("j", "c", "d")
+    seen = []
+    monkeypatch.setattr(intervals, "cell_join", lambda *x: seen.append(ordering.cell_join(*x)) or seen[-1])
+    assert intervals.overlap_join(a, b, ("a", "b"), ("c", "d"), width=1).count() == 640 * 3 + 1
+    assert seen[0].count() < 640 * 8
+
+
 # as-of joins
 
 
