@@ -130,6 +130,18 @@ def test_inequalities_of_empty_sides_and_kinds(spark):
         inequality.inequality_join(a, a, ("x", "<", "x"), ("y", ">", "y"))
 
 
+def test_a_task_of_an_inequality_holds_few_pairs(spark, monkeypatch):
+    """Two sides that all match: no group that is compared in Python may have more than block**2 / 4 pairs."""
+    a = spark.range(6000).select(F.col("id").alias("i"), F.col("id").alias("x"), F.col("id").alias("y"))
+    b = spark.range(300).select(F.col("id").alias("j"), (F.col("id") + 10_000).alias("u"), (F.col("id") + 10_000).alias("v"))
+    seen = []
+    monkeypatch.setattr(inequality, "cell_join", lambda left, right, *a: seen.append((left, right)) or ordering.cell_join(left, right, *a))
+    assert inequality.inequality_join(a, b, ("x", "<", "u"), ("y", "<", "v")).count() == 6000 * 300
+    assert inequality.BLOCK**2 // 4 <= 1 << 20
+    # so nearly all of them are found by the join
+    assert ordering.cell_join(*seen[0], ["__b1", "__a1", "__b2", "__a2"], 1000).count() > 4000 * 300
+
+
 def test_pairs_make_tasks(spark, monkeypatch):
     """A small table with many pairs is dealt by its pairs, not by its bytes."""
     a = spark.range(500).select(F.col("id").alias("i"), (F.col("id") % 10).cast("double").alias("x"))
