@@ -79,7 +79,7 @@ def stream_python(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of a data source in Python, every seventh row a block late, into its own sink; windows over what the sink holds."""
     spark.dataSource.register(ReplaySource)
     path, base = scratch(spark, "events"), scratch(spark, "stream")
-    table(spark, d, "events").write.parquet(path)
+    table(spark, d, "events").write.option("maxRecordsPerFile", 100_000).parquet(path)
     own = spark.readStream.format(NAME).option("rows", "997").option("late", "7").load(path).select("event_id", "ts", "event_type")
     out = own.writeStream.format(NAME).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True)
     out.start().awaitTermination()

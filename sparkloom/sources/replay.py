@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,15 @@ class RowGroup(InputPartition):
 
 @dataclass
 class Block(InputPartition):
+    """A run of blocks, and the row groups that they need, if these are known: (file, number, first row, rows)."""
+
     number: int
+    count: int = 1
+    groups: list[tuple[str, int, int, int]] | None = None
+
+
+#: Rows of a stream's partition and of a row group of a sink, where there are so many; bytes of such a row group; and how many partitions a stream has before its blocks are put together.
+ROWS, GROUP_BYTES, PARTITIONS = 100_000, 1 << 26, 64
 
 
 class Groups(DataSourceReader):
@@ -94,40 +103,73 @@ class Replay(DataSourceStreamReader):
         return {"block": blocks + 1 if blocks and self.late else blocks}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Block(k) for k in range(start["block"], end["block"])]
+        """Blocks, or runs of them where they are many; each with its row groups, so no task reads other files' footers."""
+        n = end["block"] - start["block"]
+        run = max(1, min(-(-n // PARTITIONS), ROWS // self.rows))
+        groups = self.groups()
+        ends = [at + size for _, _, at, size in groups]
+        out = []
+        for k in range(start["block"], end["block"], run):
+            count = min(run, end["block"] - k)
+            low = bisect_right(ends, max(k - 1, 0) * self.rows)
+            high = bisect_left(ends, (k + count) * self.rows) + 1
+            out.append(Block(k, count, groups[low:high]))
+        return out
 
-    def slice(self, first: int, after: int) -> Iterator:
+    def groups(self) -> list[tuple[str, int, int, int]]:
+        """(file, number, first row, rows) of all row groups."""
+        import pyarrow.parquet as pq
+
+        system, out, at = opened(self.path)[0], [], 0
+        for f in files_of(self.path):
+            with system.open_input_file(f) as raw:
+                found = pq.ParquetFile(raw).metadata
+                for k in range(found.num_row_groups):
+                    n = found.row_group(k).num_rows
+                    out.append((f, k, at, n))
+                    at += n
+        return out
+
+    def slice(self, first: int, after: int, groups: list[tuple[str, int, int, int]]) -> Iterator:
         """Batches of the rows of all files from first to before after, with the number of each batch's first row."""
         import pyarrow.parquet as pq
 
-        system, at = opened(self.path)[0], 0
-        for f, n in self.sizes():
-            if at < after and at + n > first:
-                with system.open_input_file(f) as raw:
-                    file, here = pq.ParquetFile(raw), at
-                    for k in range(file.metadata.num_row_groups):
-                        size = file.metadata.row_group(k).num_rows
-                        if here < after and here + size > first:
-                            for batch in file.iter_batches(row_groups=[k], columns=self.columns):
-                                low, high = max(first - here, 0), min(after - here, batch.num_rows)
-                                if low < high:
-                                    yield here + low, batch.slice(low, high - low)
-                                here += batch.num_rows
-                        else:
-                            here += size
-            at += n
+        system = opened(self.path)[0]
+        for f, k, here, n in groups:
+            if here >= after or here + n <= first:
+                continue
+            with system.open_input_file(f) as raw:
+                for batch in pq.ParquetFile(raw).iter_batches(row_groups=[k], columns=self.columns):
+                    low, high = max(first - here, 0), min(after - here, batch.num_rows)
+                    if low < high:
+                        yield here + low, batch.slice(low, high - low)
+                    here += batch.num_rows
+                    if here >= after:
+                        break
 
     def read(self, partition: Block) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        k = partition.number
-        for block, late in ((k - 1, True), (k, False)):
-            if block < 0 or (late and not self.late):
-                continue
-            for first, batch in self.slice(block * self.rows, (block + 1) * self.rows):
-                own = np.arange(first, first + batch.num_rows) % self.late == 0 if self.late else np.zeros(batch.num_rows, bool)
-                yield batch.filter(pa.array(own if late else ~own))
+        first, after = partition.number, partition.number + partition.count
+        groups = self.groups() if partition.groups is None else partition.groups
+        # the last block read and its late rows, which come with the next one
+        block, kept = first - 1, []
+        for at, batch in self.slice(max(first - bool(self.late), 0) * self.rows, after * self.rows, groups):
+            done = 0
+            while done < batch.num_rows:
+                k = (at + done) // self.rows
+                part = batch.slice(done, (k + 1) * self.rows - at - done)
+                if k > block:
+                    yield from kept
+                    block, kept = k, []
+                late = np.arange(at + done, at + done + part.num_rows) % self.late == 0 if self.late else np.zeros(part.num_rows, bool)
+                kept.append(part.filter(pa.array(late)))
+                if k >= first:
+                    yield part.filter(pa.array(~late))
+                done += part.num_rows
+        if block + 1 < after:
+            yield from kept
 
     def commit(self, end: dict) -> None:
         pass
@@ -149,16 +191,29 @@ class _Files:
         self.path = path
 
     def write(self, batches: Iterator) -> Wrote:
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         name, rows, writer = f"{uuid.uuid4().hex}.parquet", 0, None
         with system.open_output_stream(f"{root}/.{name}") as raw:
+            held, size = [], 0
+
+            def put() -> None:
+                nonlocal writer
+                writer = writer or pq.ParquetWriter(raw, held[0].schema)
+                writer.write_table(pa.Table.from_batches(held))
+
+            # small batches share a row group, which is a task when the table is read
             for batch in batches:
-                writer = writer or pq.ParquetWriter(raw, batch.schema)
-                writer.write_batch(batch)
-                rows += batch.num_rows
+                held.append(batch)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+                if sum(b.num_rows for b in held) >= ROWS or size >= GROUP_BYTES:
+                    put()
+                    held, size = [], 0
+            if held:
+                put()
             if writer:
                 writer.close()
         if not rows:

@@ -50,6 +50,30 @@ def test_blocks(rows, late):
     assert stream.partitions({"block": 2}, {"block": 2}) == []
 
 
+@pytest.mark.parametrize("late", [0, 1, 7])
+def test_many_blocks_share_partitions(rows, late, monkeypatch):
+    """Runs of blocks hold the rows of their blocks, in order; a partition names the row groups it needs."""
+    path, want = rows
+    stream = replay.Replay(path, ["id", "ts", "v"], 2, late)
+    monkeypatch.setattr(replay, "PARTITIONS", 10)
+    read = lambda p: [tuple(r.values()) for b in stream.read(p) for r in b.to_pylist()]
+    parts = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    assert 9 <= len(parts) <= 10 and sum(p.count for p in parts) == 115 + (late > 0)
+    assert Counter(r for p in parts for r in read(p)) == want
+    for p in parts:
+        assert read(p) == [r for k in range(p.number, p.number + p.count) for r in read(replay.Block(k))]
+
+
+def test_small_batches_share_a_row_group(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    sink = replay.BatchSink(str(tmp_path / "out"))
+    sink.commit([sink.write(iter([pa.RecordBatch.from_pydict({"x": [i, -i]}) for i in range(50)]))])
+    (file,) = replay.files_of(sink.path)
+    assert pq.ParquetFile(file).metadata.num_row_groups == 1 and pq.read_table(file)["x"].to_pylist() == [x for i in range(50) for x in (i, -i)]
+
+
 def test_a_stream_goes_on_from_its_checkpoint(spark, rows, tmp_path):
     path, want = rows
 
