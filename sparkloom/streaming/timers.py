@@ -100,30 +100,63 @@ def stream_inactivity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.timestamp_micros("last_micros").cast("timestamp_ntz").alias("last_seen"))
 
 
+#: Rows of a bucket that are looked up together.
+LOOKED_UP = 1 << 17
+
+
 class SeenLately(StatefulProcessor):
-    """The first row of each id; ids are forgotten some time after they were seen."""
+    """The first row of each id; ids are forgotten some time after they were seen.
+
+    State is held by runs of 256 neighbouring ids, an entry each: the ids' last bytes with
+    the time of the clock at which each was seen, 9 bytes.  So an entry's size is bounded,
+    and ids that come in about their order cost two calls to the state a run and not an id.
+    A run lives as long as its last new id; within it each id has its own time.
+    """
 
     def __init__(self, milliseconds: int):
         self.milliseconds = milliseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getMapState("ids", "event_id bigint", "seen boolean", self.milliseconds)
+        self.runs = handle.getMapState("runs", "run bigint", "seen binary", self.milliseconds)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, held, n = timerValues.getCurrentProcessingTimeInMs(), [], 0
         for b in rows:
-            fresh = [not self.ids.containsKey((int(i),)) for i in b["event_id"]]
-            own = b[fresh].drop_duplicates("event_id")
-            for i in own["event_id"]:
-                self.ids.updateValue((int(i),), (True,))
-            yield own[["event_id", "user_id", "event_type"]]
+            held.append(b)
+            n += len(b)
+            if n >= LOOKED_UP:
+                yield self.fresh(held, now)
+                held, n = [], 0
+        if held:
+            yield self.fresh(held, now)
+
+    def fresh(self, batches: list[pd.DataFrame], now: int) -> pd.DataFrame:
+        import numpy as np
+
+        own = pd.concat(batches).drop_duplicates("event_id")
+        ids = own["event_id"].to_numpy("int64")
+        order = np.argsort(ids >> 8, kind="stable")
+        runs, start = np.unique(ids[order] >> 8, return_index=True)
+        new, kind = np.zeros(len(ids), bool), np.dtype([("low", "u1"), ("at", "<i8")])
+        for run, at in zip(runs.tolist(), np.split(order, start[1:]), strict=True):
+            seen = np.frombuffer(self.runs.getValue((run,))[0], kind) if self.runs.containsKey((run,)) else np.zeros(0, kind)
+            seen = seen[seen["at"] + self.milliseconds > now]
+            low = (ids[at] & 255).astype("u1")
+            unknown = ~np.isin(low, seen["low"])
+            if unknown.any():
+                added = np.zeros(int(unknown.sum()), kind)
+                added["low"], added["at"] = low[unknown], now
+                self.runs.updateValue((run,), (np.concatenate([seen, added]).tobytes(),))
+                new[at] = unknown
+        return own[new][["event_id", "user_id", "event_type"]]
 
     def close(self) -> None:
         pass
 
 
 def seen_lately(rows: DataFrame, milliseconds: int, buckets: int = 64) -> DataFrame:
-    """Rows of a stream without those whose event_id came less than the given time before; ids are dealt to buckets, so none of them is a hot key."""
-    own = rows.select("event_id", "user_id", "event_type", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket"))
+    """Rows of a stream without those whose event_id came less than the given time before; runs of ids are dealt to buckets, so none of them is a hot key."""
+    own = rows.select("event_id", "user_id", "event_type", F.pmod(F.xxhash64(F.shiftright("event_id", 8)), F.lit(buckets)).alias("bucket"))
     return own.groupBy("bucket").transformWithStateInPandas(SeenLately(milliseconds), "event_id bigint, user_id bigint, event_type string", "Append", "ProcessingTime")
 
 

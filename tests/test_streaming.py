@@ -105,3 +105,34 @@ def test_stateful_streams_leave_the_session_alone(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     assert "RocksDB" in events.stateful_session(spark).conf.get(key) and spark.conf.get(key) == before
+
+
+def test_ids_seen_cost_calls_by_runs():
+    """Two calls to the state for 256 neighbouring ids; each id of a run has its own time to live."""
+    import pandas as pd
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            self.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+    own = timers.SeenLately(1000)
+    own.runs = State()
+    rows = lambda ids: pd.DataFrame({"event_id": ids, "user_id": 1, "event_type": "x"})
+    ids = [*range(-300, 5000)]
+    assert own.fresh([rows(ids), rows(ids)], 0)["event_id"].tolist() == ids
+    assert own.runs.calls < 100
+    assert own.fresh([rows([7, 9000, 7])], 600)["event_id"].tolist() == [9000]
+    assert own.fresh([rows([5100])], 900)["event_id"].tolist() == [5100]
+    assert own.fresh([rows([7, 9000, 5100])], 1100)["event_id"].tolist() == [7]
+    assert own.fresh([rows([7, 9000, 5100])], 1950)["event_id"].tolist() == [9000, 5100]
