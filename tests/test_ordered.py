@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import aggregates
 from sparkloom.operators import inequality, intervals, joins, ordering, patterns, windows
+from sparkloom.plans import ordered
 
 T0 = datetime.datetime(2024, 1, 1)
 
@@ -130,6 +131,16 @@ def test_inequalities_of_empty_sides_and_kinds(spark):
         inequality.inequality_join(a, a, ("x", "<", "x"), ("y", ">", "y"))
 
 
+def test_inequality_query_takes_every_urgent_order(spark, tmp_path):
+    r = random.Random(8)
+    orders = [(i, r.randint(0, 60), r.choice("FOP"), float(r.randint(1, 50)), T0 + datetime.timedelta(r.randint(0, 40)), r.choice(["1-URGENT", "1-URGENT", "5-LOW"])) for i in range(150)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    urgent = [o for o in orders if o[5] == "1-URGENT"]
+    want = Counter((a[0], b[0]) for a in urgent for b in urgent if a[4] < b[4] and a[3] >= b[3])
+    assert rows_of(ordered.QUERIES["join_inequality"](spark, str(tmp_path))) == want
+    assert "%" not in ordered.ORACLES["join_inequality"]
+
+
 def test_a_task_of_an_inequality_holds_few_pairs(spark, monkeypatch):
     """Two sides that all match: no group that is compared in Python may have more than block**2 / 4 pairs."""
     a = spark.range(6000).select(F.col("id").alias("i"), F.col("id").alias("x"), F.col("id").alias("y"))
