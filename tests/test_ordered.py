@@ -50,6 +50,19 @@ def test_cells_of_hot_keys(spark):
         assert rows_of(ordering.cell_join(a, b, ["k"], rows)) == want
 
 
+def test_copies_of_cells_grow_with_the_rows(spark, monkeypatch):
+    """Twice the rows of a hot key make four times the pairs, and were four times the copies."""
+    monkeypatch.setattr(ordering, "TASKS", 16)
+    copies = []
+    for n in (1000, 2000):
+        a = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("x"))
+        dealt = ordering.cells(a, a.withColumnRenamed("x", "y"), ["k"], 10)
+        copies.append(sum(df.count() for df in dealt))
+        assert dealt[0].select("__i", "__j").distinct().count() == 16
+        assert ordering.cell_join(a, a.withColumnRenamed("x", "y"), ["k"], 10).distinct().count() == n * n
+    assert copies == [8 * 1000, 8 * 2000]
+
+
 # intervals
 
 
