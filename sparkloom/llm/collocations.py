@@ -4,10 +4,12 @@
    chunks of 16-bit numbers of the chunk's own dictionary, 0 where a piece ends; a
    chunk holds at most LOCAL words and about TOKENS numbers.  A text that is longer
    goes on in the next chunk, which begins with the last words of the one before.
+   A chunk is a row with its numbers and a row for each of its words, as Spark reads
+   4096 rows at once, which must not hold as many dictionaries.
 2. The dictionaries' counts are summed by (lang, word).  Words that occur ``least``
    times get numbers 1, 2, ...; all others break pieces, as a phrase cannot be more
    frequent than its words.  Chunks get the numbers of their own words by a join, so
-   no task needs the whole dictionary.
+   no task needs the whole dictionary, and go through tasks chunk by chunk.
 3. From each frequent word on, up to five numbers are packed into one key of fixed
    width, big-endian and filled up with zeros, so the phrases that begin there are
    prefixes of one key.  A task sorts its keys by radix, counts equal ones and deals
@@ -36,12 +38,15 @@ from sparkloom.llm.common import documents, durable, partitions, running_offsets
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 LOCAL, TOKENS, SLICE = 65_535, 1 << 20, 1 << 19
-#: Keys that a task sorts at once, and sampled keys for each range.
-KEYS, SAMPLE, SPLITTERS = 1 << 20, 64, 1024
+#: Keys that a task sorts at once, and sampled keys for each range; ids for which there is a range at least.
+KEYS, SAMPLE, SPLITTERS, RANGE = 1 << 20, 64, 1024, 1 << 21
 _ID_BITS = 40
+#: Rows that a task returns at once.
+ROWS = 1 << 14
 #: Of f occurrences of a phrase among n words, whose parts occur l and r times; decimals hold products past 64 bits.
 SCORE = "(1000 * cast(f as decimal(16,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
-CHUNKS = "chunk bigint, tail int, size int, ids binary, words array<struct<lang:string,word:string,n:bigint>>"
+#: A chunk's row has its ids and ``at`` -1; the others its words, by their numbers from 0.
+CHUNKS = "chunk bigint, at int, tail int, size int, ids binary, lang string, word string, n bigint"
 _FROM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t"
 _TO = b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
 _CLEAN = bytes.maketrans(_FROM, _TO)
@@ -81,6 +86,13 @@ def opened(data: pa.Scalar, n: int, width: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n).T if n else np.zeros((0, width), np.uint8)
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values, without an object for each."""
+    n, width = rows.shape
+    ends = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 class Chunk:
     """A run of texts as numbers of its own dictionary."""
 
@@ -113,17 +125,19 @@ class Chunk:
         ids = np.concatenate(self.parts)[-n:]
         return [self.names[i - 1][1] if i else b"\n" for i in ids.tolist()]
 
-    def row(self, number: int, tail: int) -> pa.RecordBatch:
+    def rows(self, number: int, tail: int) -> pa.RecordBatch:
         """The chunk (CHUNKS); words are counted where they aren't carried over."""
-        ids = np.concatenate(self.parts)
-        counts = np.bincount(ids[self.carried :], minlength=len(self.names) + 1)[1:]
+        ids, k = np.concatenate(self.parts), len(self.names)
+        counts = np.bincount(ids[self.carried :], minlength=k + 1)[1:]
+        own = [pa.array([tail], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([squeezed(ids.astype("<u2")[:, None])], pa.binary())]
         words = [pa.array([x for x, _ in self.names], pa.string()), pa.array([w for _, w in self.names], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-        words = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.StructArray.from_arrays(words, ["lang", "word", "n"]))
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([tail], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([squeezed(ids.astype("<u2")[:, None])], pa.binary()), words], ["chunk", "tail", "size", "ids", "words"])
+        columns = [pa.array(np.full(k + 1, number)), pa.array(np.arange(-1, k, dtype=np.int32))]
+        columns += [pa.concat_arrays([x, pa.nulls(k, x.type)]) for x in own] + [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in words]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "at", "tail", "size", "ids", "lang", "word", "n"])
 
 
 def encoded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", local: int = LOCAL, tokens: int = TOKENS) -> DataFrame:
-    """The texts in chunks (CHUNKS); ids are squeezed 16-bit numbers, word number k is the k-th of words."""
+    """The texts in chunks (CHUNKS); ids are squeezed 16-bit numbers, of which k + 1 is the word at k."""
     if not 2 * LONGEST <= local <= LOCAL:
         raise ValueError(f"local lies between {2 * LONGEST} and {LOCAL}")
     ship(docs.sparkSession)
@@ -144,7 +158,7 @@ def encoded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", loc
                     if chunk.size and (len(chunk.names) + min(len(words), size) > local or chunk.size > tokens):
                         tail = min(LONGEST - 1, chunk.of_text)
                         ends = chunk.ends(tail)
-                        yield chunk.row(number, tail)
+                        yield chunk.rows(number, tail)
                         number, chunk = number + 1, Chunk()
                         if tail:
                             chunk.add(lang, ends)
@@ -152,7 +166,7 @@ def encoded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", loc
                     chunk.add(lang, words)
                 chunk.add(lang, [b"\n"])
         if chunk.size:
-            yield chunk.row(number, 0)
+            yield chunk.rows(number, 0)
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, CHUNKS)
@@ -240,8 +254,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     words has the words and phrases the phrases of 2 to LONGEST words that occur ``least`` times or more.
     """
     spark = docs.sparkSession
-    chunks = durable(encoded(docs, lang_col, text_col, local, tokens), "chunks", "zstd")
-    listed = chunks.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", F.col("at").cast("int").alias("at"), "w.lang", "w.word", "w.n")
+    both = durable(encoded(docs, lang_col, text_col, local, tokens), "chunks", "zstd")
+    chunks, listed = both.filter("at < 0").select("chunk", "tail", "size", "ids"), both.filter("at >= 0").select("chunk", "at", "lang", "word", "n")
     langs = durable(listed.groupBy("lang").agg(F.sum("n").alias("n")), "langs")
     frequent = listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     # frequent words get small numbers, which take less room when compressed
@@ -255,25 +269,35 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     own_words = sized(words.select("lang", "word", "id"))
 
     def bound(part: Column) -> DataFrame:
-        """Chunks with the numbers of their own words."""
-        numbers = listed.filter(part).join(own_words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.shiftleft(F.col("at").cast("bigint"), _ID_BITS) + F.col("id")).alias("numbers"))
-        return chunks.filter(part).select("chunk", "tail", "size", "ids").join(numbers, "chunk").drop("chunk")
-
-    def looked_up(row: dict) -> tuple[np.ndarray, int]:
-        table, both = np.zeros(LOCAL + 1, np.int64), row["numbers"].values.to_numpy()
-        table[(both >> _ID_BITS) + 1] = both & ((1 << _ID_BITS) - 1)
-        ids = np.ascontiguousarray(opened(row["ids"], row["size"].as_py(), 2)).view("<u2").ravel()
-        return table[ids], row["tail"].as_py()
+        """Each chunk's row (number -1), and after it the numbers of its own words with their places."""
+        none = {"tail": F.lit(None).cast("int"), "size": F.lit(None).cast("int"), "ids": F.lit(None).cast("binary")}
+        numbers = listed.filter(part).join(own_words, ["lang", "word"]).select("chunk", (F.shiftleft(F.col("at").cast("bigint"), _ID_BITS) + F.col("id")).alias("number"), *(x.alias(c) for c, x in none.items()))
+        own = chunks.filter(part).select("chunk", F.lit(-1).cast("bigint").alias("number"), *none)
+        return own.unionByName(numbers).repartition("chunk").sortWithinPartitions("chunk", "number").drop("chunk")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        ids = None
         for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                yield looked_up(dict(zip(batch.schema.names, row, strict=True)))
-
-    wanted = ranges or 2 * partitions(spark)
+            number, tails, sizes, texts = batch.columns
+            number = number.to_numpy()
+            starts = np.flatnonzero(number < 0).tolist()
+            for a, b in zip([0, *starts], [*starts, len(number)], strict=True):
+                if a == b:
+                    continue
+                if number[a] < 0:
+                    if ids is not None:
+                        yield table[ids], tail
+                    ids, tail = np.ascontiguousarray(opened(texts[a], sizes[a].as_py(), 2)).view("<u2").ravel(), tails[a].as_py()
+                    table = np.zeros(LOCAL + 1, np.int64)
+                    a += 1
+                table[(number[a:b] >> _ID_BITS) + 1] = number[a:b] & ((1 << _ID_BITS) - 1)
+        if ids is not None:
+            yield table[ids], tail
+
+    n_chunks, n_ids = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    wanted = ranges or max(2 * partitions(spark), n_ids // RANGE)
     coarse = min(wanted, splits)
     finer = -(-wanted // coarse)
-    n_chunks = chunks.count()
     # SAMPLE keys for each range, from at least 32 chunks
     chosen = min(1.0, max(32, coarse // 4) / max(1, n_chunks))
     each_chunk = max(1, -(-SAMPLE * coarse // max(1, min(n_chunks, max(32, coarse // 4)))))
@@ -313,17 +337,21 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
             yield sent(parts)
         tidy()
 
-    def summed(table: pa.Table) -> pa.Table:
-        size = table.column("size").to_pylist()
-        n = np.concatenate([np.ascontiguousarray(opened(x, k, 4)).view("<u4").ravel() for x, k in zip(table.column("n"), size, strict=True)]).astype(np.int64)
-        keys, n = counted(np.concatenate([opened(x, k, LONGEST * width) for x, k in zip(table.column("keys"), size, strict=True)]), n)
-        out = {"key": [], "m": [], "f": []}
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, counts = [], []
+        for batch in batches:
+            size = batch.column("size").to_pylist()
+            parts += [opened(x, k, LONGEST * width) for x, k in zip(batch.column("keys"), size, strict=True)]
+            counts += [np.ascontiguousarray(opened(x, k, 4)).view("<u4").ravel() for x, k in zip(batch.column("n"), size, strict=True)]
+        keys, n = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+        del parts, counts
+        keys, n = counted(keys, n)
         for m, prefix, f in runs(keys, n, width, least):
-            out["key"] += [p.tobytes() for p in prefix]
-            out["m"] += [m] * len(f)
-            out["f"] += f.tolist()
+            for at in range(0, len(f), ROWS):
+                some = f[at : at + ROWS]
+                key = binaries(prefix[at : at + ROWS])
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(some), m, np.int32)), pa.array(some)], ["key", "m", "f"])
         tidy()
-        return pa.table({"key": pa.array(out["key"], pa.binary()), "m": pa.array(out["m"], pa.int32()), "f": pa.array(out["f"], pa.int64())})
 
     found = bound(F.lit(True)).mapInArrow(dealt, "bucket int, size int, keys binary, n binary").groupBy("bucket").applyInArrow(summed, "key binary, m int, f bigint")
     phrases = durable(found.groupBy("key", "m").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrases")

@@ -169,6 +169,33 @@ def test_collocations_of_long_texts(spark):
     assert result(collocations.collocations(docs, tokens=5000, local=60)) == want
 
 
+def test_a_row_of_a_chunk_holds_one_word_at_most(spark):
+    """Spark reads 4096 rows at once: with a chunk's dictionary in one row, these were all words of a partition's chunks."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(30)}" for _ in range(40)) for _ in range(50)]
+    rows = collocations.encoded(spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1), tokens=100, local=20)
+    assert all(f.dataType.typeName() not in ("array", "map", "struct") for f in rows.schema)
+    found, n = defaultdict(list), Counter()
+    for x in rows.collect():
+        assert (x["ids"] is None) == (x["word"] is not None) == (x["at"] >= 0)
+        found[x["chunk"]].append(x["at"])
+        n[x["word"]] += x["n"] or 0
+    assert len(found) > 10 and all(sorted(own) == list(range(-1, len(own) - 1)) and len(own) <= 21 for own in found.values())
+    assert +n == Counter(w for t in texts for w in t.split())
+
+
+def test_chunks_over_many_batches(spark, odd):
+    """A chunk's words go on in the next batch."""
+    want = phrases_by_loop([(r[2], r[1]) for r in odd_rows()], 2, 50)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        assert result(collocations.collocations(odd, 2, 50, local=30, ranges=5)) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_radix_order():
     r = np.random.default_rng(1)
     for width in (1, 2, 5, 15, 20):
